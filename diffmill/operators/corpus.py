@@ -157,10 +157,9 @@ def write_variants(numbered: DataFrame) -> DataFrame:
             F.array(*[F.lit(o) for o in options]),
             (hash_number(F.concat(draw, F.lit(f":{name}"))) % len(options) + 1).cast("int"),
         )
-        renamed = F.when(
-            F.array_contains("chosen", name),
-            F.regexp_replace(renamed, F.lit(_whole_word(name)), choice),
-        ).otherwise(renamed)
+        # a name that was not chosen is replaced by itself
+        replacement = F.when(F.array_contains("chosen", name), choice).otherwise(name)
+        renamed = F.regexp_replace(renamed, F.lit(_whole_word(name)), replacement)
     comment = F.element_at(
         F.array(*[F.lit(c) for c in C.INJECTED_COMMENTS]),
         (hash_number(F.concat(draw, F.lit(":comment"))) % len(C.INJECTED_COMMENTS) + 1).cast("int"),
