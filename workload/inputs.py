@@ -18,19 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small file spread over all cores. The derived texts are far larger than
+    the rows they come from, and a file of one row group is read by one task. A table of
+    many files is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = (
         "array_join(transform(sequence(0L, o_orderkey % 6), i -> "
         + S.block("spark")
         + "), chr(10))"
     )
-    return table(spark, sf_dir, "orders").selectExpr(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return spread(orders).selectExpr(
         "o_orderkey AS pr_id", S.whole_diff(blocks) + " AS diff"
     )
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*S.corpus_columns("spark"))
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+    return spread(items).selectExpr(*S.corpus_columns("spark"))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +54,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_join(transform(sequence(0L, pr_id % 9), i -> " + S.response_element() + "), ',')"
     )
     prs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_id"))
-    return prs.selectExpr("pr_id", S.whole_response(elements) + " AS response")
+    return spread(prs).selectExpr("pr_id", S.whole_response(elements) + " AS response")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
