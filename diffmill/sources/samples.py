@@ -12,7 +12,8 @@ _CSV = {"header": True, "quoteAll": True, "escape": '"', "multiLine": True}
 def write_samples(split_samples: DataFrame, path: str, file_format: str = "parquet") -> None:
     """S3: samples with their split as one partitioned table. All rows of the table are
     the balanced set, a partition is one part of it."""
-    writer = split_samples.write.mode("overwrite").partitionBy("split")
+    ordered = split_samples.select(SAMPLES.names)  # a CSV reader goes by position
+    writer = ordered.write.mode("overwrite").partitionBy("split")
     if file_format == "csv":
         writer = writer.options(**_CSV)
     writer.format(file_format).save(path)
