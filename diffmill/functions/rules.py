@@ -1,5 +1,7 @@
 """Rule predicates over code and the rule label (ids T4 to T9, P2, P10, P15)."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -7,26 +9,89 @@ from diffmill import constants as C
 from diffmill.functions.text import is_blank, pattern, raw_lines, strip
 
 
+# Texts that must all occur for a pattern to match, one entry per pattern of the list with
+# the same name. A plain search works on bytes and is far cheaper than a pattern; on most
+# code it settles the matter. Lower case stands for "in any case".
+_SQL_INJECTION_HINTS = [("select",), ("insert",), ("update",), ("delete",), ("select",), (".format(", "select")]
+_SECURITY_HINTS = [
+    ("cursor.execute", "+"),
+    ("cursor.execute", ".format("),
+    ("cursor.execute",),
+    ("eval",),
+    ("os.system", "+"),
+    ("os.system",),
+    ("subprocess.", "shell"),
+    ("open",),
+]
+_NULL_REFERENCE_HINTS = [("None", "."), (".fetchone().",), ("return", "]."), (".get",), ("None", "(")]
+_TYPE_MISMATCH_HINTS = [("if", "="), ("int", "+", "str"), ("str", "+", "int"), ('"', "+"), ("str", "==")]
+_LOGIC_FLAW_HINTS = [("range(len(",), ("/", "0"), ("while", "True"), ("True", ":"), ("[", "len(")]
+_HIGH_SIGNAL_HINTS = [("if", "or"), ("if", "==", "or", ":"), ("/", "len("), (".fetchone()", "["), (".fetchone().",)]
+_BORDERLINE_HINTS = [("subprocess.", "shell"), ("os.system",)]
+_SUSPICIOUS_LINE_HINTS = [
+    ("select", "+"),
+    ("eval", "("),
+    ("os.system", "("),
+    ("exec", "("),
+    ("subprocess.", "shell"),
+    (".fetchone().",),
+    ("None", "="),
+    ("/", "0"),
+    ("if", "="),
+    ("range(len(",),
+]
+
+
+def _all_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _matches(code: Column, rule: str, hints: tuple[str, ...], ignore_case: bool = False) -> Column:
+    if not ignore_case:
+        found = _all_of([F.contains(code, F.lit(h)) for h in hints])
+        return found & code.rlike(pattern(rule))
+    # Letters outside ASCII can equal ASCII letters when case is ignored (the Kelvin sign
+    # and "k"), so the hints only count for texts of one byte per character.
+    lowered = F.lower(code)
+    found = _all_of([F.contains(lowered, F.lit(h)) for h in hints])
+    other_letters = F.octet_length(code) != F.length(code)
+    return (found | other_letters) & code.rlike(pattern(rule, ignore_case=True))
+
+
+def _any_match(code: Column, rules: list[str], hints: list[tuple], ignore_case: bool = False) -> Column:
+    pairs = zip(rules, hints, strict=True)
+    return _any_of([_matches(code, rule, hint, ignore_case) for rule, hint in pairs])
+
+
 def has_sql_injection_risk(code: Column) -> Column:
-    return code.rlike(pattern(*C.SQL_INJECTION_PATTERNS, ignore_case=True))
+    """T4."""
+    return _any_match(code, C.SQL_INJECTION_PATTERNS, _SQL_INJECTION_HINTS, ignore_case=True)
 
 
 def has_security_risk(code: Column) -> Column:
-    return code.rlike(
-        pattern(*C.SQL_INJECTION_PATTERNS, *C.SECURITY_PATTERNS, ignore_case=True)
+    """T5."""
+    return has_sql_injection_risk(code) | _any_match(
+        code, C.SECURITY_PATTERNS, _SECURITY_HINTS, ignore_case=True
     )
 
 
 def has_null_reference_risk(code: Column) -> Column:
-    return code.rlike(pattern(*C.NULL_REFERENCE_PATTERNS))
+    """T6."""
+    return _any_match(code, C.NULL_REFERENCE_PATTERNS, _NULL_REFERENCE_HINTS)
 
 
 def has_type_mismatch(code: Column) -> Column:
-    return code.rlike(pattern(*C.TYPE_MISMATCH_PATTERNS))
+    """T7."""
+    return _any_match(code, C.TYPE_MISMATCH_PATTERNS, _TYPE_MISMATCH_HINTS)
 
 
 def has_logic_flaw(code: Column) -> Column:
-    return code.rlike(pattern(*C.LOGIC_FLAW_PATTERNS))
+    """T8."""
+    return _any_match(code, C.LOGIC_FLAW_PATTERNS, _LOGIC_FLAW_HINTS)
 
 
 def rule_label(code: Column) -> Column:
@@ -40,13 +105,11 @@ def rule_label(code: Column) -> Column:
     )
 
 
-# A stripped line that carries no logic. "import x" needs something after the white
-# space, because a stripped line cannot end in it.
+# A stripped line that carries no logic.
 _STRUCTURAL = pattern(
-    r"^import\s",
-    r"^from\s\S+\s+import\s",
-    r"^(?:class\s+\w+|def\s+\w+|async\s+def\s+\w+)",
-    r"""^(?:pass|\"{3}|'{3}|#)""",
+    r"^(?:import\s|from\s\S+\s+import\s"
+    r"|class\s+\w|def\s+\w|async\s+def\s+\w"
+    r"""|pass|\"{3}|'{3}|#)"""
 )
 _SELF_ASSIGNMENT = pattern(r"^self\.\w+\s*=")
 
@@ -77,12 +140,11 @@ def is_trivial(code: Column) -> Column:
 def refined_issue_type(issue_type: Column, confidence: Column, code: Column) -> Column:
     """Issue type after the pattern rules; a locked confidence leaves it alone."""
     refined = F.when(confidence >= C.CONFIDENCE_LOCK, issue_type)
-    for rule, target in C.HIGH_SIGNAL_RULES:
-        refined = refined.when(code.rlike(pattern(rule)), F.lit(target))
-    for rule, target in C.BORDERLINE_RULES:
-        refined = refined.when(
-            (confidence < C.BORDERLINE_CEILING) & code.rlike(pattern(rule)), F.lit(target)
-        )
+    for (rule, target), hints in zip(C.HIGH_SIGNAL_RULES, _HIGH_SIGNAL_HINTS, strict=True):
+        refined = refined.when(_matches(code, rule, hints), F.lit(target))
+    unsure = confidence < C.BORDERLINE_CEILING
+    for (rule, target), hints in zip(C.BORDERLINE_RULES, _BORDERLINE_HINTS, strict=True):
+        refined = refined.when(unsure & _matches(code, rule, hints), F.lit(target))
     return refined.otherwise(issue_type)
 
 
@@ -94,14 +156,15 @@ def suspicious_line_offset(code: Column) -> Column:
     """
     lines = raw_lines(code)
 
-    def first_hit(regex: str) -> Column:
+    def first_hit(rule: str, ignore_case: bool, hints: tuple[str, ...]) -> Column:
+        regex = pattern(rule, ignore_case=ignore_case)
         marks = F.transform(lines, lambda ln: ln.rlike(regex))
         position = F.nullif(F.array_position(marks, True), F.lit(0))
-        return F.when(code.rlike(regex), position - 1)
+        return F.when(_matches(code, rule, hints, ignore_case), position - 1)
 
     hits = [
-        first_hit(pattern(rule, ignore_case=ignore_case))
-        for rule, ignore_case in C.SUSPICIOUS_LINE_PATTERNS
+        first_hit(*rule, hints)
+        for rule, hints in zip(C.SUSPICIOUS_LINE_PATTERNS, _SUSPICIOUS_LINE_HINTS, strict=True)
     ]
     return F.coalesce(*hits, F.lit(0)).cast("int")
 

@@ -105,13 +105,17 @@ def _whole_word(name: str) -> str:
     return pattern(rf"\b{name}\b")
 
 
-def _renamed(code: Column, draw: Column) -> Column:
-    """Rename two or three of the known names in the code, chosen by ``draw``.
-
-    No replacement is itself a known name, so the order of renaming does not matter.
-    """
+def _chosen_names(code: Column, draw: Column) -> Column:
+    """Two or three of the known names in the code, chosen by ``draw``."""
     present = F.array_compact(
-        F.array(*[F.when(code.rlike(_whole_word(name)), F.lit(name)) for name in C.RENAMES])
+        F.array(
+            *[
+                F.when(
+                    F.contains(code, F.lit(name)) & code.rlike(_whole_word(name)), F.lit(name)
+                )
+                for name in C.RENAMES
+            ]
+        )
     )
     drawn = F.array_sort(
         F.transform(
@@ -119,10 +123,28 @@ def _renamed(code: Column, draw: Column) -> Column:
             lambda n: F.struct(hash_order(F.concat(draw, F.lit("/"), n)).alias("o"), n.alias("n")),
         )
     )
-    chosen = F.transform(
-        F.slice(drawn, F.lit(1), (F.lit(2) + hash_number(draw) % 2).cast("int")), lambda e: e["n"]
+    wanted = (F.lit(2) + hash_number(draw) % 2).cast("int")
+    return F.transform(F.slice(drawn, F.lit(1), wanted), lambda e: e["n"])
+
+
+def _renamed(code: Column, draw: Column) -> Column:
+    """Each chosen name replaced by one of its alternatives. No alternative is itself a
+    known name, so the order does not matter."""
+    options = F.create_map(
+        *[
+            x
+            for name, names in C.RENAMES.items()
+            for x in (F.lit(name), F.array(*[F.lit(n) for n in names]))
+        ]
     )
-    return chosen
+
+    def replace(text: Column, name: Column) -> Column:
+        alternatives = F.element_at(options, name)
+        number = hash_number(F.concat(draw, F.lit(":"), name)) % F.size(alternatives)
+        whole_word = F.concat(F.lit(r"(?dU)\b"), name, F.lit(r"\b"))
+        return F.regexp_replace(text, whole_word, F.get(alternatives, number.cast("int")))
+
+    return F.aggregate(_chosen_names(code, draw), code, replace)
 
 
 def augmented(samples: DataFrame, rounds: Column) -> DataFrame:
@@ -150,16 +172,6 @@ def write_variants(numbered: DataFrame) -> DataFrame:
     line that is followed by text, odd ones a comment on top; the last two are wrapped
     in a function."""
     draw = F.col("sample_key")
-    chosen = numbered.withColumn("chosen", _renamed(F.col("code"), draw))
-    renamed = F.col("code")
-    for name, options in C.RENAMES.items():
-        choice = F.element_at(
-            F.array(*[F.lit(o) for o in options]),
-            (hash_number(F.concat(draw, F.lit(f":{name}"))) % len(options) + 1).cast("int"),
-        )
-        # a name that was not chosen is replaced by itself
-        replacement = F.when(F.array_contains("chosen", name), choice).otherwise(name)
-        renamed = F.regexp_replace(renamed, F.lit(_whole_word(name)), replacement)
     comment = F.element_at(
         F.array(*[F.lit(c) for c in C.INJECTED_COMMENTS]),
         (hash_number(F.concat(draw, F.lit(":comment"))) % len(C.INJECTED_COMMENTS) + 1).cast("int"),
@@ -175,7 +187,7 @@ def write_variants(numbered: DataFrame) -> DataFrame:
     )
     wrapped = F.concat(F.lit("def wrapper():\n"), indented)
     return (
-        chosen.withColumn("renamed", renamed)
+        numbered.withColumn("renamed", _renamed(F.col("code"), draw))
         .withColumn("text", text)
         .select(
             F.when(F.col("variant") >= 2, wrapped).otherwise(F.col("text")).alias("code"),

@@ -65,17 +65,19 @@ def block(dialect: str) -> str:
         f"repeat(concat(chr(10), '    x = 1'), CASE WHEN {mix} % 13 = 0 THEN 45 ELSE 0 END))"
     )
     added = f"concat('+', replace({code}, chr(10), concat(chr(10), '+')))"
-    marks = f"'--- a/', {file}, chr(10), '+++ b/', {file}, chr(10)"
     hunk = f"'@@ -1,2 +', {start}, ',9 @@', chr(10), ' ctx = 1', chr(10), '-old = 1', chr(10)"
-    return f"""CASE {mix} % 11
-      WHEN 0 THEN concat({marks}, {added})
-      WHEN 1 THEN concat('diff --git a/', {file}, ' b/', {file}, chr(10), 'index 1..2', chr(10),
-                         {marks}, {hunk}, {added})
-      WHEN 2 THEN concat({marks}, {hunk}, {added}, chr(10), chr(92), ' No newline at end of file')
-      WHEN 3 THEN concat('--- a/', {file}, chr(10), '+++ /dev/null', chr(10), '@@ -1,2 +0,0 @@',
-                         chr(10), '-old = 1', chr(10), '+left = eval(word)')
-      WHEN 4 THEN concat({marks}, {hunk}, '+++ lost', chr(10), {added}, chr(10), '+', chr(10), '+  ')
-      ELSE concat({marks}, {hunk}, {added}) END"""
+    style = f"{mix} % 11"
+    return f"""concat(
+      CASE WHEN {style} = 1 THEN concat('diff --git a/', {file}, chr(10), 'index 1..2', chr(10)) ELSE '' END,
+      '--- a/', {file}, chr(10),
+      CASE WHEN {style} = 3 THEN '+++ /dev/null' ELSE concat('+++ b/', {file}) END, chr(10),
+      CASE {style} WHEN 0 THEN ''
+                   WHEN 3 THEN concat('@@ -1,2 +0,0 @@', chr(10), '-old = 1', chr(10))
+                   ELSE concat({hunk}) END,
+      CASE WHEN {style} = 4 THEN concat('+++ lost', chr(10)) ELSE '' END,
+      CASE WHEN {style} = 3 THEN '+left = eval(word)' ELSE {added} END,
+      CASE {style} WHEN 2 THEN concat(chr(10), chr(92), ' No newline at end of file')
+                   WHEN 4 THEN concat(chr(10), '+', chr(10), '+  ') ELSE '' END)"""
 
 
 def whole_diff(joined: str) -> str:
