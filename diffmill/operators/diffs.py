@@ -11,7 +11,7 @@ The array steps avoid running state:
 * cutting a section at hunk headers gives every piece its first line number, and once
   deleted lines and headers are filtered out the index in the piece is the line count;
 * the only carried value (added lines after a file marker with no hunk header between)
-  is computed just for the pieces that have such lines.
+  is computed just for the pieces that have such lines, with a look-up by groups.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,7 @@ from diffmill.functions.text import (
 
 _FILE_MARK = r"\n(?=\+\+\+ b/)"
 _HUNK_MARK = r"\n(?=" + C.HUNK_HEADER + ")"
+_GROUP = 256
 _ALL = 2**30  # "to the end"; leaves room for the start to be added
 
 
@@ -99,7 +100,7 @@ def _cut_piece(piece: Column, index: Column) -> Column:
             p["base"].alias("base"),
             F.size(p["lines"]).alias("n"),
             _numbered_additions(
-                p["lines"], F.coalesce(p["base"], F.lit(0).cast("bigint"))
+                p["lines"], F.coalesce(p["base"], _zero())
             ).alias("added"),
         ),
     )
@@ -109,37 +110,69 @@ def _cut_section(section: Column, index: Column) -> Column:
     file = F.when(index == 0, C.UNKNOWN_FILE).otherwise(
         F.substring(F.substring_index(section, "\n", 1), 7, _ALL)
     )
-    pieces = F.transform(F.split(section, _HUNK_MARK), _cut_piece)
-    return F.struct(file.alias("file"), pieces.alias("pieces"))
+    # end: line counter after the section; counted from the section's start, unless a hunk
+    # header in it set the counter (resets)
+    return let(
+        F.transform(F.split(section, _HUNK_MARK), _cut_piece),
+        lambda pieces: F.struct(
+            file.alias("file"),
+            pieces.alias("pieces"),
+            F.exists(pieces, lambda p: p["base"].isNotNull()).alias("resets"),
+            F.aggregate(
+                pieces, _zero(), lambda at, p: F.coalesce(p["base"], at) + p["n"]
+            ).alias("end"),
+        ),
+    )
 
 
-def _line_number_before(sections: Column, index: Column) -> Column:
-    """Line counter at the end of the sections before ``index``."""
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _counter_after(sections: Column, start: Column) -> Column:
     return F.aggregate(
-        F.slice(sections, F.lit(1), index),
-        F.lit(0).cast("bigint"),
-        lambda total, section: F.aggregate(
-            section["pieces"],
-            total,
-            lambda at, piece: F.coalesce(piece["base"], at) + piece["n"],
+        sections, start, lambda at, s: F.when(s["resets"], s["end"]).otherwise(at + s["end"])
+    )
+
+
+def _groups(sections: Column) -> Column:
+    """Counter steps of every full group of sections. With them a counter can be looked up
+    in a long diff without going through all sections before it."""
+    return F.transform(
+        F.sequence(F.lit(1), F.size(sections), F.lit(_GROUP)),
+        lambda first: let(
+            F.slice(sections, first, F.lit(_GROUP)),
+            lambda group: F.struct(
+                F.exists(group, lambda s: s["resets"]).alias("resets"),
+                _counter_after(group, _zero()).alias("end"),
+            ),
         ),
     )
 
 
+def _line_number_before(sections: Column, groups: Column, index: Column) -> Column:
+    """Line counter at the end of the sections before ``index``."""
+    whole = F.floor(index / _GROUP).cast("int")
+    return _counter_after(
+        F.slice(sections, whole * _GROUP + 1, index - whole * _GROUP),
+        _counter_after(F.slice(groups, F.lit(1), whole), _zero()),
+    )
+
+
 def _moved(lines: Column, by: Column) -> Column:
     return F.transform(
         lines, lambda x: F.struct((x["no"] + by).alias("no"), x["code"].alias("code"))
     )
 
 
-def _section_lines(sections: Column) -> Column:
+def _section_lines(sections: Column, groups: Column) -> Column:
     def with_lines(section: Column, index: Column) -> Column:
         def piece_lines(piece: Column) -> Column:
             carried = piece["base"].isNull() & (F.size(piece["added"]) > 0) & (index > 0)
             return F.when(
                 carried,
                 let(
-                    _line_number_before(sections, index),
+                    _line_number_before(sections, groups, index),
                     lambda before: _moved(piece["added"], before),
                 ),
             ).otherwise(piece["added"])
@@ -176,7 +209,9 @@ def _files(diff: Column) -> Column:
     """Files of a diff with their added lines, in order of the first added line."""
     return let(
         F.transform(_sections(diff), _cut_section),
-        lambda cut: let(_section_lines(cut), _merged_files),
+        lambda cut: let(
+            let(_groups(cut), lambda groups: _section_lines(cut, groups)), _merged_files
+        ),
     )
 
 

@@ -52,17 +52,13 @@ def _entries(response: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(wrapped), "$.entries", "array<variant>")
 
 
-def _field_text(entry: Column, field: str) -> Column:
+def _field_text(kind: Column, text: Column) -> Column:
     """A field as stripped text; missing, null, zero, false and empty values give ''."""
-    path = f"$.{field}"
-    kind = F.schema_of_variant(F.try_variant_get(entry, path, "variant"))
-    text = F.try_variant_get(entry, path, "string")
-    number = F.try_variant_get(entry, path, "double")
+    number = kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
     value = (
         F.when(kind == "STRING", text)
         .when(kind == "BOOLEAN", F.when(text == "true", "True"))
-        .when(kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")),
-              F.when(number != 0, text))
+        .when(number, F.when(text.try_cast("double") != 0, text))
         .when(~text.isin("[]", "{}"), text)
     )
     return F.coalesce(strip(value), F.lit(""))
@@ -79,12 +75,23 @@ def answer_entries(responses: DataFrame) -> DataFrame:
     number = F.when(
         F.try_variant_get("e", "$.issue_number", "variant").isNull(), F.col("pos") + 1
     ).otherwise(F.try_variant_get("e", "$.issue_number", "int"))
-    keyed = objects.select(
+    # each field is read from the variant once; the rest works on plain text
+    read = objects.select(
         "pr_id",
-        number.alias("issue_idx"),
         "pos",
-        F.struct(*[_field_text(F.col("e"), f).alias(f) for f in _FIELDS]).alias("fields"),
+        number.alias("issue_idx"),
+        *[
+            F.schema_of_variant(F.try_variant_get("e", f"$.{f}", "variant")).alias(f"{f}_kind")
+            for f in _FIELDS
+        ],
+        *[F.try_variant_get("e", f"$.{f}", "string").alias(f) for f in _FIELDS],
     ).filter(F.col("issue_idx").isNotNull())
+    keyed = read.select(
+        "pr_id",
+        "issue_idx",
+        "pos",
+        F.struct(*[_field_text(F.col(f"{f}_kind"), F.col(f)).alias(f) for f in _FIELDS]).alias("fields"),
+    )
     return (
         keyed.groupBy("pr_id", "issue_idx")
         .agg(F.max_by("fields", "pos").alias("fields"))

@@ -377,8 +377,10 @@ def whole_review(spark, sf, stage=False):
     found = review_job.find_issues(I.diffs(spark, sf), I.formula_scorer, stage)
     # the earlier comments of the test are made from the planned ones
     planned = rv.inline_comments(ex.explain(found.issues, I.responses(spark, sf)))
-    places = ev.commented_places(I.existing_comments(planned))
-    return review_job.write_reviews(found, I.responses(spark, sf), places, stage=stage)
+    existing = I.existing_comments(planned.select("pr_id", "issue_idx", "file", "line"))
+    return review_job.write_reviews(
+        found, I.responses(spark, sf), ev.commented_places(existing), stage=stage
+    )
 
 
 @register("p18_status_bodies", _STATUS)
@@ -416,7 +418,7 @@ def j2(spark, sf):
 
 @register("j3_comments_to_post", "SELECT pr_id, issue_idx, file, line, label, confidence, body FROM to_post")
 def j3(spark, sf):
-    planned = comments(spark, sf)
+    planned = staging.staged(comments(spark, sf), "comments")
     return rv.comments_to_post(planned, ev.commented_places(I.existing_comments(planned)))
 
 
