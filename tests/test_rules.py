@@ -109,3 +109,41 @@ def test_plurals(values):
     kinds = ["Security Vulnerability", "Runtime Bug", "Code Quality"]
     assert values(lambda T: plural_of(T, F.lit(2)), kinds) == ["Security Vulnerabilities", "Runtime Bugs", "Code Qualities"]
     assert values(lambda T: plural_of(T, F.lit(1)), kinds) == kinds
+
+
+def test_plain_searches_never_change_a_rule(spark):
+    import random
+
+    from diffmill import constants as C
+
+    rng = random.Random(7)
+    tokens = [
+        "if ", "x", " = ", "==", "=", " or ", '"a"', "'", '"', "+", " + ", "SELECT ", "select ", "inſert ", "delete ",
+        "cursor.execute(", "Cursor.Execute (", "eval(", "os.system(", "oſ.system(", "f'", ".format(", "subprocess.run(",
+        "shell=True", "shell = true", "open(", "x)", ")", "None", "= None", ".get(", ".a", ".fetchone()", "return y[", "]",
+        "int", "str", "str()", " 1", "/", "0", "range(len(", "x) + 1)", "while True", "\n", " break", "True:", "[len(x)]",
+        ":", "exec(", " ", "len(",
+    ]
+    texts = ["".join(rng.choices(tokens, k=rng.randint(1, 14))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = {
+        "sql": t.rlike(text.pattern(*C.SQL_INJECTION_PATTERNS, ignore_case=True)),
+        "sec": t.rlike(text.pattern(*C.SQL_INJECTION_PATTERNS, *C.SECURITY_PATTERNS, ignore_case=True)),
+        "null": t.rlike(text.pattern(*C.NULL_REFERENCE_PATTERNS)),
+        "type": t.rlike(text.pattern(*C.TYPE_MISMATCH_PATTERNS)),
+        "logic": t.rlike(text.pattern(*C.LOGIC_FLAW_PATTERNS)),
+    }
+    hinted = {
+        "sql": rules.has_sql_injection_risk(t),
+        "sec": rules.has_security_risk(t),
+        "null": rules.has_null_reference_risk(t),
+        "type": rules.has_type_mismatch(t),
+        "logic": rules.has_logic_flaw(t),
+    }
+    counts = df.agg(
+        *[F.count_if(plain[k] != hinted[k]).alias(f"{k}_wrong") for k in plain],
+        *[F.count_if(plain[k]).alias(f"{k}_hits") for k in plain],
+    ).first()
+    assert all(counts[f"{k}_wrong"] == 0 for k in plain)
+    assert all(counts[f"{k}_hits"] > 50 for k in plain)
