@@ -21,8 +21,8 @@ from diffmill.schemas import PREDICTION
 DEFAULT_CANDIDATES = (0.001, 0.01, 0.1)
 
 
-def classifier(regularization: float, features: int = 1 << 16) -> Pipeline:
-    """Bag of code tokens into a multinomial regression over the five classes."""
+def token_features(features: int = 1 << 16) -> Pipeline:
+    """Weighted bag of code tokens."""
     return Pipeline(
         stages=[
             RegexTokenizer(
@@ -34,18 +34,22 @@ def classifier(regularization: float, features: int = 1 << 16) -> Pipeline:
             ),
             HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features),
             IDF(inputCol="counts", outputCol="features"),
-            LogisticRegression(
-                featuresCol="features",
-                labelCol="label",
-                weightCol="weight",
-                family="multinomial",
-                regParam=regularization,
-                maxIter=50,
-            ),
         ]
     )
 
 
+def classifier(regularization: float) -> LogisticRegression:
+    """Multinomial regression over the five classes."""
+    return LogisticRegression(
+        featuresCol="features",
+        labelCol="label",
+        weightCol="weight",
+        family="multinomial",
+        regParam=regularization,
+        maxIter=50,
+    )
+
+
 def weighted_samples(samples: DataFrame) -> DataFrame:
     """A4 joined to the samples; the weight table has one row per class."""
     return samples.join(F.broadcast(class_weights(samples)), "label")
@@ -60,13 +64,18 @@ def train(
     """M3: fit one model per regularization, keep the one with the best weighted F1 on
     the validation part. Returns the model and the row that describes it.
 
-    Only the choice of one row reaches the driver.
+    The features are fitted once and shared by all candidates. Only the choice of one row
+    reaches the driver.
     """
     weighted = weighted_samples(train_part)
-    models = [classifier(reg, features).fit(weighted) for reg in candidates]
+    tokens = token_features(features).fit(weighted)
+    prepared = tokens.transform(weighted).select("features", "label", "weight")
+    validation = tokens.transform(val_part).select("features", "label")
+    fitted = [classifier(reg).fit(prepared) for reg in candidates]
+    models = [PipelineModel(stages=[*tokens.stages, model]) for model in fitted]
     predicted = None
-    for number, model in enumerate(models):
-        part = model.transform(val_part).select(
+    for number, model in enumerate(fitted):
+        part = model.transform(validation).select(
             F.lit(number).alias("candidate"), "label", F.col("prediction").cast("int").alias("pred")
         )
         predicted = part if predicted is None else predicted.unionByName(part)
