@@ -7,9 +7,10 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from diffmill.llm import bpe, quality_rules, token_counts, token_files
-from diffmill.llm.batches import table
+from diffmill.llm import bpe, language_id, mixing, quality_rules, reply_trees, token_counts, token_files, toxicity
+from diffmill.llm.batches import learned_from, table
 from diffmill.sources.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,12 +49,51 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = learned_from(5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn)
+    return toxicity.score(docs, model).select(
+        "doc_id", (~learn).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+#: A conversation that is nothing but control strings.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    return reply_trees.checked(reply_trees.chats(reply_trees.as_trees(rows.unionByName(control))))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = learned_from(3, 1)
+    known = language_id.learn(docs, learn)
+    return language_id.identify(docs.select("doc_id", "text"), known).select(
+        "doc_id", (~learn).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model)
 
 
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
