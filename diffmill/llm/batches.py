@@ -1,6 +1,8 @@
 """Small helpers for Arrow batches and columns that the operators of this package share."""
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Where the package lies, for the Python workers of a session started elsewhere.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def with_package(function: Callable[..., DataFrame], spark: SparkSession, *args) -> DataFrame:
+    """``function(spark, *args)``, with workers that find the package by the path it has
+    on the driver; a cluster that has it elsewhere ships it with ``--py-files``."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
+    return function(spark, *args)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,18 +48,6 @@ def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.L
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
-def by_rows(rows: int, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """A function for ``mapInArrow`` that hands batches of at most ``rows`` rows on, so
-    that what a batch of long texts needs stays bounded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                yield per_batch(batch.slice(start, rows))
-
-    return run
-
-
 def learned_from(modulus: int, held: int):
     """True for documents outside the fold that is held out: crc32 of the id as text."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held

@@ -171,10 +171,12 @@ def learn(
     return Filter(languages, out)
 
 
-def identify(docs: DataFrame, known: Filter, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` without its text, with the language of each whole text and the share of
-    its n-grams that this language has."""
-    extra = [c for c in docs.columns if c not in ("text", lang, score)]
+def identify(
+    docs: DataFrame, known: Filter, lang: str = "lang_pred", score: str = "score", keep_text: bool = False
+) -> DataFrame:
+    """``docs`` with the language of each whole text and the share of its n-grams that
+    this language has; with or without the text."""
+    extra = [c for c in docs.columns if c not in (lang, score) and (keep_text or c != "text")]
     masks = docs.sparkSession.sparkContext.broadcast(known.compact())
     languages, chance = [*known.languages, UNKNOWN], known.chance()
 
@@ -198,4 +200,5 @@ def identify(docs: DataFrame, known: Filter, lang: str = "lang_pred", score: str
                 )
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
-    return docs.select(*extra, "text").mapInArrow(run, f"{kinds}`{lang}` string, `{score}` double")
+    texts_last = [F.col(f"`{c}`") for c in extra if c != "text"]
+    return docs.select(*texts_last, "text").mapInArrow(run, f"{kinds}`{lang}` string, `{score}` double")

@@ -2,7 +2,7 @@
 
 Each rule reads the counts of one text and votes good (1), bad (-1) or abstains (0). No
 rule decides alone: expectation-maximisation over all documents estimates how often each
-rule votes each way on good and on bad texts, and the posterior probability of good
+rule is right when it votes on a good or on a bad text, and the posterior probability of good
 replaces the demand that all rules pass. Documents matter to the estimate only by their
 pattern of votes, so it works on the histogram of patterns: at most 3 to the number of
 rules rows, however many documents there are.
@@ -101,20 +101,21 @@ def rules() -> list[Rule]:
     symbols, repeats = share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
     letters, ends, copies = share("n_letters", "word_chars"), share("n_ends", "n_lines"), share("n_dup_lines", "n_lines")
     return [
-        Rule("size", words >= 50, words < 20),
+        Rule("size", words >= 50, words < 12),
         Rule("word_length", mean.between(3.0, 9.0), ~mean.between(2.5, 12.0)),
         Rule("symbols", symbols <= 0.02, symbols > 0.10),
         Rule("letters", letters >= 0.90, letters < 0.75),
-        Rule("line_copies", (lines >= 3) & (copies <= 0.05), copies > 0.20),
-        Rule("repetition", repeats <= 0.05, repeats > 0.12),
-        Rule("sentences", ends >= 0.60, ends < 0.20),
+        Rule("line_copies", copies <= 0.10, copies > 0.35),
+        Rule("repetition", repeats <= 0.10, repeats > 0.17),
+        Rule("sentences", ends >= 0.50, ends < 0.10),
     ]
 
 
 @dataclass(frozen=True)
 class VoteModel:
     """``prior``: share of good documents; ``good`` and ``bad``: by rule, the chance of
-    the votes -1, 0 and 1 on documents of that kind."""
+    the votes -1 and 1 on documents of that kind where the rule votes. To abstain says
+    nothing."""
 
     prior: float
     good: list[dict[int, float]]
@@ -122,7 +123,7 @@ class VoteModel:
 
     def logit(self, votes: tuple[int, ...]) -> float:
         known = zip(votes, self.good, self.bad)
-        return math.log(self.prior / (1 - self.prior)) + sum(math.log(g[v] / b[v]) for v, g, b in known)
+        return math.log(self.prior / (1 - self.prior)) + sum(math.log(g[v] / b[v]) for v, g, b in known if v)
 
 
 def posterior(logit: float) -> float:
@@ -142,12 +143,13 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100, tolerance:
         mass = sum(n * weights[p] for p, n in patterns.items())
         good, bad = [], []
         for k in range(n_rules):
-            g, b = {-1: 1.0, 0: 1.0, 1: 1.0}, {-1: 1.0, 0: 1.0, 1: 1.0}
+            g, b = {-1: 1.0, 1: 1.0}, {-1: 1.0, 1: 1.0}
             for p, n in patterns.items():
-                g[p[k]] += n * weights[p]
-                b[p[k]] += n * (1 - weights[p])
-            good.append({v: x / (mass + 3) for v, x in g.items()})
-            bad.append({v: x / (total - mass + 3) for v, x in b.items()})
+                if p[k]:
+                    g[p[k]] += n * weights[p]
+                    b[p[k]] += n * (1 - weights[p])
+            good.append({v: x / sum(g.values()) for v, x in g.items()})
+            bad.append({v: x / sum(b.values()) for v, x in b.items()})
         return VoteModel((mass + 1) / (total + 2), good, bad)
 
     weights = {p: 0.5 + 0.45 * sum(p) / max(sum(map(abs, p)), 1) for p in patterns}
@@ -173,7 +175,7 @@ def quality(model: VoteModel, chosen: list[Rule]) -> Column:
     for rule, g, b in zip(chosen, model.good, model.bad):
         vote = rule.vote()
         weight = {v: math.log(g[v] / b[v]) for v in g}
-        logit = logit + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(weight[0])
+        logit = logit + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 

@@ -1,39 +1,23 @@
 """Driver queries of this package: one per operator, over its whole table."""
 
-import os
 from collections.abc import Callable
-from functools import wraps
-from pathlib import Path
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import bpe, language_id, mixing, quality_rules, reply_trees, token_counts, token_files, toxicity
-from diffmill.llm.batches import learned_from, table
+from diffmill.llm import bpe, language_id, mixing, ngram_join, quality_rules, reply_trees, token_counts, token_files, toxicity
+from diffmill.llm.batches import learned_from, table, with_package
 from diffmill.sources.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Where the package lies, for the Python workers of a session started elsewhere.
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
 def query(function):
-    """Register a query. Workers find the package by the path it has on the driver; a
-    cluster that has it elsewhere ships it with ``--py-files``."""
-
-    @wraps(function)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        known = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if ROOT not in known.split(os.pathsep):
-            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
-        return function(spark, sf_dir)
-
-    QUERIES[function.__name__] = run
-    return run
+    QUERIES[function.__name__] = partial(with_package, function)
+    return function
 
 
 @query
@@ -101,3 +85,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2
     )
     return token_files.checked(token_files.read_documents(spark, path))
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), words=3, percent=90)

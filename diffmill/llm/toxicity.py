@@ -195,7 +195,7 @@ def _features(rows: DataFrame, ratios, extra: list[str]) -> DataFrame:
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
     schema = kinds + "".join(f", {c} double" for c in FEATURES)
-    return rows.select(*extra, "text").mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in extra], "text").mapInArrow(run, schema)
 
 
 def _gram_counts(rows: DataFrame) -> DataFrame:
@@ -261,13 +261,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000
     return model
 
 
-def score(docs: DataFrame, model: Model | None, score: str = "score") -> DataFrame:
-    """``docs`` without its text, with the score of each whole text."""
-    extra = [c for c in docs.columns if c not in ("text", score, *FEATURES)]
+def score(docs: DataFrame, model: Model | None, score: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the score of each whole text, with or without the text. Columns of
+    the names of the features come back as they were."""
+    own = [c for c in docs.columns if c != score and (keep_text or c != "text")]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in own], "text")
+    extra = [f"_in_{c}" for c in own]
+    back = [F.col(f"`_in_{c}`").alias(c) for c in own]
     if model is None:
-        return docs.select(*extra).withColumn(score, F.lit(0.0))
+        return docs.select(*back, F.lit(0.0).alias(score))
     found = _features(docs, docs.sparkSession.sparkContext.broadcast(model.ratios), extra)
     value = F.lit(float(model.weights[0]))
     for k, c in enumerate(FEATURES):
         value = value + float(model.weights[k + 1]) * (F.col(c) - float(model.mean[k])) / float(model.scale[k])
-    return found.select(*extra, (1 / (1 + F.exp(-value))).alias(score))
+    return found.select(*back, (1 / (1 + F.exp(-value))).alias(score))
