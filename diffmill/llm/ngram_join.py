@@ -42,13 +42,13 @@ from diffmill.llm.components import connected
 from diffmill.sources.staging import staged
 
 #: One in so many documents is counted to find frequent shingles; so many become last.
-SAMPLE, LEAST_COUNT, FREQUENT = 4, 3, 1_000_000
+SAMPLE, LEAST_COUNT, FREQUENT = 8, 2, 1_000_000
 #: Set sizes that may become the boundary of light and heavy.
 BOUNDARIES = [0, 8, 9, 14, 19, 29, 39, 59, 79, 119, 159, 239, 319, 479, 639]
 #: Lists of at most so many members give all their pairs, which then must share so many.
 SHORT, SHARED = 8, 3
 #: Counters that order the elements of the sets left after the pivots.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Up to so many ids (8 MB) are broadcast to find their texts; beyond, texts are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -132,8 +132,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, sig1, sig2, sketch``: size and signature of each set, and twice the
-    prefix of its order."""
+    """``doc_id, n, sig1, sig2, sketch``: size and signature of each set, and one and
+    a half times the prefix of its order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,8 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                 batch = whole.slice(start, 1000)
                 found = [shingler.ordered(x, shared.value) for x in byte_texts(batch.column("text"))]
                 size = np.array([len(x) for x in found], np.int64)
-                reach = np.minimum(size, 2 * (size - least_overlap(size, percent) + 1) + 2)
+                prefix = size - least_overlap(size, percent) + 1
+                reach = np.minimum(size, prefix + prefix // 2 + SHARED)
                 parts = [x[:k] for x, k in zip(found, reach.tolist())]
                 signs = np.array([_signature(x) for x in found], np.int64).reshape(-1, 2)
                 flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import bpe, language_id, mixing, ngram_join, quality_rules, reply_trees, token_counts, token_files, toxicity
+from diffmill.llm import bpe, language_id, mixing, near_vectors, ngram_join, quality_rules, reply_trees, token_counts, token_files, toxicity
 from diffmill.llm.batches import learned_from, table, with_package
 from diffmill.sources.staging import new_path
 
@@ -26,6 +26,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+@query
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.links(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(
