@@ -17,8 +17,8 @@ from diffmill.sources.staging import staged
 #: Documents without an n-gram of any language, or with fewer than this share of known
 #: ones in their best language, are rejected.
 LEAST_LANGUAGE = 0.3
-#: Weights of the sources in turn, and the share of the deduplicated words to take.
-WEIGHTS, SHARE, MOST = [3, 1, 2], 1.0, 2.0
+#: Weights of the sources in turn, and how many words to take, as a share of those that are left.
+WEIGHTS, SHARE, MOST = [3, 1, 2], 1.5, 2.0
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
