@@ -6,8 +6,8 @@ number of joins that grows with the logarithm of the depth. Leaves of a tree are
 the mean score of their paths; the messages of the chosen paths are marked by walking the
 same joins from the leaves up. Each chosen path becomes one conversation.
 
-The template marks turns by control strings. Texts may contain anything: the three
-characters that begin a control string or an escape are escaped, so a control string in
+The template marks turns by control strings. Texts may contain anything: the four
+characters that begin or end a control string or an escape are escaped, so a control string in
 the output is always the template's. The loss mask is a list of spans, in code points of
 the output, one for the text of each assistant turn.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from diffmill.sources.staging import staged
 
 #: Escapes, in the order of escaping.
-ESCAPES = [("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;")]
+ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("[", "&#91;")]
 #: Before and after the text, by role; other roles are named in the mark.
 USER, ASSISTANT = ("[INST]", "[/INST]"), ("<s>", "</s>")
 OTHER = ("<<", ">>", "<</>>")
