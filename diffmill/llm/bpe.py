@@ -191,7 +191,7 @@ def _pairs(path: str) -> BytePairs:
     return _once(("pairs", path), lambda: BytePairs(read_ranks(path)))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 800_000) -> DataFrame:
     """Adds the token ids of ``text`` as an array of ints.
 
     ``vocabulary`` is a rank file that every executor has at this path. ``kept`` bounds
@@ -205,8 +205,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kep
             ("encoder", vocabulary, pattern, kept), lambda: TextEncoder(_pairs(vocabulary), pattern, kept)
         )
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 coded = [encoder.encode(x) for x in texts(batch.column("text"))]
                 lengths = np.array([len(x) // 4 for x in coded], np.int64)
                 flat = np.frombuffer(b"".join(coded), "i4")
@@ -226,8 +226,8 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "
         pairs = _pairs(vocabulary)
         strings = dict(enumerate(pairs.strings))
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 column = batch.column(ids)
                 bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
                 flat = column.flatten().to_numpy(zero_copy_only=False)

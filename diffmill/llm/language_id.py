@@ -104,16 +104,18 @@ def _counts(rows: DataFrame) -> DataFrame:
     """``lang, gram, n``: each batch counts, Spark sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text"))):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, some in by_lang.items():
-                keys, counts = np.unique(gram_keys(some)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())],
-                    names=["lang", "gram", "n"],
-                )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                by_lang: dict[str, list[str]] = {}
+                for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text"))):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, some in by_lang.items():
+                    keys, counts = np.unique(gram_keys(some)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)],
+                        names=["lang", "gram", "n"],
+                    )
 
     found = rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -58,7 +58,7 @@ _LAST = np.uint64(1 << 62)
 class Shingler:
     """Sets of shingles of texts. Word hashes of the first words met are kept."""
 
-    def __init__(self, words: int, kept: int = 600_000):
+    def __init__(self, words: int, kept: int = 300_000):
         self.words, self.kept = words, kept
         self.known: dict[bytes, int] = {}
 
@@ -139,8 +139,8 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 found = [shingler.ordered(x, shared.value) for x in byte_texts(batch.column("text"))]
                 size = np.array([len(x) for x in found], np.int64)
                 prefix = size - least_overlap(size, percent) + 1
@@ -169,8 +169,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 found = [shingler.shingles(x) for x in byte_texts(batch.column("text"))]
                 size = np.array([len(x) for x in found], np.int64)
                 flat = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)

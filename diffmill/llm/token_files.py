@@ -117,7 +117,7 @@ def _block(part: int, before: int, docs: list, coded: list[bytes]) -> pa.RecordB
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 1_000_000
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 800_000
 ) -> None:
     """Encode ``doc_id, text`` and write the token files to ``path``.
 

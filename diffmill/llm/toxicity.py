@@ -110,7 +110,7 @@ class WordScorer:
     """Ratios of words, by table. The first words met are kept, up to a fixed number."""
 
     ratios: dict[str, float]
-    kept: int = 600_000
+    kept: int = 250_000
 
     def __post_init__(self):
         self.known: dict[bytes, float] = {}
@@ -184,8 +184,8 @@ def _features(rows: DataFrame, ratios, extra: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScorer(ratios.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
                 found = [scorer.features(x) for x in byte_texts(batch.column("text"))]
                 table = np.array(found, float).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
