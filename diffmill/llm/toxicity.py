@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +154,7 @@ class Model:
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        x = np.column_stack([np.ones(len(features)), (features - self.mean) / self.scale])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -500, 500)))
+    shared: Broadcast | None = None  # the ratios, as workers have them
 
 
 def _curve(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model:
@@ -257,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000
     rate = {k: sizes[k] / max((toxic == k).sum(), 1) for k in (0, 1)}
     weight = np.where(toxic == 1, rate[1], rate[0])
     model = _curve(features, toxic.astype(float), weight / weight.mean())
-    model.ratios = ratios
+    model.ratios, model.shared = ratios, shared
     return model
 
 
@@ -270,7 +268,8 @@ def score(docs: DataFrame, model: Model | None, score: str = "score", keep_text:
     back = [F.col(f"`_in_{c}`").alias(c) for c in own]
     if model is None:
         return docs.select(*back, F.lit(0.0).alias(score))
-    found = _features(docs, docs.sparkSession.sparkContext.broadcast(model.ratios), extra)
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model.ratios)
+    found = _features(docs, shared, extra)
     value = F.lit(float(model.weights[0]))
     for k, c in enumerate(FEATURES):
         value = value + float(model.weights[k + 1]) * (F.col(c) - float(model.mean[k])) / float(model.scale[k])
