@@ -110,11 +110,13 @@ def reach(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     messages.
     """
     ids = messages.select(F.col("node").alias("parent"))
-    known = messages.join(ids.withColumn("there", F.lit(True)), "parent", "left")
+    answers = messages.filter(F.col("parent").isNotNull())
+    there = answers.join(ids, "parent", "left_semi").withColumn("up", F.col("parent"))
+    missing = answers.join(ids, "parent", "left_anti").unionByName(messages.filter(F.col("parent").isNull()))
     state = staged(
-        known.select(
+        there.unionByName(missing.withColumn("up", F.lit(None).cast(messages.schema["node"].dataType))).select(
             "node",
-            F.when(F.col("there"), F.col("parent")).alias("up"),
+            "up",
             F.coalesce("score", F.lit(0.0)).alias("path_score"),
             F.lit(1).cast("bigint").alias("depth"),
             F.col("node").alias("root"),
@@ -133,16 +135,15 @@ def reach(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             F.col("depth").alias("steps"),
             F.col("root").alias("above"),
         )
-        state = staged(
-            state.join(above, "up", "left").select(
-                "node",
-                F.col("next").alias("up"),
-                (F.col("path_score") + F.coalesce("more", F.lit(0.0))).alias("path_score"),
-                (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"),
-                F.coalesce("above", "root").alias("root"),
-            ),
-            "reply-reach",
+        # only those on their way are joined
+        climbed = state.filter(F.col("up").isNotNull()).join(above, "up").select(
+            "node",
+            F.col("next").alias("up"),
+            (F.col("path_score") + F.col("more")).alias("path_score"),
+            (F.col("depth") + F.col("steps")).alias("depth"),
+            F.col("above").alias("root"),
         )
+        state = staged(state.filter(F.col("up").isNull()).select(climbed.columns).unionByName(climbed), "reply-reach")
     return state.filter(F.col("up").isNull()).drop("up"), steps
 
 
