@@ -83,7 +83,7 @@ def _numbered_additions(lines: Column, base: Column) -> Column:
             lines,
             lambda ln, i: F.when(
                 F.startswith(ln, F.lit("+")),
-                F.struct((base + i).alias("no"), F.substring(ln, 2, _ALL).alias("code")),
+                F.struct((base + i).alias("no"), F.substr(ln, F.lit(2)).alias("code")),
             ),
         )
     )
@@ -108,7 +108,7 @@ def _cut_piece(piece: Column, index: Column) -> Column:
 
 def _cut_section(section: Column, index: Column) -> Column:
     file = F.when(index == 0, C.UNKNOWN_FILE).otherwise(
-        F.substring(F.substring_index(section, "\n", 1), 7, _ALL)
+        F.substr(F.substring_index(section, "\n", 1), F.lit(7))
     )
     # end: line counter after the section; counted from the section's start, unless a hunk
     # header in it set the counter (resets)
@@ -186,23 +186,37 @@ def _section_lines(sections: Column, groups: Column) -> Column:
 
 
 def _merged_files(sections: Column) -> Column:
-    """One entry per file; a file that comes back later is merged into its first place."""
-
-    def merge(files: Column) -> Column:
-        merged = F.transform(
-            files,
-            lambda file: F.struct(
-                file.alias("file"),
-                F.flatten(
-                    F.transform(
-                        F.filter(sections, lambda s: s["file"] == file), lambda s: s["lines"]
-                    )
-                ).alias("lines"),
-            ),
+    """One entry per file; a file that comes back later is merged into its first place.
+
+    Sections are sorted by file and cut where the file changes, so that the cost stays
+    near the number of sections, however many files come back.
+    """
+    numbered = F.array_sort(
+        F.transform(sections, lambda s, i: F.struct(s["file"].alias("file"), i.alias("at")))
+    )
+
+    def merge(order: Column) -> Column:
+        first = lambda i: (i == 0) | (
+            F.get(order, i)["file"] != F.get(order, F.greatest(i - 1, F.lit(0)))["file"]
+        )
+        starts = F.filter(F.transform(order, lambda _, i: i), first)
+        return let(starts, lambda at: F.transform(F.array_sort(groups(order, at)), joined))
+
+    def groups(order: Column, starts: Column) -> Column:
+        def group(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(order))
+            places = F.transform(F.slice(order, start + 1, end - start), lambda s: s["at"])
+            return F.struct(F.get(places, F.lit(0)).alias("first"), places.alias("places"))
+
+        return F.transform(starts, group)
+
+    def joined(group: Column) -> Column:
+        return F.struct(
+            F.get(sections, group["first"])["file"].alias("file"),
+            F.flatten(F.transform(group["places"], lambda i: F.get(sections, i)["lines"])).alias("lines"),
         )
-        return F.when(F.size(files) == F.size(sections), sections).otherwise(merged)
 
-    return let(F.array_distinct(F.transform(sections, lambda s: s["file"])), merge)
+    return let(numbered, merge)
 
 
 def _files(diff: Column) -> Column:

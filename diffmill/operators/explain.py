@@ -16,8 +16,22 @@ def _in_rank_order(text: Column, separator: str) -> Column:
     return F.array_join(F.transform(ordered, lambda e: e["t"]), separator)
 
 
+def with_defaults(issues: DataFrame) -> DataFrame:
+    """Issues with a text for every field that a prompt, comment or review shows."""
+    defaults = {
+        "label": F.lit("Unknown"),
+        "confidence": F.lit(0.0),
+        "code": F.lit(""),
+        "file": F.lit("unknown"),
+    }
+    return issues.withColumns(
+        {c: F.coalesce(F.col(c), d) for c, d in defaults.items() if c in issues.columns}
+    )
+
+
 def prompts(issues: DataFrame) -> DataFrame:
     """One prompt per pull request with a block per issue, in rank order."""
+    issues = with_defaults(issues)
     block = F.concat(
         F.lit("### Issue "),
         F.col("issue_idx").cast("string"),

@@ -122,7 +122,8 @@ def score_with_function(
     """M1 with a user's own model. ``load()`` runs once per task and returns a function
     from a list of codes to an array with one row of class probabilities per code.
 
-    Blank code is not sent to it. A batch that fails is marked as an error (P6).
+    Blank code is not sent to it. A batch that fails is halved until
+    only the codes that fail by themselves are marked as errors (P6).
     """
     columns = chunks.columns
     raw = chunks.withColumn("needs_score", ~blank_code(F.col("code")))
@@ -132,13 +133,21 @@ def score_with_function(
         predict = load()
         for batch in batches:
             scores = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            wanted = batch.index[batch["needs_score"]]
-            try:
-                found = predict(batch.loc[wanted, "code"].tolist())
-                for at, row in zip(wanted, found, strict=True):
-                    scores.at[at] = [float(p) for p in row]
-            except Exception:  # a failing scorer must not end the job
-                scores[:] = None
+            waiting = [list(batch.index[batch["needs_score"]])]
+            while waiting:
+                wanted = waiting.pop()
+                try:
+                    found = list(predict(batch.loc[wanted, "code"].tolist())) if wanted else []
+                    rows = [[float(p) for p in row] for row in found]
+                    if len(rows) != len(wanted):
+                        raise ValueError("not one row of probabilities per code")
+                except Exception:  # a failing scorer must not end the job
+                    if len(wanted) > 1:  # find the code that fails
+                        middle = len(wanted) // 2
+                        waiting += [wanted[:middle], wanted[middle:]]
+                    continue
+                for at, row in zip(wanted, rows):
+                    scores.at[at] = row
             yield batch.assign(probabilities=scores)
 
     scored = raw.mapInPandas(score, schema)

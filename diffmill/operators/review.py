@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from diffmill import constants as C
 from diffmill.functions.rules import suspicious_line_offset
 from diffmill.functions.text import percent, strip, strip_to_null
-from diffmill.operators.explain import _in_rank_order
+from diffmill.operators.explain import _in_rank_order, with_defaults
 
 _REVIEW_MARK = "## Issue"
 
@@ -83,6 +83,7 @@ def comment_body() -> Column:
 
 def inline_comments(explained: DataFrame) -> DataFrame:
     """One comment per issue, on its most suspicious line."""
+    explained = with_defaults(explained)
     return explained.select(
         "pr_id",
         "issue_idx",
@@ -130,6 +131,7 @@ def _issue_section() -> Column:
 
 def issue_type_counts(explained: DataFrame) -> DataFrame:
     """Issues per type and pull request with the place of the first one."""
+    explained = with_defaults(explained)
     return explained.groupBy("pr_id", "label").agg(
         F.count("*").alias("n"), F.min("issue_idx").alias("first_idx")
     )
@@ -148,6 +150,7 @@ def plural_of(issue_type: Column, n: Column) -> Column:
 
 def summary_bullets(explained: DataFrame) -> DataFrame:
     """Total and bullet list per pull request, at most one bullet per issue type."""
+    explained = with_defaults(explained)
     bullet = F.concat(
         F.lit("- **"), plural_of(F.col("label"), F.col("n")), F.lit(":** "), F.col("n").cast("string")
     )
@@ -170,6 +173,7 @@ def reviews(explained: DataFrame, languages: DataFrame) -> DataFrame:
 
     ``languages(pr_id, language)`` has every pull request, clean ones included.
     """
+    explained = with_defaults(explained)
     sections = explained.groupBy("pr_id").agg(
         _in_rank_order(_issue_section(), "\n").alias("sections")
     )

@@ -14,13 +14,15 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a session without one, such
-    as a local test, gets a temporary folder."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session without one, such
+    as a test, gets a temporary folder; on a cluster executors would not share it."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_DIR
     )
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="diffmill-")
     spark.conf.set(CHECKPOINT_DIR, path)
     return path
@@ -30,8 +32,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/diffmill/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table and read it back."""
-    path = new_path(df.sparkSession, name)
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to a new table, at ``path`` if given, and read it back."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -278,3 +278,52 @@ def test_cap_comes_before_duplicates(spark):
     assert sorted(r.line for r in posted.collect()) == [1, 3, 4, 5, 6, 7, 8, 9, 10]
     review = spark.createDataFrame([(1, "full", "short"), (2, "full", "short")], "pr_id long, final_review string, review_summary string")
     assert {r.pr_id: r.status_body for r in status_body(review, posted).collect()} == {1: "short", 2: "full"}
+
+
+def test_missing_fields_are_shown_by_defaults(spark):
+    from diffmill.operators import explain, review
+
+    schema = "pr_id long, issue_idx int, label string, confidence double, code string, file string, start_line int"
+    extra = "explanation string, severity string, recommended_fix string, fixed_code string, fix_suggestion string"
+    rows = [
+        (1, 1, "Logic Bug", None, "x = 1", "a.py", 1), (1, 2, None, 0.5, None, "a.py", 2), (1, 3, "Logic Bug", 0.5, "y", None, 3),
+    ]
+    issues = spark.createDataFrame(rows, schema)
+    assert explain.prompts(issues).head().prompt.count("### Issue ") == 3
+    explained = spark.createDataFrame([(*r, *[None] * 5) for r in rows], f"{schema}, {extra}")
+    languages = spark.createDataFrame([(1, "Python")], "pr_id long, language string")
+    found = review.reviews(explained, languages).head()
+    assert found.final_review.count("**File:** `") == 3 and "`unknown`" in found.final_review
+    assert found.issue_count == found.issues_found == 3 and "Unknown" in found.review_summary
+    assert all(r.body.count("Confidence") == 1 for r in review.inline_comments(explained).collect())
+
+
+def test_a_failing_code_fails_alone(spark):
+    import numpy as np
+
+    from diffmill.operators.model import score_with_function
+
+    def load():
+        def predict(codes):
+            if any("boom" in c for c in codes):
+                raise ValueError("boom")
+            return np.full((len(codes), 5), 0.2)
+
+        return predict
+
+    rows = [(i, f"def f{i}():\n    return {'boom' if i == 7 else i} + total") for i in range(50)]
+    chunks = spark.createDataFrame(rows, "pr_id long, code string")
+    failed = score_with_function(chunks, load).filter("prediction IS NULL OR prediction.label_id < 0").collect()
+    assert [r.pr_id for r in failed] == [7]
+
+
+def test_staging_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from diffmill.sources import staging
+
+    session = N(
+        conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077", getConf=lambda: N(get=lambda _: None))
+    )
+    with pytest.raises(ValueError, match="must name a folder"):
+        staging.shared_dir(session)

@@ -859,8 +859,8 @@ def x2(spark, sf):
 
 @register("x3_first_comments", "SELECT DISTINCT pr_id, file, line FROM comments")
 def x3(spark, sf):
-    planned = staging.staged(comments(spark, sf).select("pr_id", "file", "line"), "planned")
-    source = planned.inputFiles()[0].rsplit("/", 1)[0]
+    source = staging.new_path(spark, "planned")
+    planned = staging.staged(comments(spark, sf).select("pr_id", "file", "line"), "planned", source)
     stream = spark.readStream.schema(planned.schema).parquet(source)
     sink = staging.new_path(spark, "first-comments")
     writer = streams.first_comments(stream).writeStream.format("parquet").option(
