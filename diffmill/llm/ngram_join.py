@@ -307,9 +307,13 @@ class Join:
         self.links = found if self.links is None else self.links.unionByName(found)
 
     def _with_pivots(self, lists: DataFrame) -> DataFrame:
+        pivots = lists.groupBy("key").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"), "n")).alias("p"))
+        pivots = pivots.select("key", (-F.col("p.minus")).alias("other"), F.col("p.n").alias("other_n"))
         small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
         fits = (F.col("id") != F.col("other")) & (100 * small >= self.percent * large)
-        return lists.filter(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        return lists.join(pivots, "key").filter(fits).select(
+            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
+        )
 
     def _in_short_lists(self, lists: DataFrame) -> DataFrame:
         x, y = lists.alias("x"), lists.alias("y")
@@ -325,16 +329,12 @@ class Join:
         least = F.least(F.lit(SHARED), F.floor((self.percent * F.col("large") + 99) / 100))
         return counted.filter((F.col("key") < 0) | (F.col("shared") >= least)).select("a", "b")
 
-    def _pivots(self, postings: DataFrame, order: Column) -> DataFrame:
-        pivot = F.max(F.struct(order.alias("order"), (-F.col("id")).alias("minus"), "n"))
-        return postings.groupBy("key").agg(F.count("*").alias("members"), pivot.alias("p")).select(
-            "key", "members", (-F.col("p.minus")).alias("other"), F.col("p.n").alias("other_n")
-        )
-
     def run(self, postings: DataFrame) -> DataFrame:
         """``node, component`` of all sets that link with another."""
-        pivots = self._pivots(postings, F.col("copies")).filter("members > 1")
-        lists = staged(postings.join(pivots, "key"), "join-lists")
+        # most elements stand alone: only keys and ids are shuffled to find that out
+        shared = postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+        found = postings.select("key", "id").join(shared, "key")
+        lists = staged(found.join(self.reps.select("id", "n", "copies"), "id"), "join-lists")
         short, long = lists.filter(F.col("members") <= SHORT), lists.filter(F.col("members") > SHORT)
         pairs = self._in_short_lists(short).unionByName(self._with_pivots(long)).distinct()
         pairs = staged(self._possible(pairs), "join-possible")
