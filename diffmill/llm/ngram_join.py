@@ -20,8 +20,10 @@ of the larger, and only if the places of their common element allow the overlap.
 group of near copies costs about its size, not its square, and no link between components
 is lost.
 
-A candidate pair of the first kind passes if the known beginnings of both sets allow the
-overlap. All pairs are verified on the whole sets, read again from the texts.
+Every set carries the parities of its elements' counts in 2,048 slots. Where two sets'
+parities differ, they differ in an element, so a pair with too many such slots can't link;
+this drops nearly all candidates that don't and none that do. The pairs that are left are
+verified on the whole sets, read again from the texts of these documents alone.
 
 Shingles are compared by 62 bits of a hash. Defined results: a text without words, null or
 empty, has an empty set and links with nothing; with fewer words than the shingle length,
@@ -52,6 +54,9 @@ COUNTERS = 1 << 18
 #: Up to so many ids (8 MB) are broadcast to find their texts; beyond, texts are joined.
 BROADCAST_IDS = 1_000_000
 
+#: Slots of the parities, in 64-bit words of a set.
+SLOTS = 2048
+
 _LAST = np.uint64(1 << 62)
 
 
@@ -111,6 +116,11 @@ def _signature(found: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    counts = np.bincount((found & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    return np.packbits(counts & 1).view(np.int64)
+
+
 def _sample_counts(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -132,8 +142,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, sig1, sig2, sketch``: size and signature of each set, and one and
-    a half times the prefix of its order."""
+    """``doc_id, n, sig1, sig2, sketch, parity``: size and signature of each set, the
+    prefix of its order with ``SHARED`` elements more, and the parities of its slots."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +154,12 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                 found = [shingler.ordered(x, shared.value) for x in byte_texts(batch.column("text"))]
                 size = np.array([len(x) for x in found], np.int64)
                 prefix = size - least_overlap(size, percent) + 1
-                reach = np.minimum(size, prefix + prefix // 2 + SHARED)
+                reach = np.minimum(size, prefix + SHARED)
                 parts = [x[:k] for x, k in zip(found, reach.tolist())]
                 signs = np.array([_signature(x) for x in found], np.int64).reshape(-1, 2)
                 flat = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+                parity = np.array([_parities(x) for x in found], np.int64).reshape(-1)
+                each = np.full(len(found), SLOTS // 64, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
@@ -155,32 +167,41 @@ def sketches(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                         pa.array(signs[:, 0]),
                         pa.array(signs[:, 1]),
                         list_array(flat, reach, pa.int64()),
+                        list_array(parity, each, pa.int64()),
                     ],
-                    names=["doc_id", "n", "sig1", "sig2", "sketch"],
+                    names=["doc_id", "n", "sig1", "sig2", "sketch", "parity"],
                 )
 
-    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, sketch array<bigint>"
+    schema = "doc_id bigint, n bigint, sig1 bigint, sig2 bigint, sketch array<bigint>, parity array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
+def _documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, text`` for the documents of ``ids`` (one row per ``id``), and its other columns."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches with the sets of their texts."""
+    shingler = Shingler(words)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            yield batch, [shingler.shingles(x).astype(np.int64) for x in byte_texts(batch.column("text"))]
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``id, set`` for the documents of ``ids`` (``id``), written down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                found = [shingler.shingles(x) for x in byte_texts(batch.column("text"))]
-                size = np.array([len(x) for x in found], np.int64)
-                flat = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), list_array(flat, size, pa.int64())], names=["id", "set"]
-                )
+        for batch, found in _sets(batches, words):
+            size = np.array([len(x) for x in found], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), list_array(np.concatenate(found), size, pa.int64())], names=["id", "set"]
+            )
 
-    ids = staged(ids.distinct(), "join-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id", "left_semi")
+    rows = _documents(docs, staged(ids.distinct(), "join-ids"))
     return staged(rows.mapInArrow(run, "id bigint, set array<bigint>"), "join-sets")
 
 
@@ -188,46 +209,38 @@ def _slot(elements: np.ndarray) -> np.ndarray:
     return (elements & (COUNTERS - 1)).astype(np.int64)
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
+def _rarity(rows: DataFrame, words: int) -> np.ndarray:
     """Counters of the elements of all sets; elements share them, which does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            flat = batch.column("set").flatten().to_numpy()
-            total += np.bincount(_slot(flat), minlength=COUNTERS)
+        for _, found in _sets(batches, words):
+            total += np.bincount(_slot(np.concatenate(found)), minlength=COUNTERS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
-    counts = sets.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # at most COUNTERS rows
     out = np.zeros(COUNTERS, np.int64)
     out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``id, n, place, key``: the prefix of each set, the rarest elements first."""
-    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+def _rare_prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``id, group, n, place, key``: the prefix of each set, the rarest elements first."""
+    rarity = rows.sparkSession.sparkContext.broadcast(_rarity(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("set")
-            flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
-            ends = ends - ends[0]
-            ids, sizes, places, keys = [], [], [], []
-            for doc, a, b in zip(batch.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                one, n = flat[a:b], b - a
-                p = n - least_overlap(n, percent) + 1
-                keys.append(one[np.lexsort((one, rarity.value[_slot(one)]))][:p])
-                places.append(np.arange(len(keys[-1])))
-                ids.append(np.full(len(keys[-1]), doc))
-                sizes.append(np.full(len(keys[-1]), n))
-            if ids:
-                columns = [pa.array(np.concatenate(x), pa.int64()) for x in (ids, sizes, places, keys)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "place", "key"])
-
-    return sets.mapInArrow(run, "id bigint, n bigint, place bigint, key bigint")
+        for batch, found in _sets(batches, words):
+            size = np.array([len(x) for x in found], np.int64)
+            prefix = np.minimum(size, size - least_overlap(size, percent) + 1)
+            keys = [x[np.lexsort((x, rarity.value[_slot(x)]))][:p] for x, p in zip(found, prefix.tolist())]
+            places = np.concatenate([np.arange(p) for p in prefix.tolist()])
+            of_row = [pa.array(np.repeat(x, prefix), pa.int64()) for x in (batch["id"], batch["group"], size)]
+            columns = [*of_row, pa.array(places, pa.int64()), pa.array(np.concatenate(keys), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "group", "n", "place", "key"])
+
+    return rows.mapInArrow(run, "id bigint, group bigint, n bigint, place bigint, key bigint")
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -284,26 +297,24 @@ class Join:
         self.docs, self.reps, self.words, self.percent = docs, reps, words, percent
         self.links: DataFrame | None = None
 
-    def _similar(self, overlap: Column) -> Column:
-        return 100 * overlap >= self.percent * (F.col("na") + F.col("nb") - overlap)
-
     def _possible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose known beginnings allow the overlap."""
-        side = lambda x: self.reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        """Pairs whose parities allow the overlap."""
+        side = lambda x: self.reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
         rows = pairs.join(side("a"), "a").join(side("b"), "b")
-        most = F.lit((1 << 63) - 1)
-        end = lambda x: F.when(F.size(f"s{x}") < F.col(f"n{x}"), F.element_at(f"s{x}", -1)).otherwise(most)
-        rows = rows.withColumn("known", F.least(end("a"), end("b")))
-        rest = lambda x: F.col(f"n{x}") - F.size(F.filter(f"s{x}", lambda e: e <= F.col("known")))
-        bound = F.size(F.array_intersect("sa", "sb")) + F.least(rest("a"), rest("b"))
-        return rows.filter(self._similar(bound)).select("a", "b", "na", "nb")
-
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Adds the links among the pairs, by the whole sets."""
+        apart = F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        least = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+        both = F.col("na") + F.col("nb")
+        return rows.filter((100 - self.percent) * both >= (100 + self.percent) * least).select("a", "b").distinct()
+
+    def _verified(self, pairs: DataFrame) -> None:
+        """Adds the links among the pairs, by the whole sets of those that are possible."""
+        pairs = staged(self._possible(pairs), "join-possible")
+        sets = full_sets(self.docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), self.words)
         side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
         rows = pairs.join(side("a"), "a").join(side("b"), "b")
-        links = rows.filter(self._similar(F.size(F.array_intersect("sa", "sb")))).select("a", "b").distinct()
-        found = staged(links, "join-links")
+        overlap = F.size(F.array_intersect("sa", "sb"))
+        similar = 100 * overlap >= self.percent * (F.size("sa") + F.size("sb") - overlap)
+        found = staged(rows.filter(similar).select("a", "b").distinct(), "join-links")
         self.links = found if self.links is None else self.links.unionByName(found)
 
     def _with_pivots(self, lists: DataFrame) -> DataFrame:
@@ -336,16 +347,12 @@ class Join:
         found = postings.select("key", "id").join(shared, "key")
         lists = staged(found.join(self.reps.select("id", "n", "copies"), "id"), "join-lists")
         short, long = lists.filter(F.col("members") <= SHORT), lists.filter(F.col("members") > SHORT)
-        pairs = self._in_short_lists(short).unionByName(self._with_pivots(long)).distinct()
-        pairs = staged(self._possible(pairs), "join-possible")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        self._verified(pairs, full_sets(self.docs, ids, self.words))
+        self._verified(self._in_short_lists(short).unionByName(self._with_pivots(long)).distinct())
         groups = staged(connected(self.links), "join-groups")
         left = staged(self._left(long, groups), "join-left")
         if left.isEmpty():
             return groups
-        sets = full_sets(self.docs, left.select("id"), self.words)
-        self._verified(staged(self._across(sets, left), "join-across"), sets)
+        self._verified(staged(self._across(left), "join-across"))
         return connected(self.links)
 
     def _left(self, lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -355,11 +362,11 @@ class Join:
         open_lists = rows.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y")
         return rows.join(open_lists, "key").select("id", "group").distinct()
 
-    def _across(self, sets: DataFrame, groups: DataFrame) -> DataFrame:
-        """``a, b, na, nb``: pairs of different components whose first common element lies
+    def _across(self, left: DataFrame) -> DataFrame:
+        """``a, b``: pairs of different components whose first common element lies
         where it allows the overlap. The smaller set stands in the lists with as many
         elements as a partner not below its own size can't all miss."""
-        rows = staged(_rare_prefixes(sets, self.percent).join(groups, "id"), "join-rare")
+        rows = staged(_rare_prefixes(_documents(self.docs, left), self.words, self.percent), "join-rare")
         enough = F.ceil(2 * self.percent * F.col("n") / (100 + self.percent))
         standing = rows.filter(F.col("place") <= F.col("n") - enough).alias("y")
         asking = rows.alias("x")
@@ -371,9 +378,7 @@ class Join:
             & (F.struct("y.n", "y.id") < F.struct("x.n", "x.id"))
             & (100 * common >= self.percent * (F.col("x.n") + F.col("y.n") - common)),
         )
-        return found.select(
-            F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb")
-        ).distinct()
+        return found.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -385,11 +390,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     signature = ["n", "sig1", "sig2"]
     reps = staged(
         filled.groupBy(*signature).agg(
-            F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("sketch", "doc_id").alias("sketch")
+            F.min("doc_id").alias("id"),
+            F.count("*").alias("copies"),
+            F.min_by("sketch", "doc_id").alias("sketch"),
+            F.min_by("parity", "doc_id").alias("parity"),
         ),
         "join-sets",
     )
-    join = Join(own, reps.select("id", "n", "copies", "sketch"), words, percent)
+    join = Join(own, reps.select("id", "n", "copies", "sketch", "parity"), words, percent)
     # an id with several texts holds them together
     same = filled.join(reps.select(*signature, "id"), signature).filter("doc_id <> id")
     several = rows.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
