@@ -269,6 +269,13 @@ def class_distribution(samples: DataFrame) -> DataFrame:
     )
 
 
+def unknown_classes(samples: DataFrame) -> DataFrame:
+    """A2: rows of every class id that is not a known one, nulls included. These rows take
+    no part in the distribution, in balancing and in training."""
+    known = F.coalesce(F.col("label").isin(list(C.CLASS_NAMES)), F.lit(False))
+    return samples.filter(~known).groupBy("label").agg(F.count("*").alias("n"))
+
+
 def short_classes(samples: DataFrame, floors: dict[int, int] = C.CLASS_FLOORS) -> DataFrame:
     """A3: classes below their floor, as warning rows."""
     floor = lookup(floors, F.col("label"), 0)

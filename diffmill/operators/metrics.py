@@ -4,9 +4,11 @@ Everything starts from counts per (true, predicted) pair, which are combined on
 side; whatever follows works on at most a few dozen rows.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffmill import constants as C
+
 
 def confusion_counts(predicted: DataFrame, *by: str) -> DataFrame:
     """A5, long form: rows per true class ``label`` and predicted class ``pred``."""
@@ -14,13 +16,29 @@ def confusion_counts(predicted: DataFrame, *by: str) -> DataFrame:
 
 
 def confusion_matrix(predicted: DataFrame) -> DataFrame:
-    """A5: one row per class that occurs on either side, one column per class."""
+    """A5: one row per class that occurs on either side, one column per known class and
+    one, ``pred_other``, for all other predictions, failed and missing ones included. So
+    the sum of a row is the support of its class."""
     counts = confusion_counts(predicted)
-    sides = counts.select(F.explode(F.array("label", "pred")).alias("label")).distinct()
-    cells = counts.groupBy("label").agg(
-        *[F.sum(F.when(F.col("pred") == c, F.col("n"))).alias(f"pred_{c}") for c in range(5)]
+    # a class that was only predicted gets a row of zeros
+    only_predicted = F.struct(
+        F.col("pred").alias("label"), F.lit(None).cast("int").alias("pred"), F.lit(0).cast("bigint").alias("n")
     )
-    return sides.join(cells, "label", "left").na.fill(0)
+    sides = F.array(F.struct("label", "pred", "n"), only_predicted)
+    known = [F.col("pred") == c for c in C.CLASS_NAMES]
+    other = ~F.coalesce(F.col("pred").isin(list(C.CLASS_NAMES)), F.lit(False))
+    return (
+        counts.select(F.inline(sides))
+        .groupBy("label")
+        .agg(
+            *[_count_if(hit).alias(f"pred_{c}") for c, hit in zip(C.CLASS_NAMES, known, strict=True)],
+            _count_if(other).alias("pred_other"),
+        )
+    )
+
+
+def _count_if(hit: Column) -> Column:
+    return F.sum(F.when(hit, F.col("n")).otherwise(0))
 
 
 def _ratio(top, bottom):

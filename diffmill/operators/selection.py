@@ -8,8 +8,8 @@ row's key, so it is enough to know the hash of the k-th row:
 2. find the prefix in which the k-th row falls;
 3. rank only the rows of that prefix, one in 65,536 of a class.
 
-The result, one hash per class and cut, is joined back as a broadcast: it has at most
-one row per class and cut, and class ids outside the known ones are left out of it.
+The result, one hash per class and cut, is joined back as a broadcast. Rows whose class is
+null or not a known one are one more class, so it has at most six rows per cut.
 Row keys must be unique, otherwise rows with equal keys stay on the same side of a cut.
 """
 
@@ -22,34 +22,48 @@ from diffmill.functions.hashing import hash_order
 _PREFIX_DIGITS = 4
 
 
+#: The class that all rows without a known class form together.
+FOREIGN = -1
+
+
 def _known_classes() -> Column:
     return F.col("label").isin(list(C.CLASS_NAMES))
 
 
+def class_key() -> Column:
+    """The class of a row: a known id, or ``FOREIGN`` for nulls and all other ids."""
+    return F.when(_known_classes(), F.col("label")).otherwise(FOREIGN)
+
+
 def class_counts(samples: DataFrame) -> DataFrame:
     """Rows per known class; at most one row per class."""
     return samples.filter(_known_classes()).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def hash_cuts(keys: DataFrame, limits: DataFrame) -> DataFrame:
+def hash_cuts(keys: DataFrame, limits: DataFrame | Column) -> DataFrame:
     """(label, cut, cut_hash): hash of the k-th row of a class.
 
-    ``keys(label, h)`` are the rows, ``limits(label, cut, k)`` the wanted positions. A
-    position beyond the end of its class, or below 1, gives no row.
+    ``keys(label, h)`` are the rows. The wanted positions are ``limits(label, cut, k)``, or
+    a column, an array of structs (cut, k) that may use ``label`` and the size of the
+    class, ``class_rows``. A position beyond the end of its class, or below 1, gives no row.
     """
     prefixed = keys.select("label", "h", F.substring("h", 1, _PREFIX_DIGITS).alias("prefix"))
     upto = Window.partitionBy("label").orderBy("prefix").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     histogram = (
-        prefixed.filter(_known_classes())
+        prefixed.filter(F.col("label").isin([*C.CLASS_NAMES, FOREIGN]))
         .groupBy("label", "prefix")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
+        .withColumn("class_rows", F.sum("n").over(Window.partitionBy("label")))
     )
+    if isinstance(limits, Column):
+        wanted = histogram.select("*", F.inline(limits))
+    else:
+        wanted = histogram.join(F.broadcast(limits), "label")
     hit = (
-        histogram.join(F.broadcast(limits), "label")
-        .filter((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n")))
+        wanted.filter((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n")))
         .select("label", "cut", "prefix", (F.col("k") - F.col("upto") + F.col("n")).alias("nth"))
     )
     in_prefix = Window.partitionBy("label", "cut").orderBy("h")
@@ -72,12 +86,11 @@ def _pivot_cuts(cuts: DataFrame, names: list[str]) -> DataFrame:
 
 
 def subsample(rows: DataFrame, key: str, n: int = C.SAMPLE_ROWS, seed: int = C.SEED) -> DataFrame:
-    """N rows in random order if there are more, else all."""
+    """N rows in random order if there are more, else all. The last join is a nested
+    loop over one row, the hash of the n-th row."""
     one_class = _with_hash(rows, key, seed).withColumn("label_", F.lit(0))
     keys = one_class.select(F.col("label_").alias("label"), "h")
-    limits = rows.sparkSession.range(1).select(
-        F.lit(0).alias("label"), F.lit("sample").alias("cut"), F.lit(n).alias("k")
-    )
+    limits = F.array(F.struct(F.lit("sample").alias("cut"), F.lit(n).alias("k")))
     cut = hash_cuts(keys, limits).select(F.col("label").alias("label_"), "cut_hash")
     return (
         one_class.join(F.broadcast(cut), "label_", "left")
@@ -97,7 +110,9 @@ def downsample(
 ) -> DataFrame:
     """At most the target number of rows per class; smaller classes stay whole."""
     hashed = _with_hash(samples, key, seed)
-    limits = target_table(samples, targets).withColumn("cut", F.lit("target"))
+    entries = F.create_map(*[F.lit(x) for item in targets.items() for x in item])
+    target = F.element_at(entries, F.col("label"))
+    limits = F.array(F.struct(F.lit("target").alias("cut"), target.alias("k")))
     cuts = hash_cuts(hashed.select("label", "h"), limits).select("label", "cut_hash")
     return (
         hashed.join(F.broadcast(cuts), "label", "left")
@@ -115,24 +130,25 @@ def stratified_split(
 ) -> DataFrame:
     """O-SPLIT: adds ``split``. Exact per class: the first 70 % of the class in random
     order are train, up to 85 % val, the rest test. ``shares`` are upper bounds in percent.
+    Rows without a known class are split by the same shares, together.
     """
-    hashed = _with_hash(samples, key, seed)
+    hashed = _with_hash(samples, key, seed).withColumn("class_", class_key())
     cut_names = [f"cut_{name}" for name, _ in shares]
     bounds = F.array(
         *[
             F.struct(
-                F.lit(cut).alias("cut"), F.floor(F.col("n") * upper / 100).alias("k")
+                F.lit(cut).alias("cut"), F.floor(F.col("class_rows") * upper / 100).alias("k")
             )
             for cut, (_, upper) in zip(cut_names, shares, strict=True)
         ]
     )
-    limits = class_counts(samples).select("label", F.inline(bounds))
-    cuts = _pivot_cuts(hash_cuts(hashed.select("label", "h"), limits), cut_names)
+    keys = hashed.select(F.col("class_").alias("label"), "h")
+    cuts = _pivot_cuts(hash_cuts(keys, bounds), cut_names).withColumnRenamed("label", "class_")
     split = F.lit(rest)
     for cut, (name, _) in reversed(list(zip(cut_names, shares, strict=True))):
         split = F.when(F.col("h") <= F.col(cut), name).otherwise(split)
     return (
-        hashed.join(F.broadcast(cuts), "label", "left")
+        hashed.join(F.broadcast(cuts), "class_", "left")
         .withColumn("split", split)
         .select(*samples.columns, "split")
     )

@@ -1,6 +1,6 @@
 """Webhook events (S6, P13) and existing comments."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffmill import constants as C
@@ -30,6 +30,13 @@ def reviewed_events(events: DataFrame) -> DataFrame:
     )
 
 
+def pr_key(repo: Column, number: Column) -> Column:
+    """The id of a pull request of an event: 60 bits of the hash of its repository and
+    number, because numbers repeat between repositories."""
+    name = F.concat(repo, F.lit("#"), number.cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def commented_places(existing: DataFrame) -> DataFrame:
     """File and line of earlier comments of this product. A line of zero counts as
     missing."""

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffmill.constants import PRODUCT
+from diffmill.constants import CLASS_NAMES, PRODUCT
+from diffmill.functions.text import lookup
 
 
 def write_products(products: dict[str, DataFrame], path: str, part: str | None = None) -> None:
@@ -15,7 +16,8 @@ def write_products(products: dict[str, DataFrame], path: str, part: str | None =
 
 
 def evaluation_report(per_class: DataFrame, summary: DataFrame, matrix: DataFrame) -> DataFrame:
-    """The report as numbered text lines. The inputs have a few rows each."""
+    """The report as numbered text lines, a line per class and matrix row. The inputs
+    have a few rows each."""
 
     def number(name: str):
         return F.lpad(F.format_number(name, 4), 10, " ")
@@ -30,10 +32,10 @@ def evaluation_report(per_class: DataFrame, summary: DataFrame, matrix: DataFram
         ).alias("line_no", "line")
     )
     table = per_class.select(
-        (F.lit(100) + F.col("class_id")).alias("line_no"),
+        (F.lit(100) + F.coalesce("class_id", F.lit(-2))).alias("line_no"),
         F.concat_ws(
             " ",
-            F.col("class_id").cast("string"),
+            lookup(CLASS_NAMES, F.col("class_id"), "Unknown"),
             number("precision"),
             number("recall"),
             number("f1"),
@@ -52,7 +54,12 @@ def evaluation_report(per_class: DataFrame, summary: DataFrame, matrix: DataFram
         ).alias("at", "line")
     ).select((F.lit(200) + F.col("at")).alias("line_no"), "line")
     rows = matrix.select(
-        (F.lit(300) + F.col("label")).alias("line_no"),
+        (F.lit(300) + F.coalesce("label", F.lit(-2))).alias("line_no"),
         F.concat_ws(" ", *[F.col(c).cast("string") for c in matrix.columns]).alias("line"),
     )
     return head.unionByName(table).unionByName(averages).unionByName(rows)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The lines of a report, some dozens, as one text file."""
+    report.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from diffmill.operators.review import status_body
 from diffmill.plans.review_job import Review
-from diffmill.sources.events import reviewed_events, webhook_events
 from diffmill.schemas import COMMENTS, POSTED
+from diffmill.sources.events import pr_key, reviewed_events, webhook_events
 from diffmill.sources.products import write_products
+from diffmill.sources.staging import staged
 
 
 def request_counts(
@@ -49,10 +51,12 @@ def first_comments(comments: DataFrame, horizon: str | None = None) -> DataFrame
 
 
 def events_to_prs(payloads: DataFrame) -> DataFrame:
-    """Events that start a review, with the pull request's number as key."""
+    """Events that start a review, with ``number`` and the key ``pr_id`` of
+    repository and number."""
     events = reviewed_events(webhook_events(payloads))
-    return events.withColumn("pr_id", F.col("pr_number").try_cast("bigint")).filter(
-        F.col("pr_id").isNotNull()
+    numbered = events.withColumn("number", F.col("pr_number").try_cast("bigint"))
+    return numbered.filter(F.col("number").isNotNull()).withColumn(
+        "pr_id", pr_key(F.col("repo"), F.col("number"))
     )
 
 
@@ -65,26 +69,37 @@ def review_events(
 ) -> StreamingQuery:
     """Review the pull requests of each micro-batch and write the products.
 
-    ``review(prs, places)`` gets the pull requests (pr_id, has_commit) and the places
-    commented by earlier batches. An event is acknowledged by the source's offset log
+    ``review(prs, places)`` gets the pull requests (pr_id, repo, number, has_commit) and the
+    places that earlier batches commented in them; diffs and answers must carry that pr_id
+    (``sources.events.pr_key``). An event is acknowledged by the source's offset log
     and processed afterwards. A pull request with several events in a batch is reviewed
     once; one that comes back in a later batch is reviewed again, but gets no second
     comment on the same line. Every batch writes its own part of the sink, so a retried
-    batch replaces what it wrote, and it does not see its own comments as earlier ones.
+    batch replaces what it wrote, and it does not see its own comments as earlier ones. The
+    status texts are written last, from the written reviews and comments: a part of them
+    marks a finished batch.
     """
     posted_path = f"{sink_path}/posted"
     no_comments = payloads.sparkSession.createDataFrame([], COMMENTS)
     no_comments.write.mode("overwrite").parquet(f"{posted_path}/part=-1")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        prs = (
+        events = (
             events_to_prs(batch)
-            .groupBy("pr_id")
+            .groupBy("pr_id", "repo", "number")
             .agg((F.max(F.length("head_sha")) > 0).alias("has_commit"))
         )
+        prs = staged(events, "prs")
         posted = batch.sparkSession.read.schema(POSTED)
         earlier = posted.parquet(posted_path).filter(F.col("part") < batch_id)
-        write_products(review(prs, earlier).products(), sink_path, str(batch_id))
+        found = review(prs, earlier.join(prs.select("pr_id"), "pr_id", "left_semi")).products()
+        status = found.pop("status")
+        write_products(found, sink_path, str(batch_id))
+        written = [
+            batch.sparkSession.read.schema(found[name].schema).parquet(f"{sink_path}/{name}/part={batch_id}")
+            for name in ("reviews", "posted")
+        ]
+        write_products({"status": status_body(*written).select(status.columns)}, sink_path, str(batch_id))
 
     writer = payloads.writeStream.foreachBatch(process).option(
         "checkpointLocation", checkpoint_path

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from diffmill.constants import INJECTED_COMMENTS
 from diffmill.operators import corpus as co
 from diffmill.operators import metrics as me
 from diffmill.operators import model as mo
@@ -102,7 +103,7 @@ def test_variants(spark):
             assert lines[0] == "def wrapper():" and all(ln.startswith("    ") for ln in lines[1:])
             lines = [ln[4:] for ln in lines[1:]]
         if r.variant % 2:
-            assert lines[0] in ("# utility function", "# helper", "# process data", "# handler", "# internal")
+            assert lines[0] in INJECTED_COMMENTS
             lines = lines[1:]
         elif r.sample_key.startswith("k"):
             assert lines[1] == ""
@@ -125,7 +126,7 @@ def test_distribution_and_weights(spark):
     assert {r.percent for r in co.class_distribution(df.limit(0)).collect()} == {0.0}
 
 
-def test_metrics(spark):
+def test_metrics(spark, tmp_path):
     pairs = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 3 + [(2, 1)] + [(1, 4)]
     df = spark.createDataFrame(pairs, PAIRS)
     per_class = {r.class_id: (r.precision, r.recall, r.f1, r.support) for r in me.class_metrics(df).collect()}
@@ -139,8 +140,15 @@ def test_metrics(spark):
     assert total.weighted_f1 == pytest.approx((7 * 10 / 12 + 4 * 0.6) / 12)
     matrix = {r.label: r for r in me.confusion_matrix(df).collect()}
     assert set(matrix) == {0, 1, 2, 4} and matrix[0].pred_1 == 2 and matrix[4].pred_4 == 0
+    foreign = df.unionByName(spark.createDataFrame([(0, -1), (7, 0), (None, 1), (0, None)], PAIRS))
+    matrix = {r.label: r for r in me.confusion_matrix(foreign).collect()}
+    assert set(matrix) == {0, 1, 2, 4, -1, 7, None} and matrix[0].pred_other == 2 and matrix[None].pred_1 == 1
+    support = Counter(r.label for r in foreign.collect())
+    assert {k: sum(r[1:]) for k, r in matrix.items()} == {k: support[k] for k in matrix}
     report = products.evaluation_report(me.class_metrics(df), me.summary_metrics(df), me.confusion_matrix(df))
     assert report.orderBy("line_no").collect()[1].line == "Samples evaluated: 12"
+    products.write_report(report, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).first().value == "DiffMill evaluation report"
 
 
 def test_best_candidate(spark):
@@ -156,6 +164,17 @@ def test_detection_report(spark):
     assert rows[(None, None)] == 3 and rows[("a", None)] == 2 and rows[("b", "x")] == 1
 
 
+def test_rows_without_a_known_class_are_split_by_the_same_shares(spark):
+    rows = [(f"c{i}", (None, 7, 9)[i % 3], f"k{i}") for i in range(60)] + [(f"d{i}", 1, f"d{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "code string, label int, sample_key string")
+    found = Counter((r.label == 1, r.split) for r in se.stratified_split(df, "sample_key").collect())
+    assert found == {
+        (True, "train"): 14, (True, "val"): 3, (True, "test"): 3, (False, "train"): 42, (False, "val"): 9, (False, "test"): 9,
+    }
+    assert {r.label: r.n for r in co.unknown_classes(df).collect()} == {None: 20, 7: 20, 9: 20}
+    assert se.downsample(df, "sample_key", {1: 5}).count() == 65
+
+
 def corpus(spark):
     rows = [(f"def f{i}(a):\n    return a + {i}", None) for i in range(120)]
     rows += [(f"def g{i}(a):\n    return eval(a{i})", None) for i in range(30)] * 3

@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from diffmill import schemas
-from diffmill.constants import NO_ANSWER, PRODUCT
+from diffmill.constants import CLEAN_REVIEW, LANGUAGE_WARNING, NO_ANSWER, PRODUCT, SUMMARY_FOOTER
 from diffmill.operators.classify import (
     classify,
     reviewable,
@@ -255,16 +255,15 @@ def test_reviews(spark):
     languages = spark.createDataFrame([(1, "Go"), (2, "Python")], "pr_id long, language string")
     found = {r.pr_id: r for r in reviews(explained(spark, rows), languages).collect()}
     title = f"# \U0001f6e1️ {PRODUCT} Review\n"
-    warning = f"\n⚠️ _{PRODUCT} is currently optimized for Python analysis._\n"
     assert found[2].final_review == found[2].review_summary == (
-        title + "\n**Language detected:** Python\n\nNo issues detected — the code looks clean! :white_check_mark:\n"
+        title + "\n**Language detected:** Python\n\n" + CLEAN_REVIEW
     )
     assert found[1].review_summary == (
-        title + "\n**Language detected:** Go\n" + warning + "\n\n**3 issues detected.**\n\n"
-        "- **Security Vulnerabilities:** 2\n- **Runtime Bug:** 1\n\n_Inline comments have been added to the affected lines._"
+        title + "\n**Language detected:** Go\n" + LANGUAGE_WARNING + "\n\n**3 issues detected.**\n\n"
+        "- **Security Vulnerabilities:** 2\n- **Runtime Bug:** 1\n" + SUMMARY_FOOTER
     )
     assert found[1].final_review.startswith(
-        title + "\n**Language detected:** Go\n" + warning + "\n\n**Issues found:** 3\n\n---\n\n## Issue 1: Security Vulnerability\n"
+        title + "\n**Language detected:** Go\n" + LANGUAGE_WARNING + "\n\n**Issues found:** 3\n\n---\n\n## Issue 1: Security Vulnerability\n"
     )
     assert (found[1].issue_count, found[1].issues_found) == (3, 4)
     assert (found[2].issue_count, found[2].issues_found) == (0, 0)

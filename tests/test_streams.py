@@ -3,20 +3,22 @@
 import json
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from diffmill import schemas
 from diffmill.constants import PRODUCT
 from diffmill.plans.review_job import find_issues, write_reviews
 from diffmill.sources.diffs import read_diff_files, rejected_diffs, submitted_diffs
-from diffmill.sources.events import commented_places, reviewed_events, webhook_events
+from diffmill.sources.events import commented_places, pr_key, reviewed_events, webhook_events
 from diffmill.streaming.streams import first_comments, request_counts, review_events
 from diffmill.operators.classify import score_without_model
 
 
-def event(number=1, action="opened", installation=5, sha="abc"):
+def event(number=1, action="opened", installation=5, sha="abc", repo="o/r"):
     return json.dumps(
         {
             "action": action,
-            "repository": {"full_name": "o/r"},
+            "repository": {"full_name": repo},
             "pull_request": {"number": number, "head": {"sha": sha}},
             "installation": {"id": installation},
         }
@@ -89,7 +91,11 @@ def test_first_comments_stream_equals_batch(spark, tmp_path):
 
 def test_review_stream_posts_no_second_comment(spark, tmp_path):
     diff = "+++ b/a.py\n@@ -0,0 +1,2 @@\n+def f(x):\n+    return x / len(x)"
-    diffs = spark.createDataFrame([(1, diff), (2, diff), (3, diff)], schemas.DIFFS)
+    names = [("o/r", 1), ("o/r", 2), ("o/r", 3), ("other/r", 2)]
+    known = spark.createDataFrame([(*name, diff) for name in names], "repo string, number long, diff string")
+    diffs = known.select(pr_key(F.col("repo"), F.col("number")).alias("pr_id"), "diff")
+    name_of = dict(zip([r.pr_id for r in diffs.collect()], names))
+    assert len(name_of) == 4
     responses = spark.createDataFrame([], schemas.RESPONSES)
 
     def review(prs, earlier):
@@ -99,7 +105,7 @@ def test_review_stream_posts_no_second_comment(spark, tmp_path):
 
     source = tmp_path / "in"
     batches = [
-        [event(1), event(1, "synchronize"), event(2, sha="")],
+        [event(1), event(1, "synchronize"), event(2, sha=""), event(2, repo="other/r")],
         [event(1, "synchronize"), event(3), event(9, "closed")],
     ]
     sink = str(tmp_path / "sink")
@@ -114,9 +120,10 @@ def test_review_stream_posts_no_second_comment(spark, tmp_path):
     def table(name):
         return spark.read.parquet(f"{sink}/{name}")
 
-    posted = sorted((r.part, r.pr_id, r.line) for r in table("posted").collect())
-    assert posted == [(0, 1, 1), (1, 3, 1)]
-    status = {(r.part, r.pr_id): r.status_body for r in table("status").collect()}
-    assert set(status) == {(0, 1), (0, 2), (1, 1), (1, 3)}
-    assert "1 issue detected" in status[(0, 1)] and "Issues found" in status[(1, 1)]
-    assert table("reviews").count() == 4
+    posted = sorted((r.part, *name_of[r.pr_id], r.line) for r in table("posted").collect())
+    # the head commit of one repository does not count for the other
+    assert posted == [(0, "o/r", 1, 1), (0, "other/r", 2, 1), (1, "o/r", 3, 1)]
+    status = {(r.part, *name_of[r.pr_id]): r.status_body for r in table("status").collect()}
+    assert set(status) == {(0, "o/r", 1), (0, "o/r", 2), (0, "other/r", 2), (1, "o/r", 1), (1, "o/r", 3)}
+    assert "1 issue detected" in status[(0, "o/r", 1)] and "Issues found" in status[(1, "o/r", 1)]
+    assert table("reviews").count() == 5

@@ -81,7 +81,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _number() -> Column:
-    return F.col("pr_id") * 31 + F.col("chunk_index") * 17 + F.length("code") * 7
+    return F.col("pr_id") % 1_000_003 * 31 + F.col("chunk_index") * 17 + F.length("code") * 7
 
 
 def prediction() -> Column:

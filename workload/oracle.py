@@ -1,7 +1,7 @@
 """SQL counterparts of the driver queries, for DuckDB.
 
 They are written from the rules, in window form, and share no code with the library:
-only the derived inputs are the same text. Named steps are put in front of a query by
+only fixed values and the derived inputs are the same. Named steps are put in front of a query by
 ``query(...)`` together with the steps they need.
 """
 
@@ -53,27 +53,14 @@ def lines_of(x: str) -> str:
 
 # --- rules in the RE2 dialect: no lookahead ------------------------------------------------
 
-SQL_INJECTION = [
-    r"""['"]SELECT\s.*?\+\s""", r"""['"]INSERT\s.*?\+\s""", r"""['"]UPDATE\s.*?\+\s""",
-    r"""['"]DELETE\s.*?\+\s""", r"""f['"]\s*SELECT""", r"""\.format\(.*?SELECT""",
-]
-SECURITY = [
-    r"\bcursor\.execute\s*\([^)]*\+", r"\bcursor\.execute\s*\([^)]*\.format\(",
-    r"""\bcursor\.execute\s*\(\s*f['"]""", r"\beval\s*\(", r"\bos\.system\s*\([^)]*\+",
-    r"""\bos\.system\s*\(\s*f['"]""", r"\bsubprocess\.\w+\([^)]*shell\s*=\s*True",
-    r"\bopen\s*\(\s*\w+\s*\)",
-]
-NULL_REFERENCE = [
-    r"=\s*None[\s\S]{0,80}\.\w+", r"\.fetchone\(\)\.\w+", r"return\s+\w+\[.*?\]\.\w+",
-    r"\.get\s*\([^)]+\)\.\w+", r"=\s*None\b[\s\S]{0,120}\.\w+\(",
-]
-TYPE_MISMATCH = [
-    r"\bif\s+\w+\s*=[^=]", r"\bint\s*\+\s*str\b", r"\bstr\s*\+\s*int\b",
-    r'"\s*\+\s*\w\w|"\s*\+\s*\w\s*([^\s(]|\z)', r"\bstr\s*\(\s*\)\s*==\s*\d",
-]
-LOGIC_FLAW = [
-    r"range\(len\(\w+\)\s*\+\s*1\)", r"/\s*0\b", r"==\s*True\s*:", r"\[\s*len\(\w+\)\s*\]",
-]
+SQL_INJECTION = C.SQL_INJECTION_PATTERNS
+SECURITY = C.SECURITY_PATTERNS
+# before a full stop the lookahead always holds
+NULL_REFERENCE = [p.replace("(?!is None)", "") for p in C.NULL_REFERENCE_PATTERNS]
+_NO_CALL = r'"\s*\+\s*\w\w|"\s*\+\s*\w\s*([^\s(]|\z)'
+TYPE_MISMATCH = [_NO_CALL if "(?!" in p else p for p in C.TYPE_MISMATCH_PATTERNS]
+# the endless loop is below
+LOGIC_FLAW = [p for p in C.LOGIC_FLAW_PATTERNS if "(?!" not in p]
 
 
 def endless_loop(x: str) -> str:
@@ -105,39 +92,18 @@ def is_trivial(x: str) -> str:
     return f"(len({logic}) = 0 OR (len({logic}) = 1 AND {assigned}))"
 
 
-HIGH_SIGNAL = [
-    (r"""\bif\b.+\bor\s+["'][^"']+["']""", "Logic Bug"),
-    (r"\bif\s+\w+\s*==\s*.+?\bor\s+\w+\s*:", "Logic Bug"),
-    (r"/\s*len\(", "Runtime Bug"),
-    (r"\.fetchone\(\)\s*\[", "Runtime Bug"),
-    (r"\.fetchone\(\)\.\w+", "Runtime Bug"),
-]
-BORDERLINE = [
-    (r"(?s)\bsubprocess\.\w+\(.+shell\s*=\s*True", "Security Vulnerability"),
-    (r"\bos\.system\s*\(", "Security Vulnerability"),
-]
-
-
 def refined(kind: str, conf: str, code: str) -> str:
-    high = " ".join(f"WHEN {hit(code, p)} THEN '{t}'" for p, t in HIGH_SIGNAL)
-    low = " ".join(f"WHEN {conf} < 0.75 AND {hit(code, p)} THEN '{t}'" for p, t in BORDERLINE)
+    high = " ".join(f"WHEN {hit(code, p)} THEN '{t}'" for p, t in C.HIGH_SIGNAL_RULES)
+    low = " ".join(f"WHEN {conf} < 0.75 AND {hit(code, p)} THEN '{t}'" for p, t in C.BORDERLINE_RULES)
     return f"CASE WHEN {conf} >= 0.95 THEN {kind} {high} {low} ELSE {kind} END"
 
 
-SUSPICIOUS = [
-    (r"""['"]SELECT\s.*?\+""", "i"), (r"\beval\s*\(", ""), (r"\bos\.system\s*\(", ""),
-    (r"\bexec\s*\(", ""), (r"\bsubprocess\.\w+\([^)]*shell\s*=\s*True", ""),
-    (r"\.fetchone\(\)\.\w+", ""), (r"=\s*None", ""), (r"/\s*0\b", ""),
-    (r"\bif\s+\w+\s*=[^=]", ""), (r"range\(len\(", ""),
-]
-
-
 def suspicious_offset(x: str) -> str:
     def first(p, f):
-        marks = f"list_transform({lines_of(x)}, lambda l: {hit('l', p, f)})"
+        marks = f"list_transform({lines_of(x)}, lambda l: {hit('l', p, 'i' if f else '')})"
         return f"list_position({marks}, true) - 1"
 
-    found = ", ".join(f"nullif(coalesce({first(p, f)}, -1), -1)" for p, f in SUSPICIOUS)
+    found = ", ".join(f"nullif(coalesce({first(p, f)}, -1), -1)" for p, f in C.SUSPICIOUS_LINE_PATTERNS)
     return f"coalesce({found}, 0)"
 
 
@@ -191,7 +157,7 @@ def comment_choice(draw: str) -> str:
 
 # --- named steps -----------------------------------------------------------------------------
 
-_H = "(pr_id * 31 + chunk_index * 17 + length(code) * 7)"
+_H = "(pr_id % 1000003 * 31 + chunk_index * 17 + length(code) * 7)"
 _BLOCKS = (
     "array_to_string(list_transform(range(0, o_orderkey % 6 + 1), lambda i: "
     + S.block("duckdb")
