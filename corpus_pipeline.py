@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffmill.llm import bpe, language_id, mixing, ngram_join, toxicity
-from diffmill.llm.batches import table, with_package
+from diffmill.llm.batches import table, with_small_workers
 from diffmill.sources.staging import staged
 
 #: Documents without an n-gram of any language, or with fewer than this share of known
@@ -54,7 +54,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    (name, partial(with_package, stage))
+    (name, partial(with_small_workers, stage))
     for name, stage in [
         ("toxicity", without_toxic),
         ("language ID", of_known_language),

@@ -24,14 +24,19 @@ WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2",
 def with_package(function: Callable[..., DataFrame], spark: SparkSession, *args) -> DataFrame:
     """``function(spark, *args)``, with workers that find the package by the path it has
     on the driver; a cluster that has it elsewhere ships it with ``--py-files``."""
-    for name, value in WORKER_MEMORY.items():
-        spark.sparkContext.environment.setdefault(name, value)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
     return function(spark, *args)
 
 
+def with_small_workers(function: Callable[..., DataFrame], spark: SparkSession, *args) -> DataFrame:
+    """As ``with_package``, for jobs of several stages whose workers should stay small."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
+    return with_package(function, spark, *args)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
