@@ -4,8 +4,9 @@ Vectors of a label are dealt to shards of bounded size. Each shard builds a hier
 navigable small-world graph, and every vector of the label is searched in every shard of
 it. A beam widens for a search while everything in it links; and it widens for all
 searches of a task until an audit passes: a part of the searches, chosen by hash, is
-compared with all vectors of the shard. Every link is verified by the cosine in double
-precision. A search hands on how many it found and one link into each component of the
+compared with all vectors of the shard, and each has to find its own links. If no beam
+passes, every search of the task is compared so. Every link is verified by the cosine in
+double precision. A search hands on how many it found and one link into each component of the
 shard, so no task emits all pairs of a group; components are then joined over all shards.
 
 Equal vectors are one vector with a number of copies. Searches reach a shard in blocks of
@@ -30,8 +31,9 @@ from diffmill.sources.staging import staged
 
 #: Vectors of a shard, searches of a block, neighbours of a node, first beam.
 SHARD, BLOCK, NEIGHBOURS, BEAM = 8192, 8192, 12, 64
-#: One search in so many is audited; so much of what they must find has to be found.
-AUDIT, RECALL = 32, 0.99
+#: One search in so many is audited, and no fewer than so many, of which so many have links
+#: (or all searches); each has to find so much of what it links with, itself left out.
+AUDIT, AUDITED, LINKED, RECALL = 32, 256, 32, 0.99
 
 
 class Graph:
@@ -131,23 +133,35 @@ class Shard:
         """For each vector the places it links with in the shard, itself not excluded."""
         norms = np.sqrt((vectors * vectors).sum(1))
         units = vectors / norms[:, None]
-        audited = np.flatnonzero(ids % AUDIT == 0)
-        wanted = {k: self._linked(vectors[k], norms[k], None, least) for k in audited.tolist()}
-        need = RECALL * sum(map(len, wanted.values()))
-        width = BEAM
+        own = vectors is self.raw  # then search k is for the vector of place k
+
+        def exact(some: np.ndarray) -> list[np.ndarray]:
+            near = units[some] @ self.graph.vectors.T >= least - 1e-6
+            return [self._linked(vectors[k], norms[k], np.flatnonzero(x), least) for k, x in zip(some.tolist(), near)]
 
         def linked(k: int) -> np.ndarray:
-            return self._linked(vectors[k], norms[k], self.graph.near(units[k], least, width), least)
+            near = self.graph.near(units[k], least, width)
+            return self._linked(vectors[k], norms[k], np.union1d(near, [k] if own else []), least)
 
-        while width < len(self.ids):
-            if sum(len(linked(k)) for k in wanted) >= need:
-                break
+        wanted: dict[int, np.ndarray] = {}
+        order, audited = np.argsort(_hashes(ids), kind="stable"), 0
+        while audited < len(ids) and (audited < max(AUDITED, len(ids) / AUDIT) or len(wanted) < LINKED):
+            some = order[audited : audited + AUDITED]
+            wanted |= {k: x for k, x in zip(some.tolist(), exact(some)) if len(x) > own}
+            audited += len(some)
+
+        width = BEAM
+        while width < 2 * len(self.ids):
+            if all(len(linked(k)) - own >= RECALL * (len(x) - own) for k, x in wanted.items()):
+                return [linked(k) for k in range(len(ids))]
             width *= 2
-        return [linked(k) for k in range(len(ids))]
+        parts = (np.arange(at, min(at + AUDITED, len(ids))) for at in range(0, len(ids), AUDITED))
+        return [x for some in parts for x in exact(some)]
 
-    def _linked(self, vector: np.ndarray, norm: float, some: list[int] | None, least: float) -> np.ndarray:
-        """Those places, or all, whose cosine in double precision is high enough."""
-        rows = np.arange(len(self.ids)) if some is None else np.array(sorted(some), np.int64)
+    def _linked(self, vector: np.ndarray, norm: float, some: np.ndarray, least: float) -> np.ndarray:
+        """Those of the places ``some``, in order, whose cosine in double precision is high
+        enough."""
+        rows = some.astype(np.int64)
         cosine = (self.raw[rows] @ vector) / (self.norms[rows] * norm)
         return rows[cosine >= least]
 
@@ -170,6 +184,14 @@ class Shard:
         self.group = self.ids[[root(k) for k in range(len(parent))]]
 
 
+def _hashes(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 

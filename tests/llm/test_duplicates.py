@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -127,6 +128,26 @@ def test_vectors(spark):
     assert near_vectors.links(frame.limit(0), 0.93).count() == 0
 
 
+@pytest.mark.parametrize(("first", "step"), [(1, 2), (0, 32)])
+@pytest.mark.parametrize(("dense", "lost"), [(250, 300), (0, 3)])
+def test_audit_finds_lost_links(first, step, dense, lost):
+    # a dense cluster, vectors that link with nothing, and pairs that no beam reaches
+    draw = np.random.default_rng(3)
+    pairs = np.repeat(draw.normal(size=(lost, 24)), 2, axis=0)
+    rows = np.concatenate([np.ones((dense, 24)), draw.normal(size=(800, 24)), pairs])
+    rows, reached = rows + draw.normal(size=rows.shape) * 0.01, dense + 800
+    one = near_vectors.Shard(first + step * np.arange(len(rows)), rows, np.ones(len(rows), np.int64))
+    for node, levels in enumerate(one.graph.links):
+        for level in levels:
+            level[:] = [] if node >= reached else [x for x in level if x < reached]
+    one.graph.entry, one.graph.top = 0, 0
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    wanted = [np.flatnonzero(x).tolist() for x in unit @ unit.T >= 0.93]
+    assert [x.tolist() for x in one.search(one.raw, one.ids, 0.93)] == wanted
+    block = rows[reached - 50 :].copy()
+    assert [x.tolist() for x in one.search(block, 10**6 + 2 * np.arange(len(block)) + first, 0.93)] == wanted[reached - 50 :]
+
+
 def test_pipeline_stages(spark, sf_dir, docs):
     stages = dict(corpus_pipeline.STAGES)
     assert len(stages) == 5
