@@ -109,6 +109,20 @@ def test_token_files(spark, tmp_path, request, table):
         start += len(ids)
 
 
+def test_token_files_of_special_tokens(spark, tmp_path):
+    texts = [
+        "a story <|endoftext|> next", "<|startoftext|><|endoftext|>", "x<|endoftext|>y", "<|ENDOFTEXT|> <|endoftext |>",
+        "a\n<|startoftext|>É\u0301<|endoftext|>\u0301b",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    path = str(tmp_path / "files")
+    token_files.write_tokens(frame, path, P.path("word_bpe_49k.json"), end_id=2)
+    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_documents(spark, path).collect()}
+    assert rows == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert rows[0] == [320, 1134, 49407, 1131, 2]
+
+
 def test_piece_counts_equal_library(odd, none, docs):
     starts, others = token_counts.read_pieces(P.path("piece_bpe_32k.model"))
     vocabulary = {"[UNK]": 0}
