@@ -6,12 +6,13 @@ context; the rest of the mass goes to shorter contexts by continuation counts th
 classes share, so that expressions which are rare in either class do not decide. A word's
 ratio is the sum over its letters. A document is described by the difference of its
 length-normalised log-likelihoods, by its most toxic words, and by its length; a logistic
-curve, fitted on labelled documents that were not counted, turns that into a score.
+curve turns that into a score.
 
-The models are fitted on a bounded sample: at most ``per_class`` labelled documents of
-each class, those with the lowest hash of their id. Everything else reads all documents
-in whole. Words are compared in lower case by their letters and digits alone, so marks
-inside a word do not hide it.
+N-grams are counted in all labelled documents, and Spark forms the ratios from the counts.
+Only the curve is fitted on a bounded sample: at most ``per_class`` documents of each class,
+those with the lowest hash of their id, under ratios that leave them out. Ratios reach the
+workers as sorted 64-bit hashes of the n-grams, 16 bytes each. Words are compared in lower
+case by their letters and digits alone, so marks inside a word do not hide it.
 
 Defined results: a null or empty text, or one without letters and digits, gets the score
 of a text of no evidence; unlabelled rows and null labels teach nothing; of repeated
@@ -106,40 +107,100 @@ def log_ratios(toxic: dict[str, int], ordinary: dict[str, int]) -> dict[str, flo
     return out
 
 
+def _keys(codes: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams from the code points of each place, 0 before a short one."""
+    with np.errstate(over="ignore"):
+        x = np.zeros(len(codes[0]), np.uint64)
+        for c in codes:
+            x = (x ^ c.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+    return x
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+@dataclass
+class Ratios:
+    """Log ratios by the hash of their n-gram, in its order."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, grams: list[str], values: np.ndarray) -> "Ratios":
+        keys = np.zeros(len(grams), np.uint64)
+        for at in range(0, len(grams), 100_000):
+            some = grams[at : at + 100_000]
+            padded = _codes("".join(g.rjust(ORDER, "\x00") for g in some)).reshape(-1, ORDER)
+            keys[at : at + len(some)] = _keys(list(padded.T))
+        order = np.argsort(keys)
+        return cls(keys[order], np.asarray(values, float)[order])
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of the keys, 0 if not known, and whether they are."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.values[at], 0.0), known
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """For each word, of letters and digits, the sum over its n-grams."""
+        if not words:
+            return np.zeros(0)
+        codes = _codes("".join(START + w + END for w in words))
+        sizes = np.array([len(w) + 2 for w in words])
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        places = []
+        for back in range(ORDER - 1, -1, -1):
+            earlier = np.concatenate([np.zeros(back, codes.dtype), codes])[: len(codes)]
+            places.append(np.where(place >= back, earlier, 0))
+        value, known = self.get(_keys(places))
+        alone, _ = self.get(_keys([*places[:-1], np.zeros_like(codes)]))
+        value = np.where(place > 0, np.where(known, value, alone), 0.0)
+        return np.add.reduceat(value, starts)
+
+
 @dataclass
 class WordScorer:
     """Ratios of words, by table. The first words met are kept, up to a fixed number."""
 
-    ratios: dict[str, float]
+    ratios: Ratios | dict[str, float]
     kept: int = 250_000
 
     def __post_init__(self):
+        if isinstance(self.ratios, dict):
+            self.ratios = Ratios.of(list(self.ratios), np.array(list(self.ratios.values())))
         self.known: dict[bytes, float] = {}
 
+    def values(self, words: list[bytes]) -> dict[bytes, float]:
+        letters = [plain(word.decode("utf-8", "replace")) for word in words]
+        some = [k for k, x in enumerate(letters) if x]
+        found = np.zeros(len(words))
+        found[some] = self.ratios.of_words([letters[k] for k in some])
+        return dict(zip(words, found.tolist()))
+
     def ratio(self, word: bytes) -> float:
-        letters = plain(word.decode("utf-8", "replace"))
-        if not letters:
-            return 0.0
-        get, unseen = self.ratios.get, 0.0
-        total = 0.0
-        for g in grams(letters):
-            found = get(g)
-            total += get(g[:-1] + "\x00", unseen) if found is None else found
-        return total
+        return self.values([word])[word]
+
+    def meet(self, rows: list[bytes]) -> None:
+        """Keeps the words of the texts, as far as there is room."""
+        new = {w for text in rows for w in text.split() if len(w) < 64 and w not in self.known}
+        room = self.kept - len(self.known)
+        self.known.update(self.values(list(new)[: max(room, 0)]))
 
     def features(self, text: bytes) -> tuple[float, float, float, float]:
         words = text.split()
         if not words:
             return 0.0, 0.0, 0.0, 0.0
-        known, values = self.known, []
-        for word in words:
-            value = known.get(word)
-            if value is None:
-                value = self.ratio(word)
-                if len(known) < self.kept and len(word) < 64:
-                    known[word] = value
-            values.append(value)
-        top = np.array(values)
+        known = self.known
+        others = self.values(list({w for w in words if w not in known}))
+        top = np.array([known[w] if w in known else others[w] for w in words])
         first = float(top.max())
         best = np.partition(top, len(top) - 3)[-3:] if len(top) > 3 else top
         letters = len(text) - len(words)
@@ -150,7 +211,7 @@ class WordScorer:
 class Model:
     """Word ratios and the logistic curve over the features."""
 
-    ratios: dict[str, float]
+    ratios: Ratios
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -173,7 +234,7 @@ def _curve(features: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Model
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return Model({}, w, mean, scale)
+    return Model(Ratios.of([], np.zeros(0)), w, mean, scale)
 
 
 def _features(rows: DataFrame, ratios, extra: list[str]) -> DataFrame:
@@ -184,7 +245,9 @@ def _features(rows: DataFrame, ratios, extra: list[str]) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                found = [scorer.features(x) for x in byte_texts(batch.column("text"))]
+                rows = byte_texts(batch.column("text"))
+                scorer.meet(rows)
+                found = [scorer.features(x) for x in rows]
                 table = np.array(found, float).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in extra], *[pa.array(table[:, k]) for k in range(len(FEATURES))]],
@@ -197,56 +260,125 @@ def _features(rows: DataFrame, ratios, extra: list[str]) -> DataFrame:
 
 
 def _gram_counts(rows: DataFrame) -> DataFrame:
-    """``toxic, gram, n`` over the texts of labelled rows."""
+    """``gram``, ``t`` and ``o``, its number in toxic and ordinary texts of labelled rows,
+    and ``ct`` and ``co``, those without the rows of ``fits_curve``."""
+
+    def counted(words: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
+        for (toxic, curve), found in words.items():
+            counts: Counter = Counter()
+            for word, n in found.items():
+                letters = plain(word.decode("utf-8", "replace"))
+                if letters:
+                    for g in grams(letters):
+                        counts[g] += n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([toxic] * len(counts), pa.int32()),
+                    pa.array([curve] * len(counts), pa.bool_()),
+                    pa.array(list(counts.keys()), pa.string()),
+                    pa.array(list(counts.values()), pa.int64()),
+                ],
+                names=["toxic", "fits_curve", "gram", "n"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple, Counter] = defaultdict(Counter)
         for batch in batches:
-            words = {0: Counter(), 1: Counter()}
-            for toxic, text in zip(batch.column("toxic").to_pylist(), byte_texts(batch.column("text"))):
-                words[toxic].update(text.split())
-            for toxic, found in words.items():
-                counts: Counter = Counter()
-                for word, n in found.items():
-                    letters = plain(word.decode("utf-8", "replace"))
-                    if letters:
-                        for g in grams(letters):
-                            counts[g] += n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([toxic] * len(counts), pa.int32()),
-                        pa.array(list(counts.keys()), pa.string()),
-                        pa.array(list(counts.values()), pa.int64()),
-                    ],
-                    names=["toxic", "gram", "n"],
-                )
+            marks = zip(batch.column("toxic").to_pylist(), batch.column("fits_curve").to_pylist())
+            for mark, text in zip(marks, byte_texts(batch.column("text"))):
+                words[mark].update(text.split())
+                if len(words[mark]) > 100_000:
+                    yield from counted({mark: words.pop(mark)})
+        yield from counted(words)
+
+    schema = "toxic int, fits_curve boolean, gram string, n bigint"
+    found = rows.select("toxic", "fits_curve", "text").mapInArrow(run, schema)
+    of = lambda which: F.coalesce(F.sum(F.when(F.expr(which), F.col("n"))), F.lit(0))
+    return found.groupBy("gram").agg(
+        of("toxic = 1").alias("t"),
+        of("toxic = 0").alias("o"),
+        of("toxic = 1 AND NOT fits_curve").alias("ct"),
+        of("toxic = 0 AND NOT fits_curve").alias("co"),
+    )
+
+
+def _discounts(rows: DataFrame, columns: list[str]) -> list[float]:
+    sums = [F.sum((F.col(c) == k).cast("bigint")) for c in columns for k in (1, 2)]
+    found = [n or 0 for n in rows.agg(*[x.alias(f"n{i}") for i, x in enumerate(sums)]).first()]
+    return [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(found[::2], found[1::2])]
+
+
+def spark_ratios(counts: DataFrame) -> DataFrame:
+    """As ``log_ratios``, from ``gram, t, o`` to ``gram, ratio``."""
+    context, rest = F.expr("left(gram, length(gram) - 1)"), F.expr("substring(gram, 2)")
+    ends = F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda i: F.substring("gram", i, F.length("gram")))
+    seen = counts.select(F.explode(ends).alias("gram")).distinct()
+    shared = staged(seen.groupBy(rest.alias("gram")).agg(F.count("*").alias("n")), "toxic-shared")
+    d = _discounts(shared, ["n"])[0]
+    totals = shared.groupBy(context.alias("h")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    rows = shared.withColumn("h", context).join(totals, "h")
+    value = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("below")) / F.col("total")
+    alphabet = max(shared.filter("length(gram) = 1").count(), 1)
+    level = rows.filter("length(gram) = 1").withColumn("below", F.lit(1 / alphabet)).select("gram", value.alias("chance"))
+    chances = level = staged(level, "toxic-chances")
+    for size in range(2, ORDER):
+        below = level.select(F.col("gram").alias("rest"), F.col("chance").alias("below"))
+        level = rows.filter(F.length("gram") == size).withColumn("rest", rest).join(below, "rest")
+        level = staged(level.select("gram", value.alias("chance")), "toxic-chances")
+        chances = chances.unionByName(level)
+    dt, do = _discounts(counts, ["t", "o"])
+    of_class = counts.groupBy(context.alias("h")).agg(
+        F.sum("t").alias("tt"), F.sum("o").alias("to"),
+        F.sum(F.expr("int(t > 0)")).alias("kt"), F.sum(F.expr("int(o > 0)")).alias("ko"),
+    )
+
+    def left(d: float, kinds: str, total: str) -> Column:
+        return F.when(F.col(total) > 0, d * F.col(kinds) / F.col(total)).otherwise(1.0)
+
+    def at(n: str, d: float, kinds: str, total: str) -> Column:
+        own = F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(0.0)
+        return own + left(d, kinds, total) * F.col("chance")
+
+    unseen = of_class.select(
+        F.concat("h", F.lit("\x00")).alias("gram"), F.log(left(dt, "kt", "tt") / left(do, "ko", "to")).alias("ratio")
+    )
+    known = counts.withColumn("h", context).withColumn("rest", rest).join(of_class, "h")
+    known = known.join(chances.withColumnRenamed("gram", "rest"), "rest")
+    return known.select("gram", F.log(at("t", dt, "kt", "tt") / at("o", do, "ko", "to")).alias("ratio")).unionByName(unseen)
 
-    found = rows.select("toxic", "text").mapInArrow(run, "toxic int, gram string, n bigint")
-    return found.groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+
+def _collected(counts: DataFrame) -> Ratios:
+    found = spark_ratios(counts).toArrow()
+    return Ratios.of(found.column("gram").to_pylist(), found.column("ratio").to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000) -> Model | None:
     """The model from labelled documents for which ``learn``, a column over ``doc_id``,
     holds. None if a class has no document."""
     known = labels.filter(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # ids and classes alone; beyond a million of them the planner decides
+    known = staged(known, "toxic-labels")
+    known = F.broadcast(known) if known.count() < 1_000_000 else known
+    present = staged(docs.select("doc_id").join(known, "doc_id").distinct(), "toxic-present")
+    sizes = {r["toxic"]: r["count"] for r in present.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id", F.lit(4))
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = known.filter("toxic = 0").orderBy(order, "doc_id").limit(per_class).unionByName(
-        known.filter("toxic = 1").orderBy(order, "doc_id").limit(per_class)
-    )
-    # at most 2 * per_class ids are broadcast
     part = F.pmod(F.xxhash64("doc_id", F.lit(44)), F.lit(4)) == 0
-    rows = staged(
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("fits_curve", part), "toxic-sample"
-    )
-    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for batch in _gram_counts(rows.filter(~F.col("fits_curve"))).toArrow().to_batches():
-        for toxic, gram, n in zip(*(c.to_pylist() for c in batch.columns)):
-            counts[toxic][gram] = n
-    if not counts[0] or not counts[1]:
+    curve = [
+        present.filter(part & (F.col("toxic") == k)).orderBy(order, "doc_id").limit(per_class).select("doc_id") for k in (0, 1)
+    ]
+    # at most 2 * per_class ids are broadcast
+    sample = staged(curve[0].unionByName(curve[1]).withColumn("fits_curve", F.lit(True)), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(known, "doc_id").join(F.broadcast(sample), "doc_id", "left")
+    counts = staged(_gram_counts(rows.withColumn("fits_curve", F.coalesce("fits_curve", F.lit(False)))), "toxic-grams")
+    kept = counts.filter("ct + co > 0").select("gram", F.col("ct").alias("t"), F.col("co").alias("o"))
+    some = kept.agg(F.max("t"), F.max("o")).first()
+    if not some[0] or not some[1]:
         return None
-    ratios = log_ratios(counts[1], counts[0])
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    found = _features(rows.filter("fits_curve"), shared, ["toxic"]).toArrow()
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    ids = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").join(known, "doc_id")
+    found = _features(ids, broadcast(_collected(kept)), ["doc_id", "toxic"])
+    # one text of each id, so that as many rows reach the driver
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(*FEATURES)).alias("x")).select("toxic", "x.*").toArrow()
     toxic = found.column("toxic").to_numpy()
     if len(np.unique(toxic)) < 2:
         return None
@@ -255,7 +387,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000
     rate = {k: sizes[k] / max((toxic == k).sum(), 1) for k in (0, 1)}
     weight = np.where(toxic == 1, rate[1], rate[0])
     model = _curve(features, toxic.astype(float), weight / weight.mean())
-    model.ratios, model.shared = ratios, shared
+    model.ratios = _collected(counts.select("gram", "t", "o"))
+    model.shared = broadcast(model.ratios)
     return model
 
 

@@ -1,6 +1,7 @@
 """Quality, toxicity, languages, mixing and chats against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -81,6 +82,25 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.fit(none, labels.limit(0), learn) is None
 
 
+def test_all_labelled_documents_are_counted(spark):
+    # each toxic text has an expression of its own, so whatever is not counted is unseen
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("abcdefghij", k=7))
+    rows = [(i, f"{word()} {word()} {'qq' + word() if i % 2 else word()}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    labels = docs.select("doc_id", "toxic").unionByName(spark.range(10**4, 2 * 10**4).selectExpr("id AS doc_id", "int(id % 2) AS toxic"))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, F.lit(True), per_class=20)
+    counts = {0: Counter(), 1: Counter()}
+    for _, text, toxic in rows:
+        counts[toxic].update(g for w in text.split() for g in toxicity.grams(w))
+    wanted = toxicity.log_ratios(counts[1], counts[0])
+    found, other = toxicity.WordScorer(model.ratios), toxicity.WordScorer(wanted)
+    for w in {w for _, text, _ in rows for w in text.split()} | {"unseen", "zz9", "é", "a" * 50}:
+        assert found.ratio(w.encode()) == pytest.approx(other.ratio(w.encode()))
+        plain = sum(wanted.get(g, wanted.get(g[:-1] + "\x00", 0.0)) for g in toxicity.grams(w))
+        assert found.ratio(w.encode()) == pytest.approx(plain)
+
+
 def test_chances_add_up():
     toxic = Counter(g for w in ("idle", "idol", "ideal", "idea") for g in toxicity.grams(w))
     ordinary = Counter(g for w in ("idle", "apple", "able", "maple", "staple") for g in toxicity.grams(w))
