@@ -16,7 +16,7 @@ case by their letters and digits alone, so marks inside a word do not hide it.
 
 Defined results: a null or empty text, or one without letters and digits, gets the score
 of a text of no evidence; unlabelled rows and null labels teach nothing; of repeated
-labels the highest counts; with no labels of one class every score is 0; repeated rows are
+labels the highest counts; with no labelled text of one class every score is 0; repeated rows are
 scored each; an empty table gives no rows.
 """
 
@@ -354,7 +354,7 @@ def _collected(counts: DataFrame) -> Ratios:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000) -> Model | None:
     """The model from labelled documents for which ``learn``, a column over ``doc_id``,
-    holds. None if a class has no document."""
+    holds. None if a class has no document with a letter or digit."""
     known = labels.filter(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # ids and classes alone; beyond a million of them the planner decides
     known = staged(known, "toxic-labels")
@@ -362,32 +362,37 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000
     present = staged(docs.select("doc_id").join(known, "doc_id").distinct(), "toxic-present")
     sizes = {r["toxic"]: r["count"] for r in present.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id", F.lit(4))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(44)), F.lit(4)) == 0
+    # a quarter of each class, but one document at least; an only one is counted as well
     curve = [
-        present.filter(part & (F.col("toxic") == k)).orderBy(order, "doc_id").limit(per_class).select("doc_id") for k in (0, 1)
+        present.filter(F.col("toxic") == k)
+        .orderBy(order, "doc_id")
+        .limit(min(per_class, max(sizes.get(k, 0) // 4, 1)))
+        .select("doc_id", F.lit(sizes.get(k, 0) > 1).alias("fits_curve"))
+        for k in (0, 1)
     ]
     # at most 2 * per_class ids are broadcast
-    sample = staged(curve[0].unionByName(curve[1]).withColumn("fits_curve", F.lit(True)), "toxic-sample")
+    sample = staged(curve[0].unionByName(curve[1]), "toxic-sample")
     rows = docs.select("doc_id", "text").join(known, "doc_id").join(F.broadcast(sample), "doc_id", "left")
     counts = staged(_gram_counts(rows.withColumn("fits_curve", F.coalesce("fits_curve", F.lit(False)))), "toxic-grams")
     kept = counts.filter("ct + co > 0").select("gram", F.col("ct").alias("t"), F.col("co").alias("o"))
-    some = kept.agg(F.max("t"), F.max("o")).first()
-    if not some[0] or not some[1]:
+    every = counts.select("gram", "t", "o")
+    has_both = lambda x: all(x.agg(F.max("t"), F.max("o")).first())
+    if not has_both(every):
         return None
+    if not has_both(kept):  # only the curve's documents of a class have letters
+        kept = every
     broadcast = docs.sparkSession.sparkContext.broadcast
     ids = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").join(known, "doc_id")
     found = _features(ids, broadcast(_collected(kept)), ["doc_id", "toxic"])
     # one text of each id, so that as many rows reach the driver
     found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(*FEATURES)).alias("x")).select("toxic", "x.*").toArrow()
     toxic = found.column("toxic").to_numpy()
-    if len(np.unique(toxic)) < 2:
-        return None
     features = np.column_stack([found.column(c).to_numpy() for c in FEATURES])
     # the sample has as many rows of each class; weigh them as all labels have them
     rate = {k: sizes[k] / max((toxic == k).sum(), 1) for k in (0, 1)}
     weight = np.where(toxic == 1, rate[1], rate[0])
     model = _curve(features, toxic.astype(float), weight / weight.mean())
-    model.ratios = _collected(counts.select("gram", "t", "o"))
+    model.ratios = _collected(every)
     model.shared = broadcast(model.ratios)
     return model
 

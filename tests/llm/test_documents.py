@@ -101,6 +101,16 @@ def test_all_labelled_documents_are_counted(spark):
         assert found.ratio(w.encode()) == pytest.approx(plain)
 
 
+@pytest.mark.parametrize("count", [1, 3])
+def test_few_toxic_labels_make_a_model(spark, count):
+    # ids whose hash keeps them out of the quarter that the curve had
+    toxic = spark.range(1000).filter("pmod(xxhash64(id, 44), 4) <> 0").limit(count).selectExpr("id AS doc_id", "1 AS toxic")
+    labels = toxic.unionByName(spark.range(1000, 1040).selectExpr("id AS doc_id", "0 AS toxic"))
+    docs = labels.selectExpr("doc_id", "IF(toxic = 1, 'zkwq zkwqar zkwq', concat('plain words ', doc_id)) AS text")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))).join(labels, "doc_id").collect()
+    assert min(r.score for r in rows if r.toxic) > max(r.score for r in rows if not r.toxic)
+
+
 def test_chances_add_up():
     toxic = Counter(g for w in ("idle", "idol", "ideal", "idea") for g in toxicity.grams(w))
     ordinary = Counter(g for w in ("idle", "apple", "able", "maple", "staple") for g in toxicity.grams(w))
