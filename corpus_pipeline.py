@@ -1,7 +1,7 @@
 """A corpus from documents to token ids: five stages, each written and read again.
 
 Toxic documents go, documents of no known language go, one document of each group of near
-copies stays, sources are mixed to target weights, and what is left is encoded.
+copies stays, sources are mixed to target weights, and what is left is encoded and decoded.
 """
 
 from functools import partial
@@ -50,7 +50,10 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    back = bpe.decode(coded.select("doc_id", "source", "ids"), vocabulary)
+    return back.select(
+        "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 STAGES = [

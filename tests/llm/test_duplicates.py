@@ -1,5 +1,6 @@
 """Similarity joins and the pipeline against brute force."""
 
+import hashlib
 import math
 import random
 import re
@@ -169,6 +170,13 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, none, index):
     assert stage(spark, none.select(columns), sf_dir).count() == 0
 
 
+def test_pipeline_decodes(spark, sf_dir, odd):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    found = corpus_pipeline.STAGES[4][1](spark, odd.select(columns), sf_dir).collect()
+    wanted = [(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect()]
+    assert sorted((r.doc_id, r.decoded_sha256) for r in found) == sorted(wanted)
+
+
 def test_pipeline_runs(spark, sf_dir, docs):
     found = corpus_pipeline.run(spark, sf_dir)
     assert 0 < found.count() <= 2 * docs.count()
