@@ -7,12 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffmill.llm import bpe, language_id, mixing, near_vectors, ngram_join, quality_rules, reply_trees, token_counts, token_files, toxicity
+from diffmill.llm import (
+    bpe, collocations, language_id, mixing, near_vectors, ngram_join, oracle, quality_rules, reply_trees, sharding,
+    token_counts, token_files, toxicity, vector_codes,
+)
 from diffmill.llm.batches import learned_from, table, with_package
 from diffmill.sources.staging import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracle.ORACLES
 
 
 def query(function):
@@ -95,3 +98,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "shards")
+    sharding.write_shards(docs, path, weights=[1] * 16)
+    return sharding.placed(spark, path, docs.schema, weights=[1] * 16)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000, share=80)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
