@@ -30,7 +30,6 @@ from diffmill.functions.text import (
 _FILE_MARK = r"\n(?=\+\+\+ b/)"
 _HUNK_MARK = r"\n(?=" + C.HUNK_HEADER + ")"
 _GROUP = 256
-_ALL = 2**30  # "to the end"; leaves room for the start to be added
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
@@ -71,8 +70,8 @@ def _sections(diff: Column) -> Column:
 def _counting_lines(piece: Column) -> Column:
     """Lines of a piece that exist in the new file, without the piece's first line."""
     return F.filter(
-        F.slice(F.split(piece, "\n"), 2, _ALL),
-        lambda ln: ~F.startswith(ln, F.lit("-")) & ~F.startswith(ln, F.lit("+++")),
+        F.split(piece, "\n"),
+        lambda ln, i: (i > 0) & ~F.startswith(ln, F.lit("-")) & ~F.startswith(ln, F.lit("+++")),
     )
 
 
@@ -107,9 +106,8 @@ def _cut_piece(piece: Column, index: Column) -> Column:
 
 
 def _cut_section(section: Column, index: Column) -> Column:
-    file = F.when(index == 0, C.UNKNOWN_FILE).otherwise(
-        F.substr(F.substring_index(section, "\n", 1), F.lit(7))
-    )
+    # null: no marker stands before these lines
+    file = F.when(index > 0, F.substr(F.substring_index(section, "\n", 1), F.lit(7)))
     # end: line counter after the section; counted from the section's start, unless a hunk
     # header in it set the counter (resets)
     return let(
@@ -140,22 +138,16 @@ def _groups(sections: Column) -> Column:
     in a long diff without going through all sections before it."""
     return F.transform(
         F.sequence(F.lit(1), F.size(sections), F.lit(_GROUP)),
-        lambda first: let(
-            F.slice(sections, first, F.lit(_GROUP)),
-            lambda group: F.struct(
-                F.exists(group, lambda s: s["resets"]).alias("resets"),
-                _counter_after(group, _zero()).alias("end"),
-            ),
-        ),
+        lambda first: let(F.slice(sections, first, F.lit(_GROUP)), counter_step),
     )
 
 
-def _line_number_before(sections: Column, groups: Column, index: Column) -> Column:
+def _line_number_before(sections: Column, groups: Column, index: Column, start: Column) -> Column:
     """Line counter at the end of the sections before ``index``."""
     whole = F.floor(index / _GROUP).cast("int")
     return _counter_after(
         F.slice(sections, whole * _GROUP + 1, index - whole * _GROUP),
-        _counter_after(F.slice(groups, F.lit(1), whole), _zero()),
+        _counter_after(F.slice(groups, F.lit(1), whole), start),
     )
 
 
@@ -165,20 +157,23 @@ def _moved(lines: Column, by: Column) -> Column:
     )
 
 
-def _section_lines(sections: Column, groups: Column) -> Column:
+def _section_lines(sections: Column, groups: Column, file: Column, start: Column) -> Column:
+    """Added lines of each section that has any. ``file`` and ``start``, the line counter, hold before the
+    first marker."""
+
     def with_lines(section: Column, index: Column) -> Column:
         def piece_lines(piece: Column) -> Column:
-            carried = piece["base"].isNull() & (F.size(piece["added"]) > 0) & (index > 0)
+            carried = piece["base"].isNull() & (F.size(piece["added"]) > 0)
             return F.when(
                 carried,
                 let(
-                    _line_number_before(sections, groups, index),
+                    _line_number_before(sections, groups, index, start),
                     lambda before: _moved(piece["added"], before),
                 ),
             ).otherwise(piece["added"])
 
         return F.struct(
-            section["file"].alias("file"),
+            F.coalesce(section["file"], file).alias("file"),
             F.flatten(F.transform(section["pieces"], piece_lines)).alias("lines"),
         )
 
@@ -219,17 +214,35 @@ def _merged_files(sections: Column) -> Column:
     return let(numbered, merge)
 
 
-def _files(diff: Column) -> Column:
-    """Files of a diff with their added lines, in order of the first added line."""
-    return let(
-        F.transform(_sections(diff), _cut_section),
-        lambda cut: let(
-            let(_groups(cut), lambda groups: _section_lines(cut, groups)), _merged_files
-        ),
+def cut_sections(diff: Column) -> Column:
+    """Sections of a diff, or of whole lines of one, without regard to what stands before."""
+    return F.transform(_sections(diff), _cut_section)
+
+
+def counter_step(sections: Column) -> Column:
+    """What sections do to the line counter: set it to ``end`` if they ``resets``, else
+    move it by ``end``."""
+    return F.struct(
+        F.exists(sections, lambda s: s["resets"]).alias("resets"),
+        _counter_after(sections, _zero()).alias("end"),
     )
 
 
-def _starts(lines: Column) -> Column:
+def files_of(sections: Column, file: Column | None = None, start: Column | None = None) -> Column:
+    """Files with their added lines, in order of the first added line. Lines before the
+    first marker belong to ``file``, and the line counter begins at ``start``."""
+    file = F.lit(C.UNKNOWN_FILE) if file is None else file
+    start = _zero() if start is None else start
+    lines = let(_groups(sections), lambda groups: _section_lines(sections, groups, file, start))
+    return let(lines, _merged_files)
+
+
+def _files(diff: Column) -> Column:
+    return let(cut_sections(diff), lambda sections: files_of(sections))
+
+
+def chunk_starts(lines: Column) -> Column:
+    """Places of the first line and of all definitions."""
     return F.array_compact(
         F.transform(lines, lambda x, i: F.when((i == 0) | is_definition(x["code"]), i))
     )
@@ -264,7 +277,7 @@ def _spans(starts: Column, n_lines: Column) -> Column:
 
 def _file_chunks(file: Column) -> Column:
     lines = file["lines"]
-    spans = let(_starts(lines), lambda starts: _spans(starts, F.size(lines)))
+    spans = let(chunk_starts(lines), lambda starts: _spans(starts, F.size(lines)))
     return F.transform(
         spans,
         lambda s: F.struct(

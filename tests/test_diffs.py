@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from diffmill.operators.diffs import added_lines, diff_lines, line_kind, parse_diffs
+from diffmill.operators.split_diffs import parse_all, parse_segments, read_diff_segments, segments_of
 from pyspark.sql import functions as F
 
 
@@ -185,3 +186,65 @@ def test_known_answers(spark, code, n_chunks, longest):
         F.count("*").alias("n"), F.max(F.size(F.split("code", "\n"))).alias("longest")
     ).first()
     assert (found.n, found.longest) == (n_chunks, longest)
+
+
+def random_diffs(rng, count):
+    kinds, ends, diffs = _LINES.elements, _BREAKS.elements, []
+    for _ in range(count):
+        many = rng.random() < 0.5
+        lines = [rng.choice(["+x = 1"] * 30 + list(kinds)) if many else rng.choice(kinds) for _ in range(rng.choice([0, 1, 3, 10, 40, 130, 300]))]
+        diffs.append("".join(ln + rng.choice(ends) for ln in lines))
+    return diffs
+
+
+def rows_of(chunks, count):
+    result = [[] for _ in range(count)]
+    for row in chunks.orderBy("pr_id", "chunk_index").collect():
+        assert row.chunk_index == len(result[row.pr_id])
+        result[row.pr_id].append((row.file, row.start_line, row.code))
+    return result
+
+
+@pytest.mark.parametrize("lines", [1, 2, 7, 39, 40, 41, 100_000])
+def test_segments_of_any_size(spark, lines):
+    diffs = [*CASES.values(), *random_diffs(random.Random(lines), 150)]
+    df = spark.createDataFrame(list(enumerate(diffs)), "pr_id long, diff string")
+    found = rows_of(parse_segments(segments_of(df, lines).repartition(5)), len(diffs))
+    assert found == [expected_chunks(d) for d in diffs]
+
+
+def test_long_and_short_diffs(spark):
+    diffs = [*random_diffs(random.Random(5), 100), None]
+    df = spark.createDataFrame(list(enumerate(diffs)), "pr_id long, diff string")
+    found = rows_of(parse_all(df, largest=200, lines=11, stage=True), len(diffs))
+    assert found == [expected_chunks(d or "") for d in diffs]
+
+
+def test_one_file_in_many_splits(spark, tmp_path):
+    """A file much larger than a split: segments stay small, chunks are those of the whole."""
+    rng = random.Random(2)
+    kinds = [k for k in _LINES.elements if k != "+++ b/b.js"]
+    lines = [rng.choice(["+x = 1", "+    y = f(x)  # " + "z" * 30] * 10 + list(kinds)) for _ in range(60_000)]
+    for pr, break_ in ((7, "\n"), (8, "\r\n")):
+        (tmp_path / f"pr_{pr}.diff").write_text(break_.join(lines), newline="")
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "100k")
+    try:
+        segments = read_diff_segments(spark, str(tmp_path), lines=700)
+        parts = segments.groupBy("pr_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("most")).collect()
+        assert len(parts) == 2 and all(p.n > 60 and p.most < 60_000 for p in parts)
+        found = parse_segments(segments, stage=True).orderBy("pr_id", "chunk_index").collect()
+    finally:
+        spark.conf.unset(size)
+    wanted = [(i, *c) for i, c in enumerate(expected_chunks("\n".join(lines)))]
+    for pr in (7, 8):
+        assert [tuple(r)[1:] for r in found if r.pr_id == pr] == wanted
+
+
+def test_no_window_over_lines_of_a_diff(spark):
+    """Windows over a diff run on summaries: no array of lines or code goes through them,
+    but for those of the chunks that begin in one segment."""
+    df = spark.createDataFrame([(1, "+a")], "pr_id long, diff string")
+    plan = parse_segments(segments_of(df, 5))._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) >= 6 and not any("lines#" in w or "sections#" in w for w in windows)

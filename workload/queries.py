@@ -16,6 +16,7 @@ from diffmill.operators import model as mo
 from diffmill.operators import rank as rk
 from diffmill.operators import review as rv
 from diffmill.operators import selection as se
+from diffmill.operators import split_diffs as sd
 from diffmill.plans import corpus_job, review_job
 from diffmill.functions.hashing import hash_number
 from diffmill.sources import diffs as diff_source
@@ -246,6 +247,12 @@ def d7(spark, sf):
 _DOC_DIFF = "concat('+++ b/d', CAST(doc_id AS VARCHAR(20)), '.py', chr(10), '@@ -0,0 +1,1 @@', chr(10), '+', replace(text, chr(10), concat(chr(10), '+')))"
 
 
+@register("d7_split_diffs", "SELECT pr_id, chunk_index, file, start_line, code FROM chunks")
+def d7_split(spark, sf):
+    """Every diff in segments of 60 lines, as if it were too large for a task."""
+    return sd.parse_segments(sd.segments_of(I.diffs(spark, sf), lines=60), stage=True)
+
+
 @register(
     "d7_document_chunks",
     O.query("SELECT pr_id, chunk_index, file, start_line, code FROM chunks", "chunks").replace(
