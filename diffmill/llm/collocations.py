@@ -2,17 +2,17 @@
 
 A text is lower-cased (A to Z), cut into pieces and those into words. Prefix sums of a
 polynomial over the bytes give every word's hash by one subtraction, prefix sums over the
-word hashes every n-gram's, and language and length are mixed in. So a 64-bit fingerprint
-stands for a phrase, and only fingerprints with counts are shuffled.
+word hashes every n-gram's, and language and length are mixed in. Two polynomials make up a
+fingerprint of 64 bits and a check of 48, so the shuffle sees numbers alone: fingerprint, check, count,
+and a pointer to an occurrence, the bucket of a document that has it.
 
 A phrase is as frequent as its parts at least. Words are counted first, then pairs of
 frequent words, then three and four words whose pairs are all frequent. What is frequent reaches the
 tasks as a bit field of fixed size; other phrases that share a bit cost time and change
-nothing. Fingerprints that meet by chance can only make a phrase look more frequent than
-it is, so none is lost. Last, each task points at an occurrence of every phrase that is
-left, compares all occurrences of its fingerprint with it, word by word, and hands on the
-text once with count and pointer. Counts by text are exact whatever the hashes, and only
-frequent phrases ever become text.
+nothing. Fingerprints that meet by chance differ in their checks and are counted apart. Last,
+only documents that a pointer names turn frequent phrases into text, and every task compares all
+occurrences of a fingerprint and check in a slice with the first of them, word by word: if two
+texts differ, which 112 bits make next to impossible, the job ends with an error.
 
 Texts are worked off in slices of about ``SLICE`` bytes, cut where pieces end, so memory is
 bounded by a slice and the longest piece.
@@ -35,15 +35,16 @@ from diffmill.llm.batches import byte_texts
 from diffmill.sources.staging import staged
 
 LONGEST = 4
-SLICE = 1 << 21
-#: Fingerprints, and texts, that a task gathers before it hands them on.
-GATHERED, TEXTS = 2_000_000, 200_000
-#: A bit field of 16 MB; beyond some 10^8 frequent phrases it prunes less and less.
-FIELD_BITS = 27
+SLICE = 1 << 20
+#: Fingerprints that a task gathers before it hands them on.
+GATHERED = 1_500_000
+#: A bit field of 8 MB; beyond some 10^7 frequent phrases it prunes less and less.
+FIELD_BITS = 26
+CHECK_BITS, BUCKETS = 48, 1 << 16
 UNKNOWN = "und"
 _U = np.uint64
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of the two polynomials.
+_BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0 in a word, 1 between words, 2 between pieces.
@@ -54,17 +55,17 @@ _KIND[[*b".,;:!?\n\x0b\x0c\r"]] = 2
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64, ``n`` at least."""
-    if not _powers or len(_powers[0][0]) < n:
-        size = max(n, SLICE + 4096)
+    if base not in _powers or len(_powers[base][0]) < n:
+        size = max(n, SLICE + SLICE // 8)
         tables = []
-        for step in (_BASE, _INVERSE):
+        for step in (base, pow(base, -1, 1 << 64)):
             row = np.full(size, step, _U)
             row[0] = 1
             tables.append(np.multiply.accumulate(row))
-        _powers[0] = tables[0], tables[1]
-    return _powers[0]
+        _powers[base] = tables[0], tables[1]
+    return _powers[base]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,16 +74,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial of each span of values, the same wherever the span lies."""
-    power, inverse = _power_tables(len(values) + 1)
+    power, inverse = _power_tables(len(values) + 1, base)
     prefix = np.zeros(len(values) + 1, _U)
     np.cumsum(values * power[: len(values)], out=prefix[1:])
     return (prefix[ends] - prefix[starts]) * inverse[starts]
 
 
 class Words:
-    """The words of a slice: bytes of some texts, each with its language's seed."""
+    """The words of a slice: bytes of some texts, each with its language's seed. ``mask``
+    cuts fingerprints short in tests."""
 
     def __init__(self, texts: list[bytes], seeds: list[int], mask: int = (1 << 64) - 1):
         self.data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
@@ -96,9 +98,9 @@ class Words:
         self.first = first
         self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
         with np.errstate(over="ignore"):
-            self.hash = _mixed(_spans(self.data.astype(_U), self.starts, self.ends) + (self.ends - self.starts).astype(_U))
+            values, size = self.data.astype(_U), (self.ends - self.starts).astype(_U)
+            self.hashes = [_mixed(_spans(values, self.starts, self.ends, base) + size) for base in _BASES]
             self.seed = _mixed(np.array(seeds, np.int64).astype(_U))[self.text] if len(texts) else np.zeros(0, _U)
-        self.hash &= self.mask
 
     def places(self, n: int) -> np.ndarray:
         """Where n words lie in one piece."""
@@ -107,10 +109,17 @@ class Words:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.piece[: w - n + 1] == self.piece[n - 1 :])
 
-    def fingerprints(self, places: np.ndarray, n: int) -> np.ndarray:
+    def _prints(self, places: np.ndarray, n: int, which: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            poly = self.hash[places] if n == 1 else _spans(self.hash, places, places + n)
-            return _mixed(poly + self.seed[places] * _U(2 * n + 1)) & self.mask
+            own = self.hashes[which]
+            poly = own[places] if n == 1 else _spans(own, places, places + n, _BASES[which])
+            return _mixed(poly + self.seed[places] * _U(2 * n + 1))
+
+    def fingerprints(self, places: np.ndarray, n: int) -> np.ndarray:
+        return self._prints(places, n, 0) & self.mask
+
+    def checks(self, places: np.ndarray, n: int) -> np.ndarray:
+        return self._prints(places, n, 1) >> _U(64 - CHECK_BITS)
 
     def phrase(self, place: int, n: int) -> bytes:
         return b" ".join([self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(place, place + n)])
@@ -118,7 +127,7 @@ class Words:
     def numbered(self) -> np.ndarray | None:
         """A number for each word, equal for equal words only: words of one hash are compared
         byte by byte with the first of them. None if two of them differ."""
-        _, first, number = np.unique(self.hash, return_index=True, return_inverse=True)
+        _, first, number = np.unique(self.hashes[0], return_index=True, return_inverse=True)
         first = first[number]
         size = self.ends - self.starts
         if not np.array_equal(size, size[first]):
@@ -201,28 +210,51 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int], lis
         yield texts, seeds, rows, begins
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    prints = np.concatenate([p for p, _ in parts])
-    order = np.argsort(prints, kind="stable")
-    prints = prints[order]
-    first = np.flatnonzero(np.diff(prints, prepend=~prints[:1]) != 0)
-    return prints[first], np.add.reduceat(np.concatenate([c for _, c in parts])[order], first)
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # fingerprint, check, n, bucket
+
+
+def _first_of_each(prints: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the phrases, and where in it each one begins."""
+    order = np.lexsort((checks, prints))
+    prints, checks = prints[order], checks[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])
+    return order, np.flatnonzero(begins)
+
+
+def _merged(parts: list[Counts]) -> Counts:
+    prints, checks, counts, buckets = (np.concatenate(c) for c in zip(*parts))
+    order, first = _first_of_each(prints, checks)
+    if not len(first):
+        return prints, checks, counts, buckets
+    one = order[first]
+    return prints[one], checks[one], np.add.reduceat(counts[order], first), np.minimum.reduceat(buckets[order], first)
+
+
+def _buckets(keys: pa.Array, rows: list[int], words: Words, places: np.ndarray) -> np.ndarray:
+    """Bucket of the document that holds each place."""
+    return (keys.to_numpy() & (BUCKETS - 1))[np.array(rows)][words.text[places]]
 
 
 def _counted(rows: DataFrame, frequent: Frequent, levels: int, mask: int) -> DataFrame:
-    """``fingerprint, n`` of the phrases of the level after those that are known."""
+    """``fingerprint, check, n, bucket`` of the phrases of the level after those that are known."""
 
-    def batch_of(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], names=["fingerprint", "n"])
+    def batch_of(found: Counts) -> pa.RecordBatch:
+        prints, checks, counts, buckets = found
+        return pa.RecordBatch.from_arrays(
+            [pa.array(prints.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(counts), pa.array(buckets)],
+            names=["fingerprint", "check", "n", "bucket"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for texts, seeds, _, _ in _slices(batch):
-                found = _candidates(Words(texts, seeds, mask), frequent, levels)
-                for n, (_, prints) in found.items():
-                    if min(n, 3) - 1 == levels and len(prints):
-                        parts.append(_merged([(prints, np.ones(len(prints), np.int64))]))
+            for texts, seeds, row, _ in _slices(batch):
+                words = Words(texts, seeds, mask)
+                for n, (places, prints) in _candidates(words, frequent, levels).items():
+                    if min(n, 3) - 1 == levels and len(places):
+                        buckets = _buckets(batch.column("key"), row, words, places)
+                        parts.append(_merged([(prints, words.checks(places, n), np.ones(len(places), np.int64), buckets)]))
                         size += len(parts[-1][0])
                 if size > GATHERED:
                     parts = [_merged(parts)]
@@ -233,105 +265,120 @@ def _counted(rows: DataFrame, frequent: Frequent, levels: int, mask: int) -> Dat
         if parts:
             yield batch_of(_merged(parts))
 
-    found = rows.select("seed", "text").mapInArrow(run, "fingerprint bigint, n bigint")
-    return found.groupBy("fingerprint").agg(F.sum("n").alias("n"))
+    found = rows.select("key", "seed", "text").mapInArrow(run, "fingerprint bigint, check bigint, n bigint, bucket bigint")
+    return found.groupBy("fingerprint", "check").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket"))
+
+
+def _owned(prints: np.ndarray, checks: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Hash of a phrase and of a document bucket that is to turn it into text."""
+    with np.errstate(over="ignore"):
+        return _mixed(prints * _U(3) + _mixed(checks + buckets.astype(_U) * _U(_BASES[1])))
+
+
+def _field(counts: DataFrame, bits: int, owners: bool = False) -> Broadcast:
+    """Bit field of fingerprints, or of their owners: 2^(bits - 6) longs at most."""
+    marks = counts.select("fingerprint")
+    if owners:
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                prints, checks, buckets = (c.to_numpy() for c in batch.columns)
+                mark = _owned(prints.view(_U), checks.view(_U), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64))], names=["fingerprint"])
 
-def _field(counts: DataFrame, least: int, bits: int) -> Broadcast:
-    """Bit field of the frequent fingerprints: 2^(bits - 6) longs at most."""
+        marks = counts.select("fingerprint", "check", "bucket").mapInArrow(run, "fingerprint bigint")
     slot = F.col("fingerprint").bitwiseAND(F.lit((1 << bits) - 1))
     bit = F.expr("shiftleft(1L, cast(fingerprint & 63 AS int))")
-    words = counts.filter(F.col("n") >= least).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    found = words.toArrow()
+    found = marks.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     field = np.zeros(1 << (bits - 6), np.int64)
     field[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return counts.sparkSession.sparkContext.broadcast(field.view(np.uint8))
 
 
 def _texts(rows: DataFrame, frequent: Frequent, mask: int) -> DataFrame:
-    """``lang, words, phrase, n, doc_id, at``: the phrases that are left as text, from each task,
-    with a pointer to an occurrence, the byte of the text where it starts; and, as a phrase
-    of no words, the number of all words."""
-
-    def batch_of(found: dict) -> pa.RecordBatch:
-        lang, words, phrase = zip(*found) if found else ((), (), ())
-        count, doc, at = zip(*found.values()) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(lang, pa.string()), pa.array(words, pa.int32()), pa.array(phrase, pa.binary()).view(pa.string()),
-                pa.array(count, pa.int64()), pa.array(doc, pa.string()), pa.array(at, pa.int64()),
-            ],
-            names=["lang", "words", "phrase", "n", "doc_id", "at"],
-        )
+    """``fingerprint, check, lang, words, phrase, doc_id, at``: phrases as text, from the documents
+    that own them, with the byte of the text where one starts; and, as a phrase of no
+    words, the number ``n`` of all words of a language."""
+    schema = "fingerprint bigint, check bigint, lang string, words int, phrase string, doc_id string, at bigint, n bigint"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(list(c), kind) for c, kind in zip(zip(*found), kinds)]
+        columns[4] = columns[4].view(pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, list] = {}
+        total: Counter = Counter()
         for batch in batches:
             langs, docs = batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist()
-            for texts, seeds, rows, begins in _slices(batch):
+            for texts, seeds, row, begins in _slices(batch):
                 words = Words(texts, seeds, mask)
+                for k, n in enumerate(np.bincount(words.text, minlength=len(texts)).tolist()):
+                    total[langs[row[k]]] += n
                 number = words.numbered()
-                for row, n in Counter(np.array(rows)[words.text].tolist()).items():
-                    found.setdefault((langs[row], 0, b""), [0, None, None])[0] += n
+                found = []
                 for n, (places, prints) in _candidates(words, frequent, 3).items():
-                    for place, count in _verified(words, places, prints, n, number, rows, langs):
-                        text = words.text[place]
-                        key = langs[rows[text]], n, words.phrase(place, n)
-                        old = found.get(key)
-                        if old is None:
-                            at = int(words.starts[place] - words.first[text]) + begins[text]
-                            found[key] = [count, docs[rows[text]], at]
-                        else:
-                            old[0] += count
-                if len(found) > TEXTS:
+                    checks = words.checks(places, n)
+                    _verified(words, places, prints, checks, n, number)
+                    owner = _owned(prints, checks, _buckets(batch.column("key"), row, words, places))
+                    mine = np.flatnonzero(frequent.has(3, owner))
+                    # once for each phrase of the slice
+                    order, first = _first_of_each(prints[mine], checks[mine])
+                    mine = mine[order[first]]
+                    for k in mine.tolist():
+                        place = int(places[k])
+                        text = int(words.text[place])
+                        found.append(
+                            (int(prints[k].view(np.int64)), int(checks[k]), langs[row[text]], n, words.phrase(place, n),
+                             docs[row[text]], int(words.starts[place] - words.first[text]) + begins[text], 0)
+                        )
+                if found:
                     yield batch_of(found)
-                    found = {}
-        yield batch_of(found)
+        if total:
+            yield batch_of([(0, 0, lang, 0, b"", None, None, n) for lang, n in total.items() if n])
 
-    schema = "lang string, words int, phrase string, n bigint, doc_id string, at bigint"
     return rows.mapInArrow(run, schema)
 
 
-def _verified(words: Words, places: np.ndarray, prints: np.ndarray, n: int, number, rows, langs) -> Iterator[tuple[int, int]]:
-    """A place and the count of each phrase: all occurrences of a fingerprint are compared
-    with its first one. If any differs, the phrases of the slice are counted as texts."""
-    if not len(places):
-        return
-    _, first, group, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-    same = number is not None
-    if same:
-        lead = places[first][group]
-        same = all(np.array_equal(number[places + j], number[lead + j]) for j in range(n))
-        same = same and np.array_equal(words.seed[places], words.seed[lead])
-    if same:
-        yield from zip(places[first].tolist(), counts.tolist())
+def _verified(words: Words, places: np.ndarray, prints: np.ndarray, checks: np.ndarray, n: int, number) -> None:
+    """All occurrences of a fingerprint and check have the words of the first one."""
+    if len(places) < 2:
         return
-    place_of: dict[tuple, int] = {}
-    texts: Counter = Counter()
-    for place in places.tolist():
-        key = langs[rows[words.text[place]]], words.phrase(place, n)
-        place_of.setdefault(key, place)
-        texts[key] += 1
-    for key, count in texts.items():
-        yield place_of[key], count
+    order = np.lexsort((checks, prints))
+    own = places[order]
+    same = (prints[order][1:] == prints[order][:-1]) & (checks[order][1:] == checks[order][:-1])
+    left, right = own[:-1][same], own[1:][same]
+    equal = number is not None and all(np.array_equal(number[left + j], number[right + j]) for j in range(n))
+    if not equal or not np.array_equal(words.seed[left], words.seed[right]):
+        if any(words.phrase(a, n) != words.phrase(b, n) for a, b in zip(left.tolist(), right.tolist())):
+            raise ValueError("two phrases have one fingerprint and check")
 
 
 def phrases(docs: DataFrame, least: int = 30, field_bits: int = FIELD_BITS, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to 4 words that occur ``least`` times or more in a language:
-    ``lang, words, phrase, f, doc_id, at``, the last two a pointer to an occurrence; and ``lang, n``, the number
-    of words of each language. ``hash_bits`` below 64 serves tests of collisions."""
+    ``lang, words, phrase, f, doc_id, at``, the last two a pointer to an occurrence; and
+    ``lang, n``, the number of words of each language. ``hash_bits`` below 64 serves tests of
+    collisions."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
-    rows = docs.select(F.col("doc_id").cast("string"), lang.alias("lang"), F.xxhash64(lang).alias("seed"), "text")
-    mask = (1 << hash_bits) - 1
-    frequent = Frequent([], field_bits)
+    rows = docs.select(
+        F.col("doc_id").cast("string"), lang.alias("lang"), F.xxhash64(lang).alias("seed"), F.xxhash64("text", lang).alias("key"), "text"
+    )
+    mask, fields, counts = (1 << hash_bits) - 1, [], None
     for level in range(3):
-        counts = _counted(rows, Frequent(list(frequent.fields), field_bits), level, mask)
-        frequent.fields.append(_field(counts, least, field_bits))
-    found = _texts(rows, frequent, mask)
-    total = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"), F.min(F.struct("doc_id", "at")).alias("p"))
-    often = total.filter((F.col("f") >= least) | (F.col("words") == 0))
-    often = staged(often.select("lang", "words", "phrase", "f", "p.doc_id", "p.at"), "phrases")
-    return often.filter("words > 0"), often.filter("words = 0").select("lang", F.col("f").alias("n"))
+        found = _counted(rows, Frequent(list(fields), field_bits), level, mask)
+        found = staged(found.filter(F.col("n") >= least), "phrase-counts")
+        fields.append(_field(found, field_bits))
+        counts = found if counts is None else counts.unionByName(found)
+    fields.append(_field(counts, field_bits, owners=True))
+    texts = staged(_texts(rows, Frequent(fields, field_bits), mask), "phrase-texts")
+    one = texts.filter("words > 0").groupBy("fingerprint", "check").agg(
+        F.min("lang").alias("lang"), F.min("words").alias("words"), F.min("phrase").alias("phrase"),
+        F.min(F.struct("doc_id", "at")).alias("p"),
+    )
+    kept = counts.join(one, ["fingerprint", "check"])
+    kept = staged(kept.select("lang", "words", "phrase", F.col("n").alias("f"), "p.doc_id", "p.at"), "phrases")
+    return kept, texts.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def scored(kept: DataFrame) -> DataFrame:

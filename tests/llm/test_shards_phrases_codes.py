@@ -155,7 +155,7 @@ def test_collocations_in_slices(spark, monkeypatch):
     """Slices of a few bytes cut texts between pieces and lose nothing."""
     frame = phrase_texts(spark)
     wanted = sorted(check_collocations(frame, least=4, top=100))
-    batch = frame.select("lang", "text", F.xxhash64("lang").alias("seed")).toArrow().to_batches()[0]
+    batch = frame.coalesce(1).select("lang", "text", F.xxhash64("lang").alias("seed")).toArrow().combine_chunks().to_batches()[0]
     monkeypatch.setattr(collocations, "SLICE", 40)
     pieces = list(collocations._slices(batch))
     assert len(pieces) > 100
@@ -174,6 +174,20 @@ def test_collisions_change_nothing(spark, hash_bits, field_bits):
     assert check_collocations(frame, least=4, top=50, hash_bits=hash_bits, field_bits=field_bits)
 
 
+def test_texts_are_compared(monkeypatch):
+    """Words of one hash, or phrases of one fingerprint and check, are not taken for equal."""
+    words = collocations.Words([b"a b a c", b"a b"], [1, 1])
+    assert words.numbered().tolist() == [0, 1, 0, 2, 0, 1] or len(set(words.numbered().tolist())) == 3
+    places = words.places(2)
+    same = np.zeros(len(places), np.uint64)
+    with pytest.raises(ValueError, match="two phrases"):
+        collocations._verified(words, places, same, same, 2, words.numbered())
+    collocations._verified(words, places[[0, 3]], same[:2], same[:2], 2, words.numbered())
+    words.hashes[0] = np.zeros(6, np.uint64)
+    assert words.numbered() is None
+    collocations._verified(words, places[[0, 3]], same[:2], same[:2], 2, None)
+
+
 def test_pointers_lead_to_the_phrase(spark):
     frame = phrase_texts(spark, 100)
     kept, _ = collocations.phrases(frame, least=5)
