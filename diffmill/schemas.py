@@ -42,7 +42,15 @@ COMMENTS = _table(
     confidence=_DOUBLE,
     body=_TEXT,
 )
-POSTED = T.StructType([*COMMENTS, T.StructField("part", _LONG)])
+REVIEWS = _table(
+    pr_id=_LONG,
+    language=_TEXT,
+    final_review=_TEXT,
+    review_summary=_TEXT,
+    issue_count=_LONG,
+    issues_found=_INT,
+)
+STATUS = _table(pr_id=_LONG, status_body=_TEXT)
 WEBHOOK_PAYLOAD = _table(
     action=_TEXT,
     repository=_table(full_name=_TEXT),

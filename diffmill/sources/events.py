@@ -22,6 +22,23 @@ def webhook_events(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
+def payload_fault(payload: Column) -> Column:
+    """Why a payload gives no event; null if it does."""
+    parsed = F.try_parse_json(payload)
+    return (
+        F.when(payload.isNull(), "no payload")
+        .when(parsed.isNull(), "no JSON")
+        .when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), "no object")
+    )
+
+
+def sound_payloads(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Payloads that are JSON objects, and all others with the ``reason``. Works on a
+    batch and on a stream; a stream gives two, to be written each on its own."""
+    marked = payloads.withColumn("reason", payload_fault(F.col(column)))
+    return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
+
+
 def reviewed_events(events: DataFrame) -> DataFrame:
     """Events that start a review; an installation id of zero counts as missing."""
     return events.filter(

@@ -1,18 +1,43 @@
 """Review and report sinks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diffmill.constants import CLASS_NAMES, PRODUCT
 from diffmill.functions.text import lookup
+from diffmill.sources.staging import found
 
 
-def write_products(products: dict[str, DataFrame], path: str, part: str | None = None) -> None:
-    """Each product to its own table. With ``part`` (a batch number) a repeated
-    write of the same part replaces it, so a retried batch leaves no double rows."""
+def write_products(products: dict[str, DataFrame], path: str) -> None:
+    """Each product to its own table."""
     for name, df in products.items():
-        target = f"{path}/{name}" if part is None else f"{path}/{name}/part={part}"
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_part(products: dict[str, DataFrame], path: str, part: int) -> None:
+    """S5 for a batch: all products in one write, each in its own column and folder. The
+    part is there once the write has set its completion mark, so a reader sees all products of a
+    batch or none; writing a part again replaces it."""
+    rows = None
+    for name, df in products.items():
+        own = df.select(F.lit(name).alias("product"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    rows.write.mode("overwrite").partitionBy("product").parquet(f"{path}/part={part}")
+
+
+def read_product(
+    spark: SparkSession, path: str, name: str, schema: T.StructType, parts: list[int] | None = None
+) -> DataFrame:
+    """A product of all finished parts, or of some of them, with the number ``part``."""
+    done = [mark.rsplit("/", 1)[0] for mark in found(spark, f"{path}/part=*/_SUCCESS")]
+    if parts is not None:
+        done = [folder for folder in done if int(folder.rsplit("=", 1)[1]) in parts]
+    own = [T.StructField("part", T.LongType()), T.StructField("product", T.StringType())]
+    if not done:
+        return spark.createDataFrame([], T.StructType([*schema.fields, own[0]]))
+    rows = spark.read.schema(T.StructType([T.StructField(name, schema), *own])).option("basePath", path).parquet(*done)
+    return rows.filter(F.col("product") == name).select(f"{name}.*", "part")
 
 
 def evaluation_report(per_class: DataFrame, summary: DataFrame, matrix: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams (ids X1 to X3)."""
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from diffmill.operators.review import status_body
 from diffmill.plans.review_job import Review
-from diffmill.schemas import COMMENTS, POSTED
+from diffmill.sources.buckets import BUCKETS, PlaceIndex
 from diffmill.sources.events import pr_key, reviewed_events, webhook_events
-from diffmill.sources.products import write_products
-from diffmill.sources.staging import staged
+from diffmill.sources.products import write_part
+from diffmill.sources.staging import run, staged
 
 
 def request_counts(
@@ -37,17 +38,23 @@ def request_counts(
     )
 
 
-def first_comments(comments: DataFrame, horizon: str | None = None) -> DataFrame:
+def first_comments(comments: DataFrame, horizon: timedelta = timedelta(days=90), ts: str | None = None) -> DataFrame:
     """The first comment per pull request, file and line.
 
-    Without a horizon the state keeps every place ever seen. With one (needs a column
-    ts) a place is forgotten once it is older; ``review_events`` asks the sink instead and
-    has no horizon.
+    On a stream a place is kept for ``horizon`` after it was seen, by the clock, or by the
+    comments' own times if ``ts`` names that column; then the next batch removes its state, and after that a
+    comment on it counts as a first one again. ``review_events`` asks the index of places instead, which
+    forgets nothing.
     """
     place = ["pr_id", "file", "line"]
-    if horizon is None:
+    if not comments.isStreaming:
         return comments.dropDuplicates(place)
-    return comments.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(place)
+    # a state row lives for the delay beyond its own time, and the watermark is as far behind
+    delay = f"{int(horizon.total_seconds() * 1000) // 2} milliseconds"
+    if ts is not None:
+        return comments.withWatermark(ts, delay).dropDuplicatesWithinWatermark(place)
+    seen = comments.withColumn("_seen_at", F.current_timestamp()).withWatermark("_seen_at", delay)
+    return seen.dropDuplicatesWithinWatermark(place).drop("_seen_at")
 
 
 def events_to_prs(payloads: DataFrame) -> DataFrame:
@@ -66,6 +73,8 @@ def review_events(
     sink_path: str,
     checkpoint_path: str,
     trigger: dict | None = None,
+    fan: int = 16,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Review the pull requests of each micro-batch and write the products.
 
@@ -74,14 +83,14 @@ def review_events(
     (``sources.events.pr_key``). An event is acknowledged by the source's offset log
     and processed afterwards. A pull request with several events in a batch is reviewed
     once; one that comes back in a later batch is reviewed again, but gets no second
-    comment on the same line. Every batch writes its own part of the sink, so a retried
-    batch replaces what it wrote, and it does not see its own comments as earlier ones. The
-    status texts are written last, from the written reviews and comments: a part of them
-    marks a finished batch.
+    comment on the same line. Every batch writes its own part of the sink, all products in
+    one write, so a reader (``sources.products.read_product``) sees all of them or none, and a
+    retried batch replaces what it wrote. Places are kept in an index by bucket
+    (``sources.buckets.PlaceIndex``); a batch reads those of its own buckets from the batches
+    before it. What ``review`` stages goes with the batch.
     """
-    posted_path = f"{sink_path}/posted"
-    no_comments = payloads.sparkSession.createDataFrame([], COMMENTS)
-    no_comments.write.mode("overwrite").parquet(f"{posted_path}/part=-1")
+    spark = payloads.sparkSession
+    index = PlaceIndex(spark, f"{sink_path}-places", fan, buckets)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         events = (
@@ -89,17 +98,15 @@ def review_events(
             .groupBy("pr_id", "repo", "number")
             .agg((F.max(F.length("head_sha")) > 0).alias("has_commit"))
         )
-        prs = staged(events, "prs")
-        posted = batch.sparkSession.read.schema(POSTED)
-        earlier = posted.parquet(posted_path).filter(F.col("part") < batch_id)
-        found = review(prs, earlier.join(prs.select("pr_id"), "pr_id", "left_semi")).products()
-        status = found.pop("status")
-        write_products(found, sink_path, str(batch_id))
-        written = [
-            batch.sparkSession.read.schema(found[name].schema).parquet(f"{sink_path}/{name}/part={batch_id}")
-            for name in ("reviews", "posted")
-        ]
-        write_products({"status": status_body(*written).select(status.columns)}, sink_path, str(batch_id))
+        with run(spark, f"batch-{batch_id}"):
+            prs = staged(events, "prs")
+            index.merge(batch_id)
+            products = review(prs, index.of(prs, batch_id)).products()
+            for name in ("reviews", "posted"):  # the status texts are made of both
+                products[name] = staged(products[name], name)
+            products["status"] = status_body(products["reviews"], products["posted"]).select(products["status"].columns)
+            write_part(products, sink_path, batch_id)
+            index.add(products["posted"], batch_id)
 
     writer = payloads.writeStream.foreachBatch(process).option(
         "checkpointLocation", checkpoint_path

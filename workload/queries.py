@@ -1,11 +1,13 @@
 """Driver queries: one per operator, each over its whole input, with its SQL counterpart."""
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffmill import constants as C
+from diffmill import schemas
 from diffmill.functions import languages, rules, text
 from diffmill.operators import classify as cl
 from diffmill.operators import corpus as co
@@ -21,8 +23,8 @@ from diffmill.plans import corpus_job, review_job
 from diffmill.functions.hashing import hash_number
 from diffmill.sources import diffs as diff_source
 from diffmill.sources import events as ev
-from diffmill.sources import products, samples, staging
-from diffmill.streaming import streams
+from diffmill.sources import buckets, products, samples, staging
+from diffmill.streaming import admission, streams
 from workload import inputs as I
 from workload import oracle as O
 
@@ -162,6 +164,22 @@ def s6(spark, sf):
     return ev.webhook_events(I.payloads(spark, sf)).drop("ts")
 
 
+_DAMAGED = """CASE event_id % 9 WHEN 1 THEN substr(payload, 1, length(payload) - 3) WHEN 3 THEN 'not json'
+  WHEN 4 THEN concat('[', payload, ']') WHEN 5 THEN CAST(NULL AS VARCHAR(1)) WHEN 7 THEN '12' WHEN 8 THEN '' ELSE payload END"""
+
+
+@register(
+    "s6_broken_payloads",
+    f"""SELECT event_id, CASE WHEN damaged IS NULL THEN 'no payload' WHEN NOT json_valid(damaged) THEN 'no JSON'
+          WHEN json_type(CASE WHEN json_valid(damaged) THEN damaged ELSE '{{}}' END) <> 'OBJECT' THEN 'no object' END AS reason
+        FROM (SELECT event_id, {_DAMAGED} AS damaged FROM payloads)""",
+)
+def s6_broken(spark, sf):
+    """Every payload, damaged ones with the reason, sound ones with none."""
+    sound, broken = ev.sound_payloads(I.payloads(spark, sf).withColumn("payload", F.expr(_DAMAGED)))
+    return sound.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(broken.select("event_id", "reason"))
+
+
 @register("s7_commented_places", "SELECT pr_id, file, line FROM places")
 def s7(spark, sf):
     return ev.commented_places(I.existing_comments(comments(spark, sf)))
@@ -911,22 +929,26 @@ def _stream_sql() -> str:
 @register("x1_review_stream", _stream_sql())
 def x1(spark, sf):
     sink = staging.new_path(spark, "stream-sink")
+    tables = {}
+    for name, rows in (("diffs", I.diffs(spark, sf)), ("responses", I.responses(spark, sf))):
+        # the tables have numbers alone: each repository of the test has the same diffs
+        rows = rows.withColumnRenamed("pr_id", "number")
+        tables[name] = staging.new_path(spark, name), rows.schema
+        buckets.write_bucketed(rows, tables[name][0], key="number")
 
     def review(prs, earlier):
-        def of_events(rows):
-            # the tables have numbers alone: each repository of the test has the same diffs
-            return prs.select("pr_id", "number").join(rows.withColumnRenamed("pr_id", "number"), "number").drop("number")
+        def of_events(name):
+            rows = buckets.read_bucketed(spark, *tables[name], prs, key="number")
+            return prs.select("pr_id", "number").join(rows, "number").drop("number")
 
-        found = review_job.find_issues(of_events(I.diffs(spark, sf)), I.formula_scorer, stage=True)
-        return review_job.write_reviews(
-            found, of_events(I.responses(spark, sf)), earlier, prs.filter("has_commit"), stage=True
-        )
+        found = review_job.find_issues(of_events("diffs"), I.formula_scorer, stage=True)
+        return review_job.write_reviews(found, of_events("responses"), earlier, prs.filter("has_commit"), stage=True)
 
     query = streams.review_events(
         _event_stream(spark, sf), review, sink, sink + "-checkpoint", {"availableNow": True}
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{sink}/reviews").select(
+    return products.read_product(spark, sink, "reviews", schemas.REVIEWS).select(
         "pr_id", "final_review", "review_summary", "issue_count"
     )
 
@@ -942,6 +964,22 @@ def x2(spark, sf):
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@register(
+    "x2_admitted",
+    """WITH RECURSIVE opened AS (
+      SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
+      UNION ALL
+      SELECT o.user_id, min(e.ts) FROM opened o JOIN events e ON e.user_id = o.user_id AND e.ts >= o.s + INTERVAL 12 HOURS GROUP BY o.user_id
+    )
+    SELECT event_id, e.user_id, row_number() OVER (PARTITION BY e.user_id, o.s ORDER BY ts, event_id) <= 2 AS admitted
+    FROM events e ASOF JOIN opened o ON o.user_id = e.user_id AND e.ts >= o.s""",
+)
+def x2_admitted(spark, sf):
+    events = I.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    found = admission.admitted(events, limit=2, window=timedelta(hours=12), key="user_id", request="event_id")
+    return found.select("event_id", "user_id", "admitted")
+
+
 @register("x3_first_comments", "SELECT DISTINCT pr_id, file, line FROM comments")
 def x3(spark, sf):
     source = staging.new_path(spark, "planned")
