@@ -25,18 +25,32 @@ def language_counts(chunks: DataFrame) -> DataFrame:
 def language_info(chunks: DataFrame) -> DataFrame:
     """One row per pull request: language map and primary language.
 
-    The second aggregation sees at most one row per known language and pull request.
+    The languages are known, so each has its own count and first place: one aggregation by
+    pull request with numbers alone.
     """
+    known = sorted({*EXTENSION_LANGUAGES.values(), UNKNOWN_LANGUAGE})
+    language = language_of(F.col("file"))
+    marked = chunks.select("pr_id", "chunk_index", language.alias("language"))
+    sums = [
+        column
+        for k, name in enumerate(known)
+        for column in (
+            F.count_if(F.col("language") == name).alias(f"n{k}"),
+            F.min(F.when(F.col("language") == name, F.col("chunk_index"))).alias(f"first{k}"),
+        )
+    ]
+    found = F.filter(
+        F.array(*[F.struct(F.col(f"first{k}").alias("first"), F.lit(name).alias("language"), F.col(f"n{k}").alias("n")) for k, name in enumerate(known)]),
+        lambda e: e["n"] > 0,
+    )
+    most = F.array_max(F.transform("found", lambda e: F.struct(e["n"], -e["first"], e["language"].alias("language"))))
     return (
-        language_counts(chunks)
-        .groupBy("pr_id")
-        .agg(
-            F.max_by("language", F.struct("n", -F.col("first_chunk"))).alias("language"),
-            F.map_from_entries(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("first_chunk", "language", "n"))),
-                    lambda e: F.struct(e["language"], e["n"]),
-                )
-            ).alias("languages"),
+        marked.groupBy("pr_id")
+        .agg(*sums)
+        .select("pr_id", F.array_sort(found).alias("found"))
+        .select(
+            "pr_id",
+            most["language"].alias("language"),
+            F.map_from_entries(F.transform("found", lambda e: F.struct(e["language"], e["n"]))).alias("languages"),
         )
     )

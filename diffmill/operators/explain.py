@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from diffmill import constants as C
 from diffmill.functions.rules import is_rate_limited
-from diffmill.functions.text import percent, strip
+from diffmill.functions.text import let, percent, strip
 
 _FIELDS = ("explanation", "severity", "recommended_fix", "fixed_code")
 
@@ -78,47 +78,60 @@ def _field_text(kind: Column, text: Column) -> Column:
     return F.coalesce(strip(value), F.lit(""))
 
 
+def _answers(response: Column) -> Column:
+    """U6 to U8 within the row: (issue_idx, four text fields) of each issue number, in order."""
+
+    def read(e: Column, pos: Column) -> Column:
+        number = F.when(
+            F.try_variant_get(e, "$.issue_number", "variant").isNull(), pos + 1
+        ).otherwise(F.try_variant_get(e, "$.issue_number", "int"))
+        fields = [
+            _field_text(
+                F.schema_of_variant(F.try_variant_get(e, f"$.{f}", "variant")), F.try_variant_get(e, f"$.{f}", "string")
+            ).alias(f)
+            for f in _FIELDS
+        ]
+        return F.struct(number.alias("issue_idx"), pos.alias("pos"), *fields)
+
+    numbered = F.transform(_entries(response), lambda e, pos: F.struct(e.alias("e"), pos.alias("pos")))
+    objects = F.filter(numbered, lambda x: F.startswith(F.schema_of_variant(x["e"]), F.lit("OBJECT")))
+    known = F.filter(F.transform(objects, lambda x: read(x["e"], x["pos"])), lambda x: x["issue_idx"].isNotNull())
+
+    def last_of_each(ordered: Column) -> Column:
+        return F.filter(
+            ordered,
+            lambda x, i: F.coalesce(F.get(ordered, i + 1)["issue_idx"] != x["issue_idx"], F.lit(True)),
+        )
+
+    return let(F.array_sort(known), last_of_each)
+
+
 def answer_entries(responses: DataFrame) -> DataFrame:
     """(pr_id, issue_idx, four text fields), one row per issue number.
 
     Elements that are no objects, or whose number is none, are left out. A number that
-    appears twice keeps its last element. Broken responses give no rows.
+    appears twice keeps its last element. Broken responses give no rows. ``responses`` has one
+    row per pull request; it is read within the row, without a shuffle.
     """
-    elements = responses.select("pr_id", F.posexplode(_entries(F.col("response"))).alias("pos", "e"))
-    objects = elements.filter(F.startswith(F.schema_of_variant("e"), F.lit("OBJECT")))
-    number = F.when(
-        F.try_variant_get("e", "$.issue_number", "variant").isNull(), F.col("pos") + 1
-    ).otherwise(F.try_variant_get("e", "$.issue_number", "int"))
-    # each field is read from the variant once; the rest works on plain text
-    read = objects.select(
-        "pr_id",
-        "pos",
-        number.alias("issue_idx"),
-        *[
-            F.schema_of_variant(F.try_variant_get("e", f"$.{f}", "variant")).alias(f"{f}_kind")
-            for f in _FIELDS
-        ],
-        *[F.try_variant_get("e", f"$.{f}", "string").alias(f) for f in _FIELDS],
-    ).filter(F.col("issue_idx").isNotNull())
-    keyed = read.select(
-        "pr_id",
-        "issue_idx",
-        "pos",
-        F.struct(*[_field_text(F.col(f"{f}_kind"), F.col(f)).alias(f) for f in _FIELDS]).alias("fields"),
-    )
-    return (
-        keyed.groupBy("pr_id", "issue_idx")
-        .agg(F.max_by("fields", "pos").alias("fields"))
-        .select("pr_id", "issue_idx", "fields.*")
-    )
+    return responses.select("pr_id", F.inline(_answers(F.col("response")))).drop("pos")
 
 
 def explain(issues: DataFrame, responses: DataFrame) -> DataFrame:
-    """Issues widened by explanation, severity and fix, with defaults."""
-    joined = issues.join(answer_entries(responses), ["pr_id", "issue_idx"], "left")
+    """Issues widened by explanation, severity and fix, with defaults.
+
+    An answer stays whole in its row until it meets the issues of its pull request.
+    """
+    by_number = F.map_from_entries(
+        F.transform(
+            _answers(F.col("response")),
+            lambda a: F.struct(a["issue_idx"].alias("key"), F.struct(*[a[f].alias(f) for f in _FIELDS]).alias("value")),
+        )
+    )
+    answers = responses.select("pr_id", by_number.alias("answers"))
+    joined = issues.join(answers, "pr_id", "left").withColumn("answers", F.try_element_at("answers", F.col("issue_idx")))
 
     def field(name: str, default: str) -> Column:
-        return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(default))
+        return F.coalesce(F.nullif(F.col(f"answers.{name}"), F.lit("")), F.lit(default))
 
     return joined.withColumns(
         {
@@ -127,7 +140,7 @@ def explain(issues: DataFrame, responses: DataFrame) -> DataFrame:
             "recommended_fix": field("recommended_fix", C.DEFAULT_FIX),
             "fixed_code": field("fixed_code", ""),
         }
-    ).withColumn("fix_suggestion", F.col("explanation"))
+    ).withColumn("fix_suggestion", F.col("explanation")).drop("answers")
 
 
 def first_answers(attempts: DataFrame, prs: DataFrame | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from diffmill import constants as C
 from diffmill.functions.rules import suspicious_line_offset
-from diffmill.functions.text import percent, strip, strip_to_null
-from diffmill.operators.explain import _in_rank_order, with_defaults
+from diffmill.functions.text import let, percent, strip, strip_to_null
+from diffmill.operators.explain import with_defaults
 
 _REVIEW_MARK = "## Issue"
 
@@ -95,6 +95,25 @@ def inline_comments(explained: DataFrame) -> DataFrame:
     )
 
 
+def comment_places(issues: DataFrame) -> DataFrame:
+    """P15 and P16 alone: the place of each issue's comment, whatever its text."""
+    line = comment_line(F.col("start_line"), suspicious_line_offset(F.coalesce("code", F.lit(""))))
+    return issues.select("pr_id", "issue_idx", F.coalesce("file", F.lit("unknown")).alias("file"), line.alias("line"))
+
+
+def planned_comments(
+    explained: DataFrame, existing: DataFrame, limit: int = C.MAX_INLINE_COMMENTS
+) -> DataFrame:
+    """A11, W2 and J3 from explained issues: as ``comments_to_post`` of their comments, but
+    a body is formed for the comments that are posted alone."""
+    top = with_defaults(explained.filter(F.col("issue_idx") <= limit))
+    placed = top.withColumn("line", comment_line(F.col("start_line"), suspicious_line_offset(F.col("code"))))
+    places = existing.select("pr_id", "file", "line").distinct()
+    return placed.join(places, ["pr_id", "file", "line"], "left_anti").select(
+        "pr_id", "issue_idx", "file", "line", "label", "confidence", comment_body().alias("body")
+    )
+
+
 def comments_to_post(
     comments: DataFrame, existing: DataFrame, limit: int = C.MAX_INLINE_COMMENTS
 ) -> DataFrame:
@@ -148,40 +167,48 @@ def plural_of(issue_type: Column, n: Column) -> Column:
     )
 
 
+def _in_order(explained: DataFrame, **texts: Column) -> DataFrame:
+    """Per pull request its issues in rank order, with their type and some texts. All of
+    them stem from one diff row."""
+    item = F.struct("issue_idx", "label", *[text.alias(name) for name, text in texts.items()])
+    return explained.groupBy("pr_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def _bullets(items: Column) -> Column:
+    """A line per issue type, the most frequent first, else by first appearance."""
+
+    def counted(kinds: Column) -> Column:
+        def one(kind: Column, at: Column) -> Column:
+            n = F.size(F.filter(items, lambda x: x["label"] == kind))
+            text = F.concat(F.lit("- **"), plural_of(kind, n), F.lit(":** "), n.cast("string"))
+            return F.struct((-n).alias("n"), at.alias("at"), text.alias("t"))
+
+        return F.array_join(F.transform(F.array_sort(F.transform(kinds, one)), lambda e: e["t"]), "\n")
+
+    return let(F.array_distinct(F.transform(items, lambda x: x["label"])), counted)
+
+
 def summary_bullets(explained: DataFrame) -> DataFrame:
     """Total and bullet list per pull request, at most one bullet per issue type."""
-    explained = with_defaults(explained)
-    bullet = F.concat(
-        F.lit("- **"), plural_of(F.col("label"), F.col("n")), F.lit(":** "), F.col("n").cast("string")
-    )
-    entry = F.struct((-F.col("n")).alias("rank"), F.col("first_idx"), bullet.alias("t"))
-    return (
-        issue_type_counts(explained)
-        .groupBy("pr_id")
-        .agg(
-            F.sum("n").alias("total"),
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["t"]), "\n"
-            ).alias("bullets"),
-        )
-    )
+    items = _in_order(with_defaults(explained).select("pr_id", "issue_idx", "label"))
+    return items.select("pr_id", F.size("items").cast("bigint").alias("total"), _bullets(F.col("items")).alias("bullets"))
 
 
 def reviews(explained: DataFrame, languages: DataFrame) -> DataFrame:
     """Per pull request the full review, the summary, the number of
-    issue marks in the text and the true number of issues.
+    issue marks in the text and the true number of issues. One aggregation gives the
+    sections, the counts and the bullets.
 
     ``languages(pr_id, language)`` has every pull request, clean ones included.
     """
-    explained = with_defaults(explained)
-    sections = explained.groupBy("pr_id").agg(
-        _in_rank_order(_issue_section(), "\n").alias("sections")
-    )
-    joined = (
-        languages.select("pr_id", "language")
-        .join(sections, "pr_id", "left")
-        .join(summary_bullets(explained), "pr_id", "left")
+    items = _in_order(with_defaults(explained), section=_issue_section())
+    texts = items.select(
+        "pr_id",
+        F.array_join(F.transform("items", lambda x: x["section"]), "\n").alias("sections"),
+        F.size("items").cast("bigint").alias("total"),
+        _bullets(F.col("items")).alias("bullets"),
     )
+    joined = languages.select("pr_id", "language").join(texts, "pr_id", "left")
     header = language_header(F.col("language"))
     title = F.lit(C.REVIEW_TITLE)
     clean = F.concat(title, F.lit("\n"), header, F.lit("\n" + C.CLEAN_REVIEW))

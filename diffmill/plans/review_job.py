@@ -11,7 +11,7 @@ from diffmill.operators.classify import classify, reviewable
 from diffmill.operators.diffs import parse_diffs
 from diffmill.operators.explain import explain, prompts
 from diffmill.operators.rank import prioritize
-from diffmill.operators.review import comments_to_post, inline_comments, reviews, status_body
+from diffmill.operators.review import inline_comments, planned_comments, reviews, status_body
 from diffmill.sources.staging import staged
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -88,7 +88,7 @@ def write_reviews(
     if stage:
         explained = staged(explained, "explained")
     comments = inline_comments(explained)
-    to_post = comments_to_post(comments, places)
+    to_post = planned_comments(explained, places)
     if with_commit is not None:
         to_post = to_post.join(with_commit.select("pr_id"), "pr_id", "left_semi")
     review = reviews(explained, findings.languages)

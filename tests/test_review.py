@@ -14,7 +14,15 @@ from diffmill.operators.classify import (
 )
 from diffmill.operators.explain import answer_entries, explain, first_answers, json_array_text, prompts
 from diffmill.operators.rank import prioritize, top_issues
-from diffmill.operators.review import comments_to_post, inline_comments, reviews, status_body
+from diffmill.operators.review import (
+    comment_places,
+    comments_to_post,
+    inline_comments,
+    planned_comments,
+    reviews,
+    status_body,
+)
+from diffmill.plans.review_job import find_issues, write_reviews
 
 BUG = "y = total / len(parts)"
 
@@ -326,3 +334,38 @@ def test_staging_needs_a_shared_folder():
     )
     with pytest.raises(ValueError, match="must name a folder"):
         staging.shared_dir(session)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_shuffles_of_the_review_job(spark):
+    """Answers are read within their row, texts move once, and one aggregation per pull
+    request makes the sections, the counts and the bullets."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        diffs = spark.createDataFrame([(1, "+++ b/a.py\n@@ -0,0 +1,2 @@\n+def f(x):\n+    return x / len(x)")], schemas.DIFFS)
+        responses = spark.createDataFrame([(1, '[{"explanation": "e"}]')], schemas.RESPONSES)
+        assert exchanges(answer_entries(responses)) == 0
+        found = find_issues(diffs, score_without_model, stage=True)
+        assert exchanges(explain(found.issues, responses)) == 2  # issues and answers, by pull request
+        places = spark.createDataFrame([], "pr_id long, file string, line long")
+        done = write_reviews(found, responses, places, stage=True)
+        assert exchanges(done.reviews) <= 3
+        assert done.reviews.first().issue_count == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bodies_of_posted_comments_alone(spark):
+    """The cap and the places come first; both ways give the same comments."""
+    rows = [(1, i, "Bug", 0.9, "x = 1\n", f"f{i % 4}.py", 3 * i) for i in range(1, 15)]
+    issues = spark.createDataFrame(rows, "pr_id long, issue_idx int, label string, confidence double, code string, file string, start_line long")
+    explained = explain(issues, spark.createDataFrame([], schemas.RESPONSES))
+    places = spark.createDataFrame([(1, "f1.py", 3), (1, "f2.py", 99)], "pr_id long, file string, line long")
+    one = planned_comments(explained, places).collect()
+    other = comments_to_post(inline_comments(explained), places).select("pr_id", "issue_idx", "file", "line", "label", "confidence", "body")
+    assert sorted(one) == sorted(other.collect()) and len(one) == 9
+    assert sorted(comment_places(issues).collect()) == sorted(inline_comments(explained).select("pr_id", "issue_idx", "file", "line").collect())

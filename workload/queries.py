@@ -446,8 +446,7 @@ _STATUS = """SELECT r.pr_id, CASE WHEN review_summary <> '' AND p.n > 0 THEN rev
 def whole_review(spark, sf, stage=False):
     found = review_job.find_issues(I.diffs(spark, sf), I.formula_scorer, stage)
     # the earlier comments of the test are made from the planned ones
-    planned = rv.inline_comments(ex.explain(found.issues, I.responses(spark, sf)))
-    existing = I.existing_comments(planned.select("pr_id", "issue_idx", "file", "line"))
+    existing = I.existing_comments(rv.comment_places(found.issues))
     return review_job.write_reviews(
         found, I.responses(spark, sf), ev.commented_places(existing), stage=stage
     )
@@ -488,8 +487,11 @@ def j2(spark, sf):
 
 @register("j3_comments_to_post", "SELECT pr_id, issue_idx, file, line, label, confidence, body FROM to_post")
 def j3(spark, sf):
-    planned = staging.staged(comments(spark, sf), "comments")
-    return rv.comments_to_post(planned, ev.commented_places(I.existing_comments(planned)))
+    found = staging.staged(issues(spark, sf), "issues")
+    existing = ev.commented_places(I.existing_comments(rv.comment_places(found)))
+    # the cap comes before the answers, the bodies after the places
+    top = found.filter(F.col("issue_idx") <= C.MAX_INLINE_COMMENTS)
+    return rv.planned_comments(ex.explain(top, I.responses(spark, sf)), existing)
 
 
 @register("j4_fix_suggestions", "SELECT pr_id, issue_idx, chunk_index, code, file, explanation AS fix_suggestion FROM explained")
