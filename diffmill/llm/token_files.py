@@ -1,27 +1,28 @@
 """Token files (operator 10): ids of all documents in ascending order of their ids.
 
-Documents are range-partitioned and sorted by ``doc_id`` (equal ids by a hash of the text),
-encoded, and written as Parquet whose rows are blocks: ids packed by Simple-8b, with the
-word offset of every document. A block closes at the first document end after
-``block_ids`` ids, so a document is never cut, and a block is bounded by that number plus
-one document. Blocks carry the number of their partition and how many ids of it precede
-them, so any task can read any block.
+Documents are encoded where they are read and staged as ids, then range-partitioned and
+sorted by ``doc_id`` (equal ids by a hash of the text), and written as Parquet whose rows are
+blocks: ids packed by Simple-8b, with the word offset of every document. A block closes at
+the first document end after ``block_ids`` ids, so a document is never cut, and a block is
+bounded by that number plus one document. Blocks carry the number of their partition and
+how many ids of it precede them, so any task can read any block.
 
 Defined results: a null text is empty and has only the end id; null document ids come
 first; repeated rows are written each; an empty table gives an empty file.
 """
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from diffmill.llm.batches import list_array, texts
+from diffmill.llm.batches import list_array
 from diffmill.llm.simple8b import pack, unpack
+from diffmill.sources.staging import staged
 
 BLOCK = (
     "part int, ids_before bigint, doc_ids array<bigint>, lengths array<int>, "
@@ -33,75 +34,92 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     The tokenizer drops white space and never joins what it parts, so a text is encoded in
-    the parts between its blanks and line ends. Parts repeat: the first ones are kept, up
-    to a fixed number, and every batch encodes only those it has not met.
+    the parts between its blanks and line ends. Parts repeat: a batch looks each distinct part up
+    once, and its texts are gathered by array operations from a table of ids. The table
+    begins anew when it holds ``kept`` parts or four times as many ids.
     """
 
-    def __init__(self, path: str, kept: int):
+    def __init__(self, path: str, end_id: int, kept: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept, self.known = kept, {}
+        self.end_id, self.kept = end_id, kept
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-
-    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of each part. Parts of Latin letters only are one word each, so many of
-        them make up one call, and the ids that end a word tell them apart."""
+        self.begin_anew()
+
+    def begin_anew(self) -> None:
+        self.known: dict[str, int] = {}
+        # row 0 is the end of a document
+        self.ids = np.array([self.end_id], "u4")
+        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def encode_parts(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The parts in another order, all their ids, and how many each has. Parts of Latin
+        letters only are one word each, so many of them make up one call, and the ids that
+        end a word tell them apart."""
         joined = [p for p in parts if p.isalpha() and max(p) < "\u0100"]
         alone = [p for p in parts if not (p.isalpha() and max(p) < "\u0100")]
-        found = {}
+        flat, sizes = [np.zeros(0, "u4")], [np.zeros(0, np.int64)]
         for some in (joined[i : i + 100_000] for i in range(0, len(joined), 100_000)):
             lines = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
             coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "u4") for e in coded])
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            ends = np.flatnonzero(self.last[ids]) + 1
             assert len(ends) == len(some)
-            flat = ids.tobytes()
-            begin = 0
-            for part, end in zip(some, ends.tolist()):
-                found[part] = flat[begin:end]
-                begin = end
+            flat.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
         for some in (alone[i : i + 20_000] for i in range(0, len(alone), 20_000)):
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            found.update((part, array("I", e.ids).tobytes()) for part, e in zip(some, coded))
-        return found
+            flat += [np.array(e.ids, "u4") for e in coded]
+            sizes.append(np.array([len(e.ids) for e in coded], np.int64))
+        return joined + alone, np.concatenate(flat), np.concatenate(sizes)
 
-    def encode_all(self, rows: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in rows]
+    def rows_of(self, parts: list[str]) -> np.ndarray:
+        """Table rows of distinct parts; the table gets those it does not hold."""
         known = self.known
-        found = self.encode_parts(list({p for one in parts for p in one if p not in known}))
-        room = self.kept - len(known)
-        if len(found) <= room:
-            known.update(found)
-            return [b"".join(map(known.__getitem__, one)) for one in parts]
-        out = []
-        for one in parts:
-            out.append(b"".join([found[p] if p in found else known[p] for p in one]))
-        for part in list(found)[: max(room, 0)]:
-            if len(part) < 64:
-                known[part] = found[part]
-        return out
+        new = [p for p in parts if p not in known]
+        if known and (len(known) + len(new) > self.kept or len(self.ids) > 4 * self.kept):
+            self.begin_anew()
+            known, new = self.known, parts
+        if new:
+            new, ids, sizes = self.encode_parts(new)
+            known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with the end id behind each, and how many each has."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        parts = split.flatten().dictionary_encode()
+        rows = self.rows_of(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        rows = np.insert(rows, ends, 0)
+        sizes = self.sizes[rows]
+        done = np.cumsum(sizes)
+        place = np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - (done - sizes), sizes)
+        return self.ids[place], np.diff(done[ends + np.arange(len(ends))], prepend=0)
 
 
 _loaded: dict[tuple, WordEncoder] = {}
 
 
-def _encoder(path: str, kept: int) -> WordEncoder:
-    if (path, kept) not in _loaded:
-        _loaded[path, kept] = WordEncoder(path, kept)
-    return _loaded[path, kept]
+def _encoder(*key) -> WordEncoder:
+    if key not in _loaded:
+        _loaded[key] = WordEncoder(*key)
+    return _loaded[key]
 
 
-def _block(part: int, before: int, docs: list, coded: list[bytes]) -> pa.RecordBatch:
-    lengths = np.array([len(x) // 4 for x in coded], np.int64)
-    words, offsets = pack(np.frombuffer(b"".join(coded), "u4"), lengths)
-    one = np.array([len(coded)])
+def _block(part: int, before: int, docs: list, ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    words, offsets = pack(ids, lengths)
+    one = np.array([len(lengths)])
     return pa.RecordBatch.from_arrays(
         [
             pa.array([part], pa.int32()),
@@ -115,39 +133,63 @@ def _block(part: int, before: int, docs: list, coded: list[bytes]) -> pa.RecordB
     )
 
 
+def _packed(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Ids of each document as the bytes of little-endian 32-bit integers."""
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * 4, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, kept: int = 300_000) -> DataFrame:
+    """``doc_id, same, ids`` of each document, the end id included; ``same`` is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer, end_id, kept)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                ids, lengths = encoder.encode(batch.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("same"), _packed(ids, lengths)], names=["doc_id", "same", "ids"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, same bigint, ids binary")
+
+
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 800_000
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 300_000
 ) -> None:
     """Encode ``doc_id, text`` and write the token files to ``path``.
 
     ``tokenizer`` is a file of the tokenizers library that every executor has at this
-    path; ``end_id`` is appended to each document.
+    path; ``end_id`` is appended to each document. A ``doc_id`` that is not a number
+    has to be given one first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer, kept), TaskContext.get().partitionId()
-        end = array("I", [end_id]).tobytes()
-        ids: list = []
-        coded: list[bytes] = []
+        part = TaskContext.get().partitionId()
+        docs: list = []
+        ids: list[np.ndarray] = []
+        lengths: list[int] = []
         size = before = 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                rows = encoder.encode_all(texts(batch.column("text")))
-                for doc, row in zip(batch.column("doc_id").to_pylist(), rows):
-                    ids.append(doc)
-                    coded.append(row + end)
-                    size += len(row) // 4 + 1
-                    if size >= block_ids:
-                        yield _block(part, before, ids, coded)
-                        before, size, ids, coded = before + size, 0, [], []
-        if ids:
-            yield _block(part, before, ids, coded)
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    same = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id"), same).sortWithinPartitions("doc_id", same)
-    ordered.mapInArrow(run, BLOCK).write.parquet(path)
+        for batch in batches:
+            for doc, row in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                own = np.frombuffer(row.as_buffer(), "<u4")
+                docs.append(doc)
+                ids.append(own)
+                lengths.append(len(own))
+                size += len(own)
+                if size >= block_ids:
+                    yield _block(part, before, docs, np.concatenate(ids), np.array(lengths, np.int64))
+                    before, size, docs, ids, lengths = before + size, 0, [], [], []
+        if docs:
+            yield _block(part, before, docs, np.concatenate(ids), np.array(lengths, np.int64))
+
+    # dealing by range reads its rows twice, so they are not encoded on the way
+    rows = staged(encoded(docs, tokenizer, end_id, kept), "token-ids")
+    ordered = rows.repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same")
+    ordered.select("doc_id", "ids").mapInArrow(run, BLOCK).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
