@@ -30,10 +30,15 @@ def with_package(function: Callable[..., DataFrame], spark: SparkSession, *args)
     return function(spark, *args)
 
 
+#: Rows of an Arrow batch in such jobs; both sides of the pipe hold one.
+BATCH_ROWS = "1000"
+
+
 def with_small_workers(function: Callable[..., DataFrame], spark: SparkSession, *args) -> DataFrame:
     """As ``with_package``, for jobs of several stages whose workers should stay small."""
     for name, value in WORKER_MEMORY.items():
         spark.sparkContext.environment.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return with_package(function, spark, *args)
 
 
@@ -41,6 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """Texts of a batch, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

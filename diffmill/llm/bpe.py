@@ -6,8 +6,8 @@ lowest bucket that is not empty by find-first-set. A merge changes at most two p
 entries of pairs that are gone stay in their buckets and are skipped when popped. So a
 pre-token of n bytes costs O(n) queue steps, however long it is.
 
-Pre-tokens repeat, so each Python worker keeps the ids of the first pre-tokens it meets,
-up to a fixed number; this changes nothing but time.
+Parts of texts repeat, so each Python worker keeps the ids of those it meets in a table of
+bounded size, which begins anew when it is full; this changes nothing but time.
 
 Defined results: a null text counts as empty and has no ids; lone invalid bytes do not
 occur in a Spark string; ids outside the vocabulary decode to nothing; rows with equal ids
@@ -16,16 +16,17 @@ of a document are encoded each on its own; other columns pass through untouched.
 
 import base64
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffmill.llm.batches import list_array, texts
+from diffmill.llm.part_table import PartTable, binary_array, gathered
 
 #: White space as the split pattern's own library has it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -133,7 +134,7 @@ class BytePairs:
 
 
 class TextEncoder:
-    """Ids of whole texts as bytes of C ints, with a bounded memory of pieces."""
+    """Ids of whole texts, with a bounded table of the parts between spaces."""
 
     def __init__(self, pairs: BytePairs, pattern: str, kept: int):
         import regex
@@ -142,39 +143,55 @@ class TextEncoder:
         spelled = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.split = regex.compile(spelled).findall
         self.pairs, self.kept = pairs, kept
-        self.known: dict[str, bytes] = {}  # by what follows a space
-        self.others: dict[str, bytes] = {}  # pre-tokens without a space in front
+        self.known: dict[str, list[int]] = {}
+        self.table = PartTable(self._parts, kept, np.zeros(0, np.int32))
 
-    def piece(self, pre_token: str) -> bytes:
-        spaced = pre_token[0] == " "
-        known, key = (self.known, pre_token[1:]) if spaced else (self.others, pre_token)
-        found = known.get(key)
+    def piece(self, pre_token: str) -> list[int]:
+        found = self.known.get(pre_token)
         if found is None:
-            found = array("i", self.pairs.encode(pre_token.encode())).tobytes()
-            self.keep(known, key, found)
+            found = self.pairs.encode(pre_token.encode())
+            if len(self.known) >= self.kept // 4:
+                self.known.clear()
+            if len(pre_token) < 64:
+                self.known[pre_token] = found
         return found
 
-    def keep(self, known: dict[str, bytes], key: str, ids: bytes) -> None:
-        if len(known) < self.kept and len(key) < 64:
-            known[key] = ids
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.split(text)))
-
-    def encode(self, text: str) -> bytes:
-        if _INNER.search(text):
-            return self.plain(text)
-        # a space outside a longer run of white space always starts a pre-token, so the
-        # parts between such spaces are independent and repeat often
-        first, *parts = text.split(" ")
-        known, out = self.known, [self.plain(first)]
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self.plain(" " + part)
-                self.keep(known, part, ids)
-            out.append(ids)
-        return b"".join(out)
+    def plain(self, text: str) -> list[int]:
+        return [i for pre_token in self.split(text) for i in self.piece(pre_token)]
+
+    def _parts(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        ids = [self.plain(part) for part in parts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return parts, np.fromiter((i for some in ids for i in some), np.int32, int(sizes.sum())), sizes
+
+    def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has.
+
+        A space outside a longer run of white space always starts a pre-token, so the
+        parts between such spaces are independent. A text with other runs is one part.
+        """
+        whole = np.array([bool(_INNER.search(x)) for x in rows], bool)
+        split = pc.split_pattern(pa.array([x for x, w in zip(rows, whole.tolist()) if not w], pa.string()), " ")
+        parts = split.flatten().dictionary_encode()
+        heads = split.offsets.to_numpy()[:-1]
+        place = parts.indices.to_numpy().astype(np.int64)
+        words = parts.dictionary.to_pylist()
+        # a part is encoded with the space before it, but for a text's first one, which
+        # therefore never equals another
+        first, first_place = np.unique(place[heads], return_inverse=True)
+        alone = [x for x, w in zip(rows, whole.tolist()) if w]
+        table = self.table.rows_of([" " + w for w in words] + [words[k] for k in first.tolist()])
+        spaced = table[: len(words)]
+        found = spaced[place]
+        found[heads] = table[len(words) :][first_place] if len(first) else table[:0]
+        ends = split.offsets.to_numpy()[1:]
+        ids, sizes = self.table.gather(found, ends)
+        if not alone:
+            return ids, sizes
+        others = iter([np.array(self.plain(x), np.int32) for x in alone])
+        regular = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        each = [next(others) if w else next(regular) for w in whole.tolist()]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
 _loaded: dict[tuple, object] = {}
@@ -191,28 +208,58 @@ def _pairs(path: str) -> BytePairs:
     return _once(("pairs", path), lambda: BytePairs(read_ranks(path)))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 800_000) -> DataFrame:
+def _encoder(vocabulary: str, pattern: str, kept: int) -> TextEncoder:
+    return _once(("encoder", vocabulary, pattern, kept), lambda: TextEncoder(_pairs(vocabulary), pattern, kept))
+
+
+class TokenBytes:
+    """Bytes of ids, by array operations."""
+
+    def __init__(self, pairs: BytePairs):
+        # the last row stands for ids outside the vocabulary
+        strings = [*pairs.strings, b""]
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        last = len(self.sizes) - 1
+        rows = np.where((ids >= 0) & (ids < last), ids, last)
+        sizes = self.sizes[rows]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        return binary_array(gathered(self.data, self.starts[rows], sizes), np.diff(done[np.cumsum(lengths)], prepend=0))
+
+
+def _token_bytes(vocabulary: str) -> TokenBytes:
+    return _once(("bytes", vocabulary), lambda: TokenBytes(_pairs(vocabulary)))
+
+
+#: Rows that are worked on together.
+ROWS = 500
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 200_000, decoded: str | None = None) -> DataFrame:
     """Adds the token ids of ``text`` as an array of ints.
 
     ``vocabulary`` is a rank file that every executor has at this path. ``kept`` bounds
-    the pieces a worker remembers.
+    the parts a worker remembers. With ``decoded`` the ids are decoded again, and the bytes
+    added under that name.
     """
-    plain = docs.drop(ids)
+    plain = docs.drop(ids, *[decoded] if decoded else [])
     schema = T.StructType([*plain.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    if decoded:
+        schema = schema.add(decoded, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(
-            ("encoder", vocabulary, pattern, kept), lambda: TextEncoder(_pairs(vocabulary), pattern, kept)
-        )
+        encoder = _encoder(vocabulary, pattern, kept)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                coded = [encoder.encode(x) for x in texts(batch.column("text"))]
-                lengths = np.array([len(x) // 4 for x in coded], np.int64)
-                flat = np.frombuffer(b"".join(coded), "i4")
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, list_array(flat, lengths, pa.int32())], names=[*batch.schema.names, ids]
-                )
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                flat, lengths = encoder.encode(texts(batch.column("text")))
+                columns = [*batch.columns, list_array(flat, lengths, pa.int32())]
+                if decoded:
+                    columns.append(_token_bytes(vocabulary).decode(flat, lengths))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return plain.mapInArrow(run, schema)
 
@@ -223,27 +270,15 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "
     schema = T.StructType([*plain.schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _pairs(vocabulary)
-        strings = dict(enumerate(pairs.strings))
+        strings = _token_bytes(vocabulary)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 column = batch.column(ids)
-                bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
-                flat = column.flatten().to_numpy(zero_copy_only=False)
-                empty = column.is_null().to_numpy(zero_copy_only=False)
-                if empty.any() and len(flat) != bounds[-1]:
-                    lengths = np.where(empty, 0, np.diff(bounds))
-                    bounds = np.concatenate([[0], np.cumsum(lengths)])
-                out = []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    try:
-                        out.append(b"".join(map(strings.__getitem__, flat[a:b].tolist())))
-                    except KeyError:
-                        out.append(pairs.decode(flat[a:b].tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, decoded]
-                )
+                lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                # the ids of null lists, if there are any, are left out
+                flat = pc.fill_null(column.drop_null().flatten(), -1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*batch.columns, strings.decode(flat, lengths)], names=schema.names)
 
     return plain.mapInArrow(run, schema)
 
@@ -251,8 +286,8 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Round trip of every document: number of ids, digest of the ids, digest of the
     decoded bytes."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary, pattern).drop("text")
-    return decode(coded, vocabulary).select(
+    coded = encode(docs.select("doc_id", "text"), vocabulary, pattern, decoded="decoded").drop("text")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -1,6 +1,6 @@
 """Language identification by language-bitmask n-gram filters (operator 6).
 
-One bit-sliced Bloom filter for all languages: a slot holds a bit for each language, an
+One bit-sliced Bloom filter for all languages: a slot holds a bit for each language, in as many masks as that takes, an
 n-gram names three slots, and the bits common to all three are the languages that have
 the n-gram. So one lookup answers for every language at once. A text's count for a
 language is the number of its n-grams with that bit, corrected for the share that the
@@ -47,9 +47,11 @@ def gram_keys(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.where(_letter_table()[codes], codes, 32).astype(np.int64)
     ends = np.cumsum(np.array([len(x) + 1 for x in lowered], np.int64))
     inner = codes[1:-1] != 32
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = ((codes[:-2] << 2 * _BITS) | (codes[1:-1] << _BITS) | codes[2:])[inner]
     # a text's n-grams are those whose middle letter lies in it
-    return keys, np.concatenate([[0], np.cumsum(inner)])[ends - 1] if len(rows) else np.zeros(0, np.int64)
+    return keys, np.concatenate([[0], np.cumsum(inner)])[ends - 1]
 
 
 def slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
@@ -63,38 +65,48 @@ def slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
     return [((first + np.uint64(k) * step) % np.uint64(size)).astype(np.int64) for k in range(HASHES)]
 
 
+#: Languages of a mask; a slot has a mask for every so many.
+WIDTH = 64
+
+
 @dataclass
 class Filter:
-    """``masks``: by slot, a bit for each of ``languages``."""
+    """``masks``: for every 64 of ``languages``, a bit for each of them by slot."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
 
     def chance(self) -> np.ndarray:
         """By language, the share of unknown n-grams that the filter would answer for."""
-        fill = [((self.masks >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(self.languages))]
+        fill = [((self.masks[k // WIDTH] >> np.uint64(k % WIDTH)) & np.uint64(1)).mean() for k in range(len(self.languages))]
         return np.minimum(np.array(fill) ** HASHES, 0.99)
 
-    def compact(self) -> np.ndarray:
-        return self.masks.astype(np.min_scalar_type((1 << len(self.languages)) - 1))
+    def compact(self) -> list[np.ndarray]:
+        used = [min(WIDTH, len(self.languages) - WIDTH * k) for k in range(len(self.masks))]
+        return [mask.astype(np.min_scalar_type((1 << max(n, 0)) - 1)) for mask, n in zip(self.masks, used)]
 
 
-def answers(masks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    first, *others = slots(keys, len(masks))
-    found = masks[first]
-    for at in others:
-        found &= masks[at]
-    return found
+def answers(masks: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
+    """The languages that have each key, as masks; a language's bit is set if it is in all slots."""
+    out = []
+    for mask in masks:
+        first, *others = slots(keys, len(mask))
+        found = mask[first]
+        for at in others:
+            found &= mask[at]
+        out.append(found)
+    return out
 
 
-def shares(masks: np.ndarray, chance: np.ndarray, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def shares(masks: list[np.ndarray], chance: np.ndarray, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of n-grams of each text, and by language the corrected share it knows."""
     keys, ends = gram_keys(rows)
-    found = answers(masks, keys)
+    every = answers(masks, keys)
     sizes = np.diff(ends, prepend=0)
     out = np.zeros((len(rows), len(chance)))
     for k, p in enumerate(chance):
-        bits = (found >> found.dtype.type(k)) & found.dtype.type(1)
+        found = every[k // WIDTH]
+        bits = (found >> found.dtype.type(k % WIDTH)) & found.dtype.type(1)
         counts = np.diff(np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])[ends], prepend=0)
         out[:, k] = np.clip((counts - p * sizes) / np.maximum(sizes, 1) / (1 - p), 0, 1)
     return sizes, out
@@ -128,48 +140,42 @@ def learn(
 
     ``least``: share of a language's n-grams that one must have to be set, so that a
     language sets at most 1 / ``least``; ``against``: the part of its highest share in any
-    language. At most 64 languages, and ``size`` slots reach the driver.
+    language. For every 64 languages ``size`` slots reach the driver.
     """
     counts = _counts(docs.filter(which & F.col("lang").isNotNull()).select("lang", "text"))
     counts = counts.persist()
     try:
         totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         languages = sorted(totals)
-        if len(languages) > 64:
-            raise ValueError(f"{len(languages)} languages; a mask has 64 bits")
         if not languages:
-            return Filter([], np.zeros(size, np.uint64))
-        of = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))])
-        number = F.create_map(*[F.lit(x) for lang in languages for x in (lang, languages.index(lang))])
-        rated = counts.select("gram", number[F.col("lang")].alias("bit"), (F.col("n") / of[F.col("lang")]).alias("share"))
+            return Filter([], [])
+        # one row per language
+        rows = [(lang, k, float(totals[lang])) for k, lang in enumerate(languages)]
+        known = F.broadcast(docs.sparkSession.createDataFrame(rows, "lang string, number int, total double"))
+        rated = counts.join(known, "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("share"))
         # one row per n-gram, with an entry per language at most
-        every = rated.groupBy("gram").agg(F.collect_list(F.struct("bit", "share")).alias("found"), F.max("share").alias("top"))
-        zero = F.lit(0).cast("bigint")
-        mask = F.aggregate(
-            "found",
-            zero,
-            lambda m, x: m.bitwiseOR(
-                F.when(
-                    (x["share"] >= least) & (x["share"] >= against * F.col("top")),
-                    F.call_function("shiftleft", F.lit(1).cast("bigint"), x["bit"]),
-                ).otherwise(zero)
-            ),
-        )
-        masks = every.select("gram", mask.alias("mask")).filter("mask <> 0")
+        every = rated.groupBy("gram").agg(F.collect_list(F.struct("number", "share")).alias("found"), F.max("share").alias("top"))
+        common = F.filter("found", lambda x: (x["share"] >= least) & (x["share"] >= against * F.col("top")))
+        marks = every.select("gram", F.explode(common).alias("x")).select("gram", "x.number")
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, mask = batch.column("gram").to_numpy(), batch.column("mask").to_numpy()
+                number = np.tile(batch.column("number").to_numpy(), HASHES)
+                keys = np.concatenate(slots(batch.column("gram").to_numpy(), size))
+                bits = np.uint64(1) << (number % WIDTH).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(slots(keys, size))), pa.array(np.tile(mask, HASHES))], names=["slot", "mask"]
+                    [pa.array(number // WIDTH, pa.int32()), pa.array(keys), pa.array(bits.view(np.int64))], names=["word", "slot", "mask"]
                 )
 
-        set_bits = masks.mapInArrow(spread, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+        set_bits = marks.mapInArrow(spread, "word int, slot bigint, mask bigint").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
         found = set_bits.toArrow()
     finally:
         counts.unpersist()
-    out = np.zeros(size, np.uint64)
-    out[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    word, slot = found.column("word").to_numpy(), found.column("slot").to_numpy()
+    mask = found.column("mask").to_numpy().view(np.uint64)
+    out = [np.zeros(size, np.uint64) for _ in range(-(-len(languages) // WIDTH))]
+    for k in range(len(out)):
+        out[k][slot[word == k]] = mask[word == k]
     return Filter(languages, out)
 
 

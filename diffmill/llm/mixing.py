@@ -57,7 +57,9 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
 
 
 def _key(seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    """Of the id and the text, so that rows of one id, or of none, are spread as well."""
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(f"{seed}"), F.xxhash64("text").cast("string"))
+    return F.md5(name.cast("binary"))
 
 
 def plan(
@@ -112,12 +114,11 @@ def mixed(docs: DataFrame, weights: list[int], share: float = 1.0, most: float =
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     counted = chosen.groupBy("doc_id", "size").agg(F.sum(copies).alias("copies"), F.count("*").alias("rows"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.withColumn("_size", size).alias("d")
+    # the row apart, whatever its columns are called
+    rows = docs.select("doc_id", size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("d")
     joined = rows.join(
-        counted.filter("copies > 0").alias("c"), F.expr("d.doc_id <=> c.doc_id AND d._size = c.size")
+        counted.filter("copies > 0").alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.size = c.size")
     )
     # rows with equal ids and sizes share their copies evenly, rounded up
     times = F.ceil(F.col("c.copies") / F.col("c.rows")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(
-        [F.col(f"d.`{c}`") for c in docs.columns]
-    )
+    return joined.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")

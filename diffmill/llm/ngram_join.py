@@ -63,7 +63,7 @@ _LAST = np.uint64(1 << 62)
 class Shingler:
     """Sets of shingles of texts. Word hashes of the first words met are kept."""
 
-    def __init__(self, words: int, kept: int = 300_000):
+    def __init__(self, words: int, kept: int = 150_000):
         self.words, self.kept = words, kept
         self.known: dict[bytes, int] = {}
 
@@ -383,7 +383,13 @@ class Join:
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document, for shingles of ``words``
-    words and links at a Jaccard similarity of ``percent`` / 100 or more."""
+    words and links at a Jaccard similarity of ``percent`` / 100 or more.
+
+    ``percent`` is above 50: below, sets that share a single one of two shingles would
+    link, which pairs of a prefix's elements can't find; that is an error.
+    """
+    if not 50 < percent <= 100:
+        raise ValueError(f"a similarity of {percent} % is out of range: above 50 and up to 100")
     own = docs.select("doc_id", "text")
     rows = staged(sketches(own, words, percent, frequent_shingles(own, words)), "join-sketches")
     filled = rows.filter("n > 0 AND doc_id IS NOT NULL")

@@ -1,0 +1,64 @@
+"""Values of repeated parts of texts, gathered by array operations.
+
+A batch of texts is cut into parts; each distinct part is looked up once, and what a whole
+text gets is put together from a flat table by places and sizes, without an object per part.
+"""
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+
+#: From parts, the parts in any order, all their values, and how many each has.
+Encode = Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The spans of ``values`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes of each row from all bytes and the rows' sizes."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class PartTable:
+    """A table that holds ``kept`` parts at most, or a few times as many values or letters;
+    then it begins anew. Row 0 holds ``first``."""
+
+    def __init__(self, encode: Encode, kept: int, first: np.ndarray):
+        self.encode, self.kept, self.first = encode, kept, first
+        self.begin_anew()
+
+    def begin_anew(self) -> None:
+        self.known: dict[str, int] = {}
+        self.letters = 0
+        self.values = self.first
+        self.starts, self.sizes = np.zeros(1, np.int64), np.array([len(self.first)], np.int64)
+
+    def rows_of(self, parts: list[str]) -> np.ndarray:
+        """Table rows of distinct parts; the table gets those it does not hold."""
+        known = self.known
+        new = [p for p in parts if p not in known]
+        full = len(known) + len(new) > self.kept or max(len(self.values), self.letters) > 8 * self.kept
+        if known and full:
+            self.begin_anew()
+            known, new = self.known, parts
+        if new:
+            new, values, sizes = self.encode(new)
+            known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.letters += sum(map(len, new))
+            self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.values = np.concatenate([self.values, values])
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def gather(self, rows: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all rows, and how many the rows up to each of ``ends`` have."""
+        sizes = self.sizes[rows]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        return gathered(self.values, self.starts[rows], sizes), np.diff(done[ends], prepend=0)

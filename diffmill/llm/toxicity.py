@@ -5,7 +5,7 @@ letter a chance by the letters before it. What a class has seen counts at the lo
 context; the rest of the mass goes to shorter contexts by continuation counts that both
 classes share, so that expressions which are rare in either class do not decide. A word's
 ratio is the sum over its letters. A document is described by the difference of its
-length-normalised log-likelihoods, by its most toxic words, and by its length; a logistic
+length-normalised log-likelihoods and by those of its most toxic words; a logistic
 curve turns that into a score.
 
 N-grams are counted in all labelled documents, and Spark forms the ratios from the counts.
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ from diffmill.sources.staging import staged
 
 ORDER = 5
 START, END = "\x02", "\x03"
-FEATURES = ["ratio", "first", "top", "words"]
+FEATURES = ["ratio", "first", "top"]
+#: Distinct words that a task gathers before it hands their n-grams on.
+WORDS = 20_000
 
 
 def plain(word: str) -> str:
@@ -123,6 +126,15 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def _gram_keys(grams: list[str]) -> np.ndarray:
+    keys = np.zeros(len(grams), np.uint64)
+    for at in range(0, len(grams), 100_000):
+        some = grams[at : at + 100_000]
+        padded = _codes("".join(g.rjust(ORDER, "\x00") for g in some)).reshape(-1, ORDER)
+        keys[at : at + len(some)] = _keys(list(padded.T))
+    return keys
+
+
 @dataclass
 class Ratios:
     """Log ratios by the hash of their n-gram, in its order."""
@@ -132,11 +144,10 @@ class Ratios:
 
     @classmethod
     def of(cls, grams: list[str], values: np.ndarray) -> "Ratios":
-        keys = np.zeros(len(grams), np.uint64)
-        for at in range(0, len(grams), 100_000):
-            some = grams[at : at + 100_000]
-            padded = _codes("".join(g.rjust(ORDER, "\x00") for g in some)).reshape(-1, ORDER)
-            keys[at : at + len(some)] = _keys(list(padded.T))
+        return cls.sorted(_gram_keys(grams), values)
+
+    @classmethod
+    def sorted(cls, keys: np.ndarray, values: np.ndarray) -> "Ratios":
         order = np.argsort(keys)
         return cls(keys[order], np.asarray(values, float)[order])
 
@@ -168,43 +179,56 @@ class Ratios:
 
 @dataclass
 class WordScorer:
-    """Ratios of words, by table. The first words met are kept, up to a fixed number."""
+    """Ratios of words, by table. A batch looks each distinct word up once; ratios that
+    were formed are kept, up to a fixed number."""
 
     ratios: Ratios | dict[str, float]
-    kept: int = 250_000
+    kept: int = 100_000
 
     def __post_init__(self):
         if isinstance(self.ratios, dict):
             self.ratios = Ratios.of(list(self.ratios), np.array(list(self.ratios.values())))
-        self.known: dict[bytes, float] = {}
+        self.known: dict[str, float] = {}
 
-    def values(self, words: list[bytes]) -> dict[bytes, float]:
-        letters = [plain(word.decode("utf-8", "replace")) for word in words]
+    def values(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.kept:
+            known.clear()
+            new = words
+        letters = [plain(w) for w in new]
         some = [k for k, x in enumerate(letters) if x]
-        found = np.zeros(len(words))
+        found = np.zeros(len(new))
         found[some] = self.ratios.of_words([letters[k] for k in some])
-        return dict(zip(words, found.tolist()))
-
-    def ratio(self, word: bytes) -> float:
-        return self.values([word])[word]
-
-    def meet(self, rows: list[bytes]) -> None:
-        """Keeps the words of the texts, as far as there is room."""
-        new = {w for text in rows for w in text.split() if len(w) < 64 and w not in self.known}
-        room = self.kept - len(self.known)
-        self.known.update(self.values(list(new)[: max(room, 0)]))
-
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        words = text.split()
-        if not words:
-            return 0.0, 0.0, 0.0, 0.0
-        known = self.known
-        others = self.values(list({w for w in words if w not in known}))
-        top = np.array([known[w] if w in known else others[w] for w in words])
-        first = float(top.max())
-        best = np.partition(top, len(top) - 3)[-3:] if len(top) > 3 else top
-        letters = len(text) - len(words)
-        return float(top.sum()) / max(letters, 1), first, float(np.maximum(best, 0).sum()) / 3, math.log1p(len(words))
+        known.update(zip(new, found.tolist()))
+        return np.fromiter(map(known.__getitem__, words), float, len(words))
+
+    def ratio(self, word: str) -> float:
+        return float(self.values([word])[0])
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        """A row for each text: the ratio of all words by its letters, the largest ratio of a word,
+        and a third of the three largest that are above 0."""
+        texts = pc.fill_null(column, "")
+        split = pc.ascii_split_whitespace(texts)
+        parts = split.flatten().dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        place = parts.indices.to_numpy()
+        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        real = np.array([w != "" for w in words], bool)[place] if len(place) else np.zeros(0, bool)
+        value, doc = self.values(words)[place[real]], doc[real]
+        out = np.zeros((len(texts), len(FEATURES)))
+        counts = np.bincount(doc, minlength=len(texts))
+        letters = pc.binary_length(texts).to_numpy() - counts
+        out[:, 0] = np.bincount(doc, value, len(texts)) / np.maximum(letters, 1)
+        order = np.lexsort((value, doc))
+        ranked, ends = value[order], np.cumsum(counts)
+        some = np.flatnonzero(counts)
+        out[some, 1] = ranked[ends[some] - 1]
+        for k in range(1, 4):
+            has = np.flatnonzero(counts >= k)
+            out[has, 2] += np.maximum(ranked[ends[has] - k], 0) / 3
+        return out
 
 
 @dataclass
@@ -245,10 +269,7 @@ def _features(rows: DataFrame, ratios, extra: list[str]) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                rows = byte_texts(batch.column("text"))
-                scorer.meet(rows)
-                found = [scorer.features(x) for x in rows]
-                table = np.array(found, float).reshape(-1, len(FEATURES))
+                table = scorer.features(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in extra], *[pa.array(table[:, k]) for k in range(len(FEATURES))]],
                     names=[*extra, *FEATURES],
@@ -287,7 +308,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
             marks = zip(batch.column("toxic").to_pylist(), batch.column("fits_curve").to_pylist())
             for mark, text in zip(marks, byte_texts(batch.column("text"))):
                 words[mark].update(text.split())
-                if len(words[mark]) > 100_000:
+                if len(words[mark]) > WORDS:
                     yield from counted({mark: words.pop(mark)})
         yield from counted(words)
 
@@ -348,8 +369,16 @@ def spark_ratios(counts: DataFrame) -> DataFrame:
 
 
 def _collected(counts: DataFrame) -> Ratios:
-    found = spark_ratios(counts).toArrow()
-    return Ratios.of(found.column("gram").to_pylist(), found.column("ratio").to_numpy())
+    """The ratios by hashes that tasks form: 16 bytes an n-gram reach the driver, whose
+    number saturates, as there are so many ways to write five letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _gram_keys(batch.column("gram").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("ratio")], names=["key", "ratio"])
+
+    found = spark_ratios(counts).mapInArrow(run, "key bigint, ratio double").toArrow()
+    return Ratios.sorted(found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 4000) -> Model | None:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from diffmill.llm import components, near_vectors, ngram_join, queries
@@ -73,6 +74,19 @@ def test_join_of_documents(docs):
     check_join(docs, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 0, 101])
+def test_join_below_its_range_is_an_error(none, percent):
+    with pytest.raises(ValueError, match="out of range"):
+        ngram_join.components(none, 3, percent)
+
+
+@pytest.mark.parametrize("percent", [51, 60])
+def test_join_of_small_sets(spark, percent):
+    draw = random.Random(percent)
+    rows = [(i, " ".join(draw.choices("abc", k=draw.randint(0, 7)))) for i in range(250)]
+    check_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 3, percent)
+
+
 @pytest.mark.parametrize(("words", "edits", "n", "percent"), [(120, 4, 3, 90), (40, 3, 3, 80), (200, 8, 5, 80), (12, 1, 3, 80)])
 def test_join_of_near_copies(spark, words, edits, n, percent):
     check_join(near_copies(spark, 150, words, edits, words), n, percent)
@@ -160,14 +174,33 @@ def test_pipeline_stages(spark, sf_dir, docs):
     assert stages["language ID"](spark, docs, sf_dir).count() >= 0.98 * docs.count()
 
 
+CLASHING = ["_id", "_size", "_toxicity", "_lang", "_share", "_copy", "row_id", "row", "toxicity", "known_lang", "known_share", "size", "ratio", "Known_Lang_"]
+
+
 @pytest.mark.parametrize("index", range(5))
 def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, none, index):
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    """All columns of the input come back as they were, whatever their names."""
+    added = {c: F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHING}
+    frame = odd.withColumns(added)
     stage = corpus_pipeline.STAGES[index][1]
-    found = stage(spark, odd.select(columns), sf_dir)
-    found.collect()
-    assert index == 4 or found.columns == columns
-    assert stage(spark, none.select(columns), sf_dir).count() == 0
+    found = stage(spark, frame, sf_dir)
+    rows = found.collect()
+    if index < 4:
+        assert found.columns == frame.columns
+        before = {tuple(map(str, r)) for r in frame.collect()}
+        assert {tuple(map(str, r)) for r in rows} <= before
+    assert stage(spark, none.withColumns(added), sf_dir).count() == 0
+
+
+def test_one_row_of_equal_texts_stays(spark, sf_dir):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text), (1, text), (1, text), (2, text), (None, text), (None, text), (3, text + " more"), (1, "another text of its own")]
+    rows += [(None, None), (None, ""), (9, ""), (None, "x " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [r.text for r in corpus_pipeline.without_near_copies(spark, docs, sf_dir).collect()]
+    # texts without words link with nothing
+    assert sum((t or "").startswith("word0") for t in kept) == 1
+    assert sorted(t or "" for t in kept if not (t or "").startswith("word0")) == ["", "", "", "another text of its own", "x " * 20]
 
 
 def test_pipeline_decodes(spark, sf_dir, odd):
@@ -183,4 +216,4 @@ def test_pipeline_runs(spark, sf_dir, docs):
 
 
 def test_every_operator_is_registered():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 14))

@@ -32,8 +32,12 @@ def test_encoder_equals_library(library):
     draw = random.Random(1)
     texts = ["".join(draw.choices(ALPHABET, k=draw.randint(0, 30))) for _ in range(3000)]
     texts += ["a" * 5000, "".join(draw.choices("etaoinshr", k=20_000)), "x   y", "x \n y  ", "  "]
-    for text in texts:
-        assert np.frombuffer(encoder.encode(text), "i4").tolist() == library.encode_ordinary(text), repr(text)
+    for start in range(0, len(texts), 40):
+        some = texts[start : start + 40]
+        ids, sizes = encoder.encode(some)
+        for text, own in zip(some, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert own.tolist() == library.encode_ordinary(text), repr(text)
+    assert encoder.encode([])[0].tolist() == [] and encoder.encode([""])[1].tolist() == [0]
 
 
 def test_queue_is_empty_between_calls():
@@ -62,6 +66,11 @@ def test_encode_keeps_columns(odd):
     coded = bpe.encode(odd, RANKS, P.PATTERN)
     assert set(coded.columns) == set(odd.columns) and dict(coded.dtypes)["ids"] == "array<int>"
     assert bpe.decode(coded.selectExpr("doc_id", "CAST(NULL AS array<int>) AS ids"), RANKS).head().decoded == b""
+    mixed = coded.selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN ids END AS ids")
+    for r in bpe.decode(mixed, RANKS).collect():
+        assert r.decoded == ((r.text or "").encode() if r.doc_id % 2 == 0 else b"")
+    odd_ids = coded.limit(1).selectExpr("array(-1, 5, 1000000, CAST(NULL AS int)) AS ids")
+    assert bpe.decode(odd_ids, RANKS).head().decoded == bpe.BytePairs(bpe.read_ranks(RANKS)).strings[5]
 
 
 def test_unknown_ids_decode_to_nothing():
