@@ -7,11 +7,11 @@ copies stays, sources are mixed to target weights, and what is left is encoded a
 from functools import partial
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffmill.llm import bpe, language_id, mixing, ngram_join, toxicity
-from diffmill.llm.batches import table, with_small_workers
+from diffmill.llm.batches import free_name, table, with_small_workers
 from diffmill.sources.staging import staged
 
 #: Documents without an n-gram of any language, or with fewer than this share of known
@@ -21,26 +21,31 @@ LEAST_LANGUAGE = 0.3
 WEIGHTS, SHARE, MOST = [3, 1, 2], 1.5, 2.0
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose id the verdicts hold; verdicts have one row per id."""
-    return docs.join(verdicts.select(F.col("doc_id").alias("_id")), F.expr("doc_id <=> _id"), "left_semi")
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model, "_toxicity", keep_text=True).filter("_toxicity < 0.5").select(docs.columns)
+    score = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, score, keep_text=True).filter(F.col(score) < 0.5).select(_columns(docs))
 
 
 def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = language_id.learn(docs, F.lit(True))
-    found = language_id.identify(docs, known, "_lang", "_share", keep_text=True)
-    sure = (F.col("_lang") != language_id.UNKNOWN) & (F.col("_share") >= LEAST_LANGUAGE)
-    return found.filter(sure).select(docs.columns)
+    lang, share = free_name(docs, "known_lang"), free_name(docs, "known_share")
+    found = language_id.identify(docs, known, lang, share, keep_text=True)
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(share) >= LEAST_LANGUAGE)).select(_columns(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.components(docs, words=5, percent=80)
-    return _kept(docs, groups.filter("doc_id <=> component_id"))
+    """Rows are told apart by a number of their own, so that of rows with one id, or with none,
+    one stays of each group, too."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(_columns(docs)).alias("row"))
+    numbered = staged(numbered, "numbered")
+    groups = ngram_join.components(numbered.select(F.col("row_id").alias("doc_id"), "row.text"), words=5, percent=80)
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row_id"))
+    return numbered.join(first, "row_id", "left_semi").select("row.*")
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +54,9 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    back = bpe.decode(coded.select("doc_id", "source", "ids"), vocabulary)
-    return back.select(
+    rows = docs.select("doc_id", "source", "text")
+    coded = bpe.encode(rows, vocabulary, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
