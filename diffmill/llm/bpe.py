@@ -6,8 +6,8 @@ lowest bucket that is not empty by find-first-set. A merge changes at most two p
 entries of pairs that are gone stay in their buckets and are skipped when popped. So a
 pre-token of n bytes costs O(n) queue steps, however long it is.
 
-Parts of texts repeat, so each Python worker keeps the ids of those it meets in a table of
-bounded size, which begins anew when it is full; this changes nothing but time.
+Pre-tokens repeat, so each Python worker remembers the ids of those it meets, a fixed
+number at most; this changes nothing but time.
 
 Defined results: a null text counts as empty and has no ids; lone invalid bytes do not
 occur in a Spark string; ids outside the vocabulary decode to nothing; rows with equal ids
@@ -16,6 +16,7 @@ of a document are encoded each on its own; other columns pass through untouched.
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffmill.llm.batches import list_array, texts
-from diffmill.llm.part_table import PartTable, binary_array, gathered
 
 #: White space as the split pattern's own library has it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -134,7 +134,8 @@ class BytePairs:
 
 
 class TextEncoder:
-    """Ids of whole texts, with a bounded table of the parts between spaces."""
+    """Ids of whole texts. Pre-tokens and the parts between spaces are remembered as the bytes of their ids;
+    each memory holds ``kept`` of them at most and begins anew when it is full."""
 
     def __init__(self, pairs: BytePairs, pattern: str, kept: int):
         import regex
@@ -143,55 +144,44 @@ class TextEncoder:
         spelled = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.split = regex.compile(spelled).findall
         self.pairs, self.kept = pairs, kept
-        self.known: dict[str, list[int]] = {}
-        self.table = PartTable(self._parts, kept, np.zeros(0, np.int32))
+        self.parts: dict[str, bytes] = {}  # by what follows a space
+        self.pieces: dict[str, bytes] = {}
 
-    def piece(self, pre_token: str) -> list[int]:
-        found = self.known.get(pre_token)
+    def keep(self, known: dict[str, bytes], key: str, ids: bytes) -> None:
+        if len(known) >= self.kept:
+            known.clear()
+        if len(key) < 64:
+            known[key] = ids
+
+    def piece(self, pre_token: str) -> bytes:
+        found = self.pieces.get(pre_token)
         if found is None:
-            found = self.pairs.encode(pre_token.encode())
-            if len(self.known) >= self.kept // 4:
-                self.known.clear()
-            if len(pre_token) < 64:
-                self.known[pre_token] = found
+            found = array("i", self.pairs.encode(pre_token.encode())).tobytes()
+            self.keep(self.pieces, pre_token, found)
         return found
 
-    def plain(self, text: str) -> list[int]:
-        return [i for pre_token in self.split(text) for i in self.piece(pre_token)]
-
-    def _parts(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        ids = [self.plain(part) for part in parts]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return parts, np.fromiter((i for some in ids for i in some), np.int32, int(sizes.sum())), sizes
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
+
+    def text(self, text: str) -> bytes:
+        if _INNER.search(text):
+            return self.plain(text)
+        # a space outside a longer run of white space always starts a pre-token, so the
+        # parts between such spaces are independent and repeat often
+        first, *parts = text.split(" ")
+        known, out = self.parts, [self.plain(first)]
+        for part in parts:
+            ids = known.get(part)
+            if ids is None:
+                ids = self.plain(" " + part)
+                self.keep(known, part, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has.
-
-        A space outside a longer run of white space always starts a pre-token, so the
-        parts between such spaces are independent. A text with other runs is one part.
-        """
-        whole = np.array([bool(_INNER.search(x)) for x in rows], bool)
-        split = pc.split_pattern(pa.array([x for x, w in zip(rows, whole.tolist()) if not w], pa.string()), " ")
-        parts = split.flatten().dictionary_encode()
-        heads = split.offsets.to_numpy()[:-1]
-        place = parts.indices.to_numpy().astype(np.int64)
-        words = parts.dictionary.to_pylist()
-        # a part is encoded with the space before it, but for a text's first one, which
-        # therefore never equals another
-        first, first_place = np.unique(place[heads], return_inverse=True)
-        alone = [x for x, w in zip(rows, whole.tolist()) if w]
-        table = self.table.rows_of([" " + w for w in words] + [words[k] for k in first.tolist()])
-        spaced = table[: len(words)]
-        found = spaced[place]
-        found[heads] = table[len(words) :][first_place] if len(first) else table[:0]
-        ends = split.offsets.to_numpy()[1:]
-        ids, sizes = self.table.gather(found, ends)
-        if not alone:
-            return ids, sizes
-        others = iter([np.array(self.plain(x), np.int32) for x in alone])
-        regular = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
-        each = [next(others) if w else next(regular) for w in whole.tolist()]
-        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        """Ids of all texts, and how many each has."""
+        coded = [self.text(x) for x in rows]
+        return np.frombuffer(b"".join(coded), "i4"), np.array([len(x) // 4 for x in coded], np.int64)
 
 
 _loaded: dict[tuple, object] = {}
@@ -212,6 +202,19 @@ def _encoder(vocabulary: str, pattern: str, kept: int) -> TextEncoder:
     return _once(("encoder", vocabulary, pattern, kept), lambda: TextEncoder(_pairs(vocabulary), pattern, kept))
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The spans of ``values`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes of each row from all bytes and the rows' sizes."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class TokenBytes:
     """Bytes of ids, by array operations."""
 
@@ -227,7 +230,7 @@ class TokenBytes:
         rows = np.where((ids >= 0) & (ids < last), ids, last)
         sizes = self.sizes[rows]
         done = np.concatenate([[0], np.cumsum(sizes)])
-        return binary_array(gathered(self.data, self.starts[rows], sizes), np.diff(done[np.cumsum(lengths)], prepend=0))
+        return _binary(_gathered(self.data, self.starts[rows], sizes), np.diff(done[np.cumsum(lengths)], prepend=0))
 
 
 def _token_bytes(vocabulary: str) -> TokenBytes:
@@ -238,7 +241,7 @@ def _token_bytes(vocabulary: str) -> TokenBytes:
 ROWS = 500
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 200_000, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 250_000, decoded: str | None = None) -> DataFrame:
     """Adds the token ids of ``text`` as an array of ints.
 
     ``vocabulary`` is a rank file that every executor has at this path. ``kept`` bounds

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from diffmill.llm.batches import list_array
+from diffmill.llm.batches import list_array, texts
 from diffmill.llm.simple8b import pack, unpack
 from diffmill.sources.staging import staged
 
@@ -31,12 +30,11 @@ BLOCK = (
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, as the bytes of little-endian integers.
 
     The tokenizer drops white space and never joins what it parts, so a text is encoded in
-    the parts between its blanks and line ends. Parts repeat: a batch looks each distinct part up
-    once, and its texts are gathered by array operations from a table of ids. The table
-    begins anew when it holds ``kept`` parts or four times as many ids.
+    the parts between its blanks and line ends. Parts repeat: those met are kept, up to a fixed
+    number, after which the memory begins anew.
     """
 
     def __init__(self, path: str, end_id: int, kept: int):
@@ -46,66 +44,72 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id, self.kept = end_id, kept
+        self.kept, self.known = kept, {}
         vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(*vocabulary.values(), end_id) < 1 << 16 else 4
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        self.begin_anew()
+        self.end = self._bytes([end_id])
+        self.marks = {mark: self._bytes(self.tokenizer.encode(mark, add_special_tokens=False).ids) for mark in ".,;:!?"}
 
-    def begin_anew(self) -> None:
-        self.known: dict[str, int] = {}
-        # row 0 is the end of a document
-        self.ids = np.array([self.end_id], "u4")
-        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
+    def _bytes(self, ids) -> bytes:
+        return np.asarray(ids, f"<u{self.width}").tobytes()
 
-    def encode_parts(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The parts in another order, all their ids, and how many each has. Parts of Latin
-        letters only are one word each, so many of them make up one call, and the ids that
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of Latin letters: many of them make up one call, and the ids that
         end a word tell them apart."""
-        joined = [p for p in parts if p.isalpha() and max(p) < "\u0100"]
-        alone = [p for p in parts if not (p.isalpha() and max(p) < "\u0100")]
-        flat, sizes = [np.zeros(0, "u4")], [np.zeros(0, np.int64)]
-        for some in (joined[i : i + 100_000] for i in range(0, len(joined), 100_000)):
+        found, width = {}, self.width
+        for some in (words[i : i + 100_000] for i in range(0, len(words), 100_000)):
             lines = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
             coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "u4") for e in coded])
-            ends = np.flatnonzero(self.last[ids]) + 1
+            ends = (np.flatnonzero(self.last[ids]) + 1) * width
             assert len(ends) == len(some)
-            flat.append(ids)
-            sizes.append(np.diff(ends, prepend=0))
+            flat = self._bytes(ids)
+            begin = 0
+            for word, end in zip(some, ends.tolist()):
+                found[word] = flat[begin:end]
+                begin = end
+        return found
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of each part. A word and one mark behind it are two pre-tokens, so the word is
+        encoded once, with and without the mark."""
+        words, marked, alone, known = set(), [], [], self.known
+        for p in parts:
+            if p.isalpha() and max(p) < "\u0100":
+                words.add(p)
+            elif p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0100":
+                marked.append(p)
+                if p[:-1] not in known:
+                    words.add(p[:-1])
+            else:
+                alone.append(p)
+        found = self._words(list(words))
+        for p in marked:
+            word = found.get(p[:-1])
+            found[p] = (known[p[:-1]] if word is None else word) + self.marks[p[-1]]
         for some in (alone[i : i + 20_000] for i in range(0, len(alone), 20_000)):
             coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            flat += [np.array(e.ids, "u4") for e in coded]
-            sizes.append(np.array([len(e.ids) for e in coded], np.int64))
-        return joined + alone, np.concatenate(flat), np.concatenate(sizes)
-
-    def rows_of(self, parts: list[str]) -> np.ndarray:
-        """Table rows of distinct parts; the table gets those it does not hold."""
+            found.update((part, self._bytes(e.ids)) for part, e in zip(some, coded))
+        return found
+
+    def encode(self, rows: list[str]) -> list[bytes]:
+        """Ids of each text with the end id behind them."""
+        parts = [x.replace("\n", " ").split(" ") for x in rows]
+        new = {p for one in parts for p in one if p not in self.known}
+        if len(self.known) + len(new) > self.kept:
+            self.known = {}
+            new = {p for one in parts for p in one}
+        self.known.update(self.encode_parts(list(new)))
         known = self.known
-        new = [p for p in parts if p not in known]
-        if known and (len(known) + len(new) > self.kept or len(self.ids) > 4 * self.kept):
-            self.begin_anew()
-            known, new = self.known, parts
-        if new:
-            new, ids, sizes = self.encode_parts(new)
-            known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts with the end id behind each, and how many each has."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
-        parts = split.flatten().dictionary_encode()
-        rows = self.rows_of(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
-        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
-        rows = np.insert(rows, ends, 0)
-        sizes = self.sizes[rows]
-        done = np.cumsum(sizes)
-        place = np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - (done - sizes), sizes)
-        return self.ids[place], np.diff(done[ends + np.arange(len(ends))], prepend=0)
+        out = [b"".join(map(known.__getitem__, one)) + self.end for one in parts]
+        if len(max(new, key=len, default="")) >= 64:  # long parts hardly come back
+            for p in new:
+                if len(p) >= 64:
+                    del known[p]
+        return out
 
 
 _loaded: dict[tuple, WordEncoder] = {}
@@ -133,32 +137,27 @@ def _block(part: int, before: int, docs: list, ids: np.ndarray, lengths: np.ndar
     )
 
 
-def _packed(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Ids of each document as the bytes of little-endian 32-bit integers."""
-    ends = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths * 4, out=ends[1:])
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
-
-
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, kept: int = 300_000) -> DataFrame:
-    """``doc_id, same, ids`` of each document, the end id included; ``same`` is a hash of the text."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, kept: int = 800_000) -> DataFrame:
+    """``doc_id, same, ids, width`` of each document, the end id included; ``same`` is a hash of
+    the text, ``width`` the bytes of an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, end_id, kept)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                ids, lengths = encoder.encode(batch.column("text"))
+                rows = pa.array(encoder.encode(texts(batch.column("text"))), pa.binary())
+                width = pa.array(np.full(len(rows), encoder.width, np.int8))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("same"), _packed(ids, lengths)], names=["doc_id", "same", "ids"]
+                    [batch.column("doc_id"), batch.column("same"), rows, width], names=["doc_id", "same", "ids", "width"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, same bigint, ids binary")
+    return rows.mapInArrow(run, "doc_id bigint, same bigint, ids binary, width tinyint")
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 300_000
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 800_000
 ) -> None:
     """Encode ``doc_id, text`` and write the token files to ``path``.
 
@@ -174,8 +173,9 @@ def write_tokens(
         lengths: list[int] = []
         size = before = 0
         for batch in batches:
-            for doc, row in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                own = np.frombuffer(row.as_buffer(), "<u4")
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("width").to_pylist())
+            for doc, row, width in rows:
+                own = np.frombuffer(row.as_buffer(), f"<u{width}").astype(np.uint32)
                 docs.append(doc)
                 ids.append(own)
                 lengths.append(len(own))
@@ -189,7 +189,7 @@ def write_tokens(
     # dealing by range reads its rows twice, so they are not encoded on the way
     rows = staged(encoded(docs, tokenizer, end_id, kept), "token-ids")
     ordered = rows.repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same")
-    ordered.select("doc_id", "ids").mapInArrow(run, BLOCK).write.parquet(path)
+    ordered.select("doc_id", "ids", "width").mapInArrow(run, BLOCK).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
