@@ -9,7 +9,7 @@ execution splits. The links stay on the executors.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffmill.sources.staging import staged
+from diffmill.sources.staging import Step
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,12 +32,14 @@ def connected(links: DataFrame) -> DataFrame:
     """``node, component`` for every end of ``links`` (``a, b``): the smallest node that it
     reaches. Links to itself and repeated links do no harm."""
     a, b = F.col("a"), F.col("b")
-    edges = staged(
-        links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
+    step = Step("links")
+    edges = step.replace(
+        links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     before = _state(edges)
     while True:
-        edges = staged(_small_star(_large_star(edges)), "stars")
+        # a round needs the one before it alone, which then goes
+        edges = step.replace(_small_star(_large_star(edges)))
         now = _state(edges)
         if now == before:
             break

@@ -44,41 +44,50 @@ def _by_role(role: Column, user: str, assistant: str, other: Column) -> Column:
     return F.when(role == "user", user).when(role == LOSS_ROLE, assistant).otherwise(other)
 
 
-def format_turns(turns: Column) -> Column:
-    """Pieces of the output for an array of turns with ``role`` and ``text``: structs of
-    ``head, body, tail, loss``."""
+def formatted(turns: DataFrame) -> DataFrame:
+    """``conv_id, root, leaf, formatted, loss_spans`` from a row per turn: ``conv_id, root,
+    leaf, depth, role, text``. Places are a running sum over the turns, so the work is in proportion to
+    them."""
+    own, role = ["conv_id", "root", "leaf"], F.col("role")
+    pieces = turns.select(
+        *own,
+        "depth",
+        _by_role(role, USER[0], ASSISTANT[0], F.concat(F.lit(OTHER[0]), escaped(role), F.lit(OTHER[1]))).alias("head"),
+        escaped(F.col("text")).alias("body"),
+        _by_role(role, USER[1], ASSISTANT[1], F.lit(OTHER[2])).alias("tail"),
+        (role == LOSS_ROLE).alias("loss"),
+    )
+    before = Window.partitionBy(*own).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + F.length("tail")
+    placed = pieces.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int"))
+    turn = F.struct("depth", F.concat("head", "body", "tail").alias("turn"), "loss", "start", F.length("body").alias("length"))
+    whole = placed.groupBy(*own).agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    spans = F.transform(F.filter("all", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return whole.select(
+        *own, F.array_join(F.transform("all", lambda t: t["turn"]), "").alias("formatted"), spans.alias("loss_spans")
+    )
 
-    def piece(turn: Column) -> Column:
-        role = turn["role"]
-        return F.struct(
-            _by_role(role, USER[0], ASSISTANT[0], F.concat(F.lit(OTHER[0]), escaped(role), F.lit(OTHER[1]))).alias("head"),
-            escaped(turn["text"]).alias("body"),
-            _by_role(role, USER[1], ASSISTANT[1], F.lit(OTHER[2])).alias("tail"),
-            (role == LOSS_ROLE).alias("loss"),
-        )
 
-    return F.transform(turns, piece)
+#: Code points of a block that a text is cut into to find spans in it.
+_BLOCK = 1024
 
 
-def formatted(conversations: DataFrame) -> DataFrame:
-    """Adds ``formatted`` and ``loss_spans`` to rows with an array ``turns``."""
-    step = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+def _cut(text: Column, spans: Column) -> Column:
+    """The spans of a text. A search from its beginning for each would cost the square of
+    a long text; each span looks into its own blocks alone."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
 
-    def walk(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        span = F.struct(start.alias("start"), F.length(p["body"]).alias("length"))
-        return F.struct(
-            (start + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
-            F.when(p["loss"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-        )
+    def all_spans(blocks: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s["start"] / _BLOCK).cast("int")
+            count = (F.floor((s["start"] + s["length"]) / _BLOCK) - first + 1).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, count), "")
+            return F.substring(near, s["start"] - first * _BLOCK + 1, s["length"])
 
-    pieces = conversations.withColumn("_pieces", format_turns(F.col("turns")))
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    return (
-        pieces.withColumn("formatted", text)
-        .withColumn("loss_spans", F.aggregate("_pieces", step, walk)["spans"])
-        .drop("_pieces", "turns")
-    )
+        return F.transform(spans, one)
+
+    # the blocks are formed once for all spans
+    return F.get(F.transform(F.array(blocks), all_spans), F.lit(0))
 
 
 def parsed(output: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def parsed(output: DataFrame) -> DataFrame:
             unescaped(body).alias("text"),
         )
 
-    spans = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["length"]))
+    spans = _cut(F.col("formatted"), F.col("loss_spans"))
     return output.withColumn("turns", F.transform(turns, turn)).withColumn(
         "loss_text", unescaped(F.array_join(spans, ""))
     )
@@ -178,11 +187,12 @@ def chats(messages: DataFrame, paths: int = 1) -> DataFrame:
     distinct = messages.dropDuplicates(["node"])
     chosen = best_paths(distinct.select("node", "parent", "score"), paths)
     rows = chosen.join(distinct.select("node", "conv_id", "role", "text"), "node")
-    turn = F.struct(
-        "depth", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    turns = rows.groupBy("conv_id", "root", "leaf").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return formatted(turns)
+    return formatted(
+        rows.select(
+            "conv_id", "root", "leaf", "depth",
+            F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        )
+    )
 
 
 def as_trees(conversations: DataFrame) -> DataFrame:

@@ -304,6 +304,33 @@ def test_chats_of_conversations(spark, sf_dir):
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(loss), digest(loss))
 
 
+def test_spans_across_blocks(spark, monkeypatch):
+    """Spans that begin, end and lie anywhere, with code points beyond 16 bits."""
+    monkeypatch.setattr(reply_trees, "_BLOCK", 7)
+    texts = ["😀" * 7, "", "a\nb" * 9, "x", "漢" * 14, "&<[>" * 5]
+    rows = [(1, f"n{i}", f"n{i - 1}" if i else None, "assistant" if i % 2 else "user", t, 0.0) for i, t in enumerate(texts)]
+    back = reply_trees.parsed(reply_trees.chats(tree(spark, rows))).head()
+    assert [t.text for t in back.turns] == texts and back.loss_text == "".join(texts[1::2])
+
+
+def test_work_is_in_proportion_to_the_turns(spark):
+    import time
+
+    def seconds(n):
+        turns = spark.range(n).selectExpr(
+            "1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', repeat('ab ', int(id % 40))) AS text"
+        )
+        pieces = turns.selectExpr("conv_id", "'r' AS root", "'l' AS leaf", "turn AS depth", "role", "text")
+        start = time.time()
+        row = reply_trees.checked(reply_trees.formatted(pieces)).head()
+        assert row.n_turns == n
+        return time.time() - start
+
+    seconds(500)
+    small, large = min(seconds(8000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
+    assert large < 5 * max(small, 0.5)
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert reply_trees.checked(reply_trees.chats(reply_trees.as_trees(empty))).count() == 0
