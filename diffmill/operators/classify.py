@@ -116,6 +116,19 @@ def repaired_label_id(label_id: Column, before: Column, after: Column) -> Column
     ).otherwise(label_id)
 
 
+def labels_of(
+    scored: DataFrame,
+    threshold: float = C.CONFIDENCE_THRESHOLD,
+    multi_label_threshold: float = C.MULTI_LABEL_THRESHOLD,
+) -> DataFrame:
+    """U5 alone: one row per chunk and raw label, with the place among the chunk's labels.
+    Several arise where classes are scored independently (``model.score_independently``)."""
+    labels = _labels(F.col("prediction"), threshold, multi_label_threshold)
+    return scored.select("pr_id", "chunk_index", F.posexplode(labels).alias("label_ord", "l")).select(
+        "pr_id", "chunk_index", "label_ord", "l.*"
+    )
+
+
 def classify(
     scored: DataFrame,
     threshold: float = C.CONFIDENCE_THRESHOLD,

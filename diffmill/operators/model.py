@@ -1,13 +1,14 @@
 """Classifier: training, candidate choice and scoring (ids M1 to M3)."""
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from diffmill.operators.classify import guarded_prediction, lookup_class
 from diffmill.operators.corpus import class_weights
 from diffmill.operators.metrics import best_candidate
 from diffmill.schemas import PREDICTION
+from diffmill.sources.staging import staged
 
 DEFAULT_CANDIDATES = (0.001, 0.01, 0.1)
 
@@ -117,22 +119,26 @@ def score_with_model(chunks: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def score_with_function(
-    chunks: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]]
+    chunks: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], error: str | None = None
 ) -> DataFrame:
     """M1 with a user's own model. ``load()`` runs once per task and returns a function
     from a list of codes to an array with one row of class probabilities per code.
 
     Blank code is not sent to it. A batch that fails is halved until
-    only the codes that fail by themselves are marked as errors (P6).
+    only the codes that fail by themselves are marked as errors (P6); what the function
+    said of such a code goes to the column ``error``, if that is named.
     """
     columns = chunks.columns
     raw = chunks.withColumn("needs_score", ~blank_code(F.col("code")))
-    schema = T.StructType([*raw.schema, T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(
+        [*raw.schema, T.StructField("probabilities", T.ArrayType(T.DoubleType())), T.StructField("_failure", T.StringType())]
+    )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
         for batch in batches:
             scores = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            failures = scores.copy()
             waiting = [list(batch.index[batch["needs_score"]])]
             while waiting:
                 wanted = waiting.pop()
@@ -141,21 +147,71 @@ def score_with_function(
                     rows = [[float(p) for p in row] for row in found]
                     if len(rows) != len(wanted):
                         raise ValueError("not one row of probabilities per code")
-                except Exception:  # a failing scorer must not end the job
+                except Exception as failure:  # a failing scorer must not end the job
                     if len(wanted) > 1:  # find the code that fails
                         middle = len(wanted) // 2
                         waiting += [wanted[:middle], wanted[middle:]]
+                    else:
+                        failures.at[wanted[0]] = f"{type(failure).__name__}: {failure}"[:1000]
                     continue
                 for at, row in zip(wanted, rows):
                     scores.at[at] = row
-            yield batch.assign(probabilities=scores)
+            yield batch.assign(probabilities=scores, _failure=failures)
 
     scored = raw.mapInPandas(score, schema)
     predicted = F.when(
         F.col("probabilities").isNotNull(), prediction_struct(F.col("probabilities"))
     )
+    said = [F.col("_failure").alias(error)] if error else []
+    return scored.select(
+        *columns, guarded_prediction(F.col("code"), predicted).alias("prediction"), *said
+    )
+
+
+@dataclass
+class IndependentModels:
+    """A model per class over shared features, and the curve that makes its margin a
+    probability."""
+
+    models: PipelineModel
+    slopes: list[float]
+    offsets: list[float]
+
+
+def train_independent(
+    train_part: DataFrame, val_part: DataFrame, regularization: float = 0.01, features: int = 1 << 16
+) -> IndependentModels:
+    """Is a sample of class k or not, for each class on its own, so that a chunk may have
+    several. Features are formed once for all classes; margins are calibrated on the
+    validation part. A class that it lacks keeps the plain curve."""
+    tokens = token_features(features).fit(train_part)
+    prepared = staged(tokens.transform(weighted_samples(train_part)).select("features", "label", "weight"), "independent-features")
+    one = LogisticRegression(featuresCol="features", weightCol="weight", regParam=regularization, maxIter=50)
+    rest = OneVsRest(classifier=one, featuresCol="features", labelCol="label", weightCol="weight", parallelism=5)
+    fitted = rest.fit(prepared.withColumn("label", F.col("label").cast("double")))
+    validation = tokens.transform(val_part).select("features", "label")
+    margins = staged(fitted.transform(validation).select("label", vector_to_array("rawPrediction").alias("m")), "independent-margins")
+    slopes, offsets = [], []
+    for k in range(len(fitted.models)):
+        own = margins.select((F.col("label") == k).cast("double").alias("label"), array_to_vector(F.array(F.col("m")[k])).alias("features"))
+        if own.agg(F.count_distinct("label")).first()[0] < 2:
+            slopes.append(1.0)
+            offsets.append(0.0)
+            continue
+        curve = LogisticRegression(regParam=1e-4, standardization=False).fit(own)
+        slopes.append(float(curve.coefficients[0]))
+        offsets.append(float(curve.intercept))
+    return IndependentModels(PipelineModel(stages=[*tokens.stages, fitted]), slopes, offsets)
+
+
+def score_independently(chunks: DataFrame, model: IndependentModels) -> DataFrame:
+    """Chunks or samples with a ``prediction`` whose probabilities are each its class's own."""
+    margins = vector_to_array(F.col("rawPrediction"))
+    curves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(model.slopes, model.offsets)])
+    probabilities = F.zip_with(margins, curves, lambda m, c: 1 / (1 + F.exp(-(c["a"] * m + c["b"]))))
+    scored = model.models.transform(chunks)
     return scored.select(
-        *columns, guarded_prediction(F.col("code"), predicted).alias("prediction")
+        *chunks.columns, guarded_prediction(F.col("code"), prediction_struct(probabilities)).alias("prediction")
     )
 
 

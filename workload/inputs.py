@@ -19,13 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small file spread over all cores. The derived texts are far larger than
-    the rows they come from, and a file of one row group is read by one task. A table of
-    many files is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores)
+    """Narrow rows dealt to as many tasks as a shuffle has, whatever files they come from.
+    The texts derived from them are far larger than they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

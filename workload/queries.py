@@ -858,10 +858,10 @@ def t2(spark, sf):
     "t3_softmax",
     f"""SELECT vec_id, round(list_max(p), 4) AS confidence, list_position(p, list_max(p)) - 1 AS label_id
         FROM (SELECT vec_id, list_transform(x, lambda v: exp(v - list_max(x)) / list_sum(list_transform(x, lambda w: exp(w - list_max(x))))) AS p
-          FROM (SELECT vec_id, list_transform(embedding[1:5], lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings))""",
+          FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings))""",
 )
 def t3(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double"))
+    logits = F.transform("embedding", lambda v: v.cast("double"))
     vectors = I.table(spark, sf, "embeddings").select("vec_id", logits.alias("x"))
     probs = vectors.select("vec_id", mo.softmax(F.col("x")).alias("p"))
     return probs.select("vec_id", mo.prediction_struct(F.col("p")).alias("s")).select(
@@ -1056,6 +1056,59 @@ def m1_user(spark, sf):
     return found.select("pr_id", "chunk_index", "prediction.label_id", "prediction.label", "prediction.confidence")
 
 
+@register(
+    "m1_scorer_errors",
+    """SELECT pr_id, chunk_index, 'ValueError: a code this model cannot read' AS score_error FROM reviewable WHERE length(code) % 7 = 0""",
+)
+def m1_errors(spark, sf):
+    """What the scorer said of each code that it failed on."""
+    found = mo.score_with_function(cl.reviewable(chunks(spark, sf)), _failing_model, error="score_error")
+    return found.filter("score_error IS NOT NULL").select("pr_id", "chunk_index", "score_error")
+
+
+_INDEPENDENT = "((h + 37 * i * i) % 101) / 100.0"
+
+
+@register(
+    "u5_independent_labels",
+    f"""SELECT pr_id, chunk_index, label_ord, label_id, confidence FROM (
+      SELECT pr_id, chunk_index, ps, unnest(CASE WHEN list_max(ps) >= {C.CONFIDENCE_THRESHOLD} AND len(likely) > 0 THEN likely
+          ELSE [list_position(ps, list_max(ps)) - 1] END) AS label_id,
+        unnest(range(CASE WHEN list_max(ps) >= {C.CONFIDENCE_THRESHOLD} AND len(likely) > 0 THEN len(likely) ELSE 1 END))::INT AS label_ord,
+        round(ps[label_id + 1], 4) AS confidence
+      FROM (SELECT *, list_filter([1, 2, 3, 4], lambda k: ps[k + 1] >= {C.MULTI_LABEL_THRESHOLD}) AS likely FROM (
+        SELECT pr_id, chunk_index, list_transform(range(5), lambda i: CAST({_INDEPENDENT} AS DOUBLE)) AS ps
+        FROM (SELECT pr_id, chunk_index, pr_id % 1000003 * 31 + chunk_index * 17 + length(code) * 7 AS h FROM reviewable))))""",
+)
+def u5_independent(spark, sf):
+    """Labels of chunks whose classes have scores that do not add up to one."""
+    found = cl.reviewable(chunks(spark, sf))
+    number = F.col("pr_id") % 1_000_003 * 31 + F.col("chunk_index") * 17 + F.length("code") * 7
+    rows = found.withColumn("h", number)
+    scores = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: ((F.col("h") + 37 * i * i) % 101 / F.lit(100.0)))
+    table = rows.select("pr_id", "chunk_index", mo.prediction_struct(scores).alias("prediction"))
+    labels = cl.labels_of(cl.score_from_table(found, table))
+    return labels.select("pr_id", "chunk_index", "label_ord", "label_id", "confidence")
+
+
+@register(
+    "u5_one_vs_rest",
+    "SELECT label AS class_id, count(*) AS support, true AS reaches_floor, true AS probabilities FROM (" + _SPLIT_BALANCED + ") WHERE split = 'test' GROUP BY label",
+)
+def u5_one_vs_rest(spark, sf):
+    """Five independent models: each finds its class, by a probability of its own."""
+    split = _small_training_set(spark, sf)
+    model = mo.train_independent(split.filter("split = 'train'"), split.filter("split = 'val'"))
+    scored_rows = mo.score_independently(split.filter("split = 'test'"), model)
+    own = F.element_at(F.col("prediction.all_probs"), F.col("label"))
+    most = F.element_at(F.col("prediction.all_probs"), F.col("prediction.label_id"))
+    return scored_rows.groupBy(F.col("label").alias("class_id")).agg(
+        F.count("*").alias("support"),
+        (F.avg((own >= 0.5).cast("double")) >= 0.5).alias("reaches_floor"),
+        F.bool_and((own >= 0) & (most <= 1) & (most >= own)).alias("probabilities"),
+    )
+
+
 @register(
     "m2_scored_samples",
     f"SELECT label AS class_id, count(*) AS support, true AS reaches_floor FROM ({_SPLIT_BALANCED}) WHERE split = 'test' GROUP BY label",
