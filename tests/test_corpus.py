@@ -11,7 +11,8 @@ from diffmill.operators import corpus as co
 from diffmill.operators import metrics as me
 from diffmill.operators import model as mo
 from diffmill.operators import selection as se
-from diffmill.operators.classify import classify
+from diffmill import schemas
+from diffmill.operators.classify import classify, labels_of
 from diffmill.plans.corpus_job import labelled_corpus, training_set
 from diffmill.sources import products, samples
 from diffmill.sources.diffs import corpus_code
@@ -238,3 +239,43 @@ def test_softmax(spark):
     df = spark.createDataFrame([([1.0, 1000.0, 2.0],), ([0.0, 0.0],)], "x array<double>")
     rows = df.select(mo.softmax(F.col("x")).alias("p")).collect()
     assert rows[0].p == [0.0, 1.0, 0.0] and rows[1].p == [0.5, 0.5]
+
+
+def test_what_a_scorer_said_is_kept(spark):
+    def load():
+        def predict(codes):
+            if "boom" in codes:
+                raise RuntimeError("out of tokens")
+            if "short" in codes:
+                return [[0.1] * 5] * (len(codes) - 1)
+            return [[0.6, 0.1, 0.1, 0.1, 0.1]] * len(codes)
+
+        return predict
+
+    rows = [(1, i, "a.py", 1, code) for i, code in enumerate(["x = 1", "boom", "y = 2", "short", " "])]
+    chunks = spark.createDataFrame(rows, schemas.CHUNKS).coalesce(1)
+    found = {r.chunk_index: r for r in mo.score_with_function(chunks, load, error="why").collect()}
+    assert {i: r.why for i, r in found.items()} == {
+        0: None, 1: "RuntimeError: out of tokens", 2: None, 3: "ValueError: not one row of probabilities per code", 4: None
+    }
+    assert [found[i].prediction.label_id for i in range(5)] == [0, -1, 0, -1, 0]
+    assert "why" not in mo.score_with_function(chunks, load).columns
+
+
+def test_independent_models_give_several_labels(spark):
+    """A sample that shows the marks of two classes is likely to be of both."""
+    marks = {1: "eval ( user )", 2: "open ( path )", 3: "for for for", 4: "foo bar baz"}
+    rows = [(f"x = {i}\n" + (f"{marks[k]}\n" if k else "pass\n"), k) for i in range(60) for k in range(5)]
+    samples = spark.createDataFrame(rows, "code string, label int")
+    model = mo.train_independent(samples, samples, features=1 << 10)
+    assert len(model.slopes) == 5 and all(a > 0 for a in model.slopes)
+    both = spark.createDataFrame(
+        [(1, 0, "a.py", 1, f"x = 3\n{marks[1]}\n{marks[3]}\n"), (1, 1, "a.py", 1, f"x = 3\n{marks[2]}\n")], schemas.CHUNKS
+    )
+    scored = mo.score_independently(both, model)
+    assert scored.columns == [*both.columns, "prediction"]
+    labels = labels_of(scored, multi_label_threshold=0.3).collect()
+    assert {r.label_id for r in labels if r.chunk_index == 0} >= {1, 3}
+    assert {r.label_id for r in labels if r.chunk_index == 1} == {2}
+    total = sum(scored.filter("chunk_index = 0").head().prediction.all_probs.values())
+    assert total > 1.2
