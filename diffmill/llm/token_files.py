@@ -1,8 +1,7 @@
 """Token files (operator 10): ids of all documents in ascending order of their ids.
 
-Documents are encoded where they are read and staged as ids, then range-partitioned and
-sorted by ``doc_id`` (equal ids by a hash of the text), and written as Parquet whose rows are
-blocks: ids packed by Simple-8b, with the word offset of every document. A block closes at
+Documents are range-partitioned and sorted by ``doc_id`` (equal ids by a hash of the
+text), encoded, and written as Parquet whose rows are blocks: ids packed by Simple-8b, with the word offset of every document. A block closes at
 the first document end after ``block_ids`` ids, so a document is never cut, and a block is
 bounded by that number plus one document. Blocks carry the number of their partition and
 how many ids of it precede them, so any task can read any block.
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 
 from diffmill.llm.batches import list_array, texts
 from diffmill.llm.simple8b import pack, unpack
-from diffmill.sources.staging import staged
 
 BLOCK = (
     "part int, ids_before bigint, doc_ids array<bigint>, lengths array<int>, "
@@ -137,25 +135,6 @@ def _block(part: int, before: int, docs: list, ids: np.ndarray, lengths: np.ndar
     )
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, kept: int = 800_000) -> DataFrame:
-    """``doc_id, same, ids, width`` of each document, the end id included; ``same`` is a hash of
-    the text, ``width`` the bytes of an id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, end_id, kept)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                rows = pa.array(encoder.encode(texts(batch.column("text"))), pa.binary())
-                width = pa.array(np.full(len(rows), encoder.width, np.int8))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("same"), rows, width], names=["doc_id", "same", "ids", "width"]
-                )
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, same bigint, ids binary, width tinyint")
-
-
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1 << 18, kept: int = 800_000
 ) -> None:
@@ -167,29 +146,32 @@ def write_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer, end_id, kept), TaskContext.get().partitionId()
         docs: list = []
-        ids: list[np.ndarray] = []
-        lengths: list[int] = []
+        coded: list[bytes] = []
         size = before = 0
-        for batch in batches:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("width").to_pylist())
-            for doc, row, width in rows:
-                own = np.frombuffer(row.as_buffer(), f"<u{width}").astype(np.uint32)
-                docs.append(doc)
-                ids.append(own)
-                lengths.append(len(own))
-                size += len(own)
-                if size >= block_ids:
-                    yield _block(part, before, docs, np.concatenate(ids), np.array(lengths, np.int64))
-                    before, size, docs, ids, lengths = before + size, 0, [], [], []
+
+        def block() -> pa.RecordBatch:
+            lengths = np.array([len(x) // encoder.width for x in coded], np.int64)
+            return _block(part, before, docs, np.frombuffer(b"".join(coded), f"<u{encoder.width}"), lengths)
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                for doc, row in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts(batch.column("text")))):
+                    docs.append(doc)
+                    coded.append(row)
+                    size += len(row) // encoder.width
+                    if size >= block_ids:
+                        yield block()
+                        before, size, docs, coded = before + size, 0, [], []
         if docs:
-            yield _block(part, before, docs, np.concatenate(ids), np.array(lengths, np.int64))
+            yield block()
 
-    # dealing by range reads its rows twice, so they are not encoded on the way
-    rows = staged(encoded(docs, tokenizer, end_id, kept), "token-ids")
-    ordered = rows.repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same")
-    ordered.select("doc_id", "ids", "width").mapInArrow(run, BLOCK).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    same = F.xxhash64("text")
+    ordered = rows.repartitionByRange(F.col("doc_id"), same).sortWithinPartitions("doc_id", same)
+    ordered.mapInArrow(run, BLOCK).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
