@@ -14,7 +14,7 @@ QUICK = [
     "s1_submitted_diffs", "s6_webhook_events", "d7_chunks", "d7_document_chunks", "p11_classified",
     "j2_explained_issues", "j3_comments_to_post", "a1_primary_language", "a6_class_metrics", "w1_ranked_issues",
     "w3_subsample", "o_split_stratified", "u2_distinct_code", "u8_entry_fields", "t9_rule_labels", "m4_training_set",
-    "m5_reviews",
+    "m5_reviews", "d7_split_diffs", "s6_broken_payloads", "x2_admitted", "m1_scorer_errors", "u5_independent_labels", "t3_softmax",
 ]
 
 
