@@ -145,7 +145,7 @@ class TextEncoder:
         self.split = regex.compile(spelled).findall
         self.pairs, self.kept = pairs, kept
         self.parts: dict[str, bytes] = {}  # by what follows a space
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # pre-tokens without a space in front
 
     def keep(self, known: dict[str, bytes], key: str, ids: bytes) -> None:
         if len(known) >= self.kept:
@@ -154,10 +154,11 @@ class TextEncoder:
             known[key] = ids
 
     def piece(self, pre_token: str) -> bytes:
-        found = self.pieces.get(pre_token)
+        known, key = (self.parts, pre_token[1:]) if pre_token[0] == " " else (self.pieces, pre_token)
+        found = known.get(key)
         if found is None:
             found = array("i", self.pairs.encode(pre_token.encode())).tobytes()
-            self.keep(self.pieces, pre_token, found)
+            self.keep(known, key, found)
         return found
 
     def plain(self, text: str) -> bytes:
@@ -173,8 +174,11 @@ class TextEncoder:
         for part in parts:
             ids = known.get(part)
             if ids is None:
-                ids = self.plain(" " + part)
-                self.keep(known, part, ids)
+                if part.isalpha():  # a pre-token as it stands
+                    ids = self.piece(" " + part)
+                else:
+                    ids = self.plain(" " + part)
+                    self.keep(known, part, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -241,7 +245,7 @@ def _token_bytes(vocabulary: str) -> TokenBytes:
 ROWS = 500
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 250_000, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", kept: int = 300_000, decoded: str | None = None) -> DataFrame:
     """Adds the token ids of ``text`` as an array of ints.
 
     ``vocabulary`` is a rank file that every executor has at this path. ``kept`` bounds

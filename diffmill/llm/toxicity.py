@@ -39,11 +39,17 @@ ORDER = 5
 START, END = "\x02", "\x03"
 FEATURES = ["ratio", "first", "top"]
 #: Distinct words that a task gathers before it hands their n-grams on.
-WORDS = 20_000
+WORDS = 30_000
 
 
 def plain(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum())
+    """The letters and digits of a word in lower case."""
+    low = word.lower()
+    if low.isalnum():
+        return low
+    if low[:-1].isalnum():  # one mark behind it
+        return low[:-1]
+    return "".join(c for c in low if c.isalnum())
 
 
 def grams(word: str) -> Iterator[str]:
@@ -183,7 +189,7 @@ class WordScorer:
     were formed are kept, up to a fixed number."""
 
     ratios: Ratios | dict[str, float]
-    kept: int = 100_000
+    kept: int = 250_000
 
     def __post_init__(self):
         if isinstance(self.ratios, dict):
