@@ -1,21 +1,31 @@
 """Diff parsing: unified diffs to function-level chunks (ids D1 to D10).
 
-A diff arrives as one row, so everything that runs "per diff" can run inside that row:
-``parse_diffs`` is one projection over arrays and one ``explode``. It has no shuffle, no
-sort and no grouping, whatever the number of diffs. Values that are read several times
-are bound with ``let``, so each is computed once.
+A diff arrives as one row, so everything that runs "per diff" can run inside that row,
+without a shuffle, a sort or grouping, whatever the number of diffs. ``parse_diffs`` reads
+Arrow batches of diffs line by line, once, with the file and the line counter as its only
+state. Chained array expressions take several times as long for the same chunks, because
+Spark interprets their lambdas.
 
-The array steps avoid running state:
+What combines over parts of a diff (``split_diffs``) or gives lines (``added_lines``) needs
+the steps as values; there they are array expressions that avoid running state:
 
 * cutting at file markers gives every section its file at once;
 * cutting a section at hunk headers gives every piece its first line number, and once
   deleted lines and headers are filtered out the index in the piece is the line count;
 * the only carried value (added lines after a file marker with no hunk header between)
   is computed just for the pieces that have such lines, with a look-up by groups.
+
+Values that are read several times are bound with ``let``, so each is computed once.
 """
 
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diffmill import constants as C
 from diffmill.functions.text import (
@@ -26,10 +36,18 @@ from diffmill.functions.text import (
     pattern,
     raw_lines,
 )
+from diffmill.schemas import CHUNKS
 
 _FILE_MARK = r"\n(?=\+\+\+ b/)"
 _HUNK_MARK = r"\n(?=" + C.HUNK_HEADER + ")"
 _GROUP = 256
+#: Diffs turned into Python texts at once, and characters of an output batch.
+_ROWS_READ = 256
+_BATCH_CHARS = 8 << 20
+#: White space of a Java pattern with the flag U; without the separators \x1c to \x1f.
+_PATTERN_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters by their Unicode property that are symbols by their category.
+_CIRCLED_LETTERS = [("\u24b6", "\u24e9"), ("\U0001f130", "\U0001f149"), ("\U0001f150", "\U0001f169"), ("\U0001f170", "\U0001f189")]
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
@@ -248,50 +266,6 @@ def chunk_starts(lines: Column) -> Column:
     )
 
 
-def _spans(starts: Column, n_lines: Column) -> Column:
-    """Spans of at most the chunk size. ``glued`` marks a span whose predecessor was
-    closed by the size cap: its start line follows on from the line before."""
-    cap = C.MAX_CHUNK_LINES
-    segments = F.transform(
-        starts,
-        lambda lo, j: F.struct(
-            lo.alias("lo"),
-            F.coalesce(F.get(starts, j + 1), n_lines).alias("hi"),
-            F.coalesce((lo - F.get(starts, j - 1)) % cap == 0, F.lit(False)).alias("glued"),
-        ),
-    )
-    return F.flatten(
-        F.transform(
-            segments,
-            lambda s: F.transform(
-                F.sequence(s["lo"], s["hi"] - 1, F.lit(cap)),
-                lambda lo: F.struct(
-                    lo.alias("lo"),
-                    F.least(s["hi"] - lo, F.lit(cap)).alias("n"),
-                    ((lo > s["lo"]) | s["glued"]).alias("glued"),
-                ),
-            ),
-        )
-    )
-
-
-def _file_chunks(file: Column) -> Column:
-    lines = file["lines"]
-    spans = let(chunk_starts(lines), lambda starts: _spans(starts, F.size(lines)))
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            file["file"].alias("file"),
-            F.when(s["glued"], F.get(lines, s["lo"] - 1)["no"] + 1)
-            .otherwise(F.get(lines, s["lo"])["no"])
-            .alias("start_line"),
-            F.array_join(
-                F.transform(F.slice(lines, s["lo"] + 1, s["n"]), lambda x: x["code"]), "\n"
-            ).alias("code"),
-        ),
-    )
-
-
 def added_lines(diffs: DataFrame) -> DataFrame:
     """Added lines with file, line number in the new file and boundary flag."""
     files = diffs.select("pr_id", F.posexplode(_files(F.col("diff"))).alias("file_ord", "f"))
@@ -311,13 +285,119 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     )
 
 
+def _chunk_reader() -> Callable[[str], list[tuple[str, int, str]]]:
+    """D1 to D10 of one diff, as (file, start_line, code) of each chunk. Made of local names
+    alone, so that it goes to the workers by value."""
+    other_break, line_break = re.compile(C.OTHER_LINE_BREAK), re.compile(C.LINE_BREAK)
+    hunk = re.compile(C.HUNK_HEADER, re.ASCII)
+    definition = re.compile(C.DEFINITION_START.replace(r"\s", f"[{_PATTERN_SPACE}]").replace(r"\w+", "(.)"))
+    cap, unknown, space, top = C.MAX_CHUNK_LINES, C.UNKNOWN_FILE, C.WHITE_SPACE, (1 << 63) - 1
+    marks, joiners, circled = {"Nl", "Mn", "Me", "Mc", "Nd", "Pc"}, "\u200c\u200d", _CIRCLED_LETTERS
+    category = unicodedata.category
+
+    def defines(code: str) -> bool:
+        found = definition.match(code)
+        if not found:
+            return False
+        letter = found[1]
+        if letter < "\x80":
+            return letter.isalnum() or letter == "_"
+        kind = category(letter)
+        return kind[0] == "L" or kind in marks or letter in joiners or any(a <= letter <= b for a, b in circled)
+
+    def added(diff: str) -> dict[str, tuple[list[int], list[str]]]:
+        if other_break.search(diff):
+            diff = line_break.sub("\n", diff)
+        # at: line counter; before: the counter at the file marker; no: number of the next line
+        files, file, at, before, no = {}, unknown, 0, 0, 0
+        for line in diff.split("\n"):
+            first = line[:1]
+            if first == "+":
+                if line[:3] == "+++":
+                    if line[:6] == "+++ b/":
+                        file, before, no = line[6:], at, at
+                    continue
+                numbers, codes = files.get(file) or files.setdefault(file, ([], []))
+                numbers.append(no)
+                codes.append(line[1:])
+            elif first == "-":
+                continue
+            elif first == "@":
+                header = hunk.match(line)
+                if header:
+                    base = int(header[1]) if len(header[1].lstrip("0")) < 20 else top + 1
+                    if base <= top:
+                        at = no = base
+                    else:  # no number of a line
+                        no = before
+                    continue
+            at += 1
+            no += 1
+        return files
+
+    def chunks(diff: str) -> list[tuple[str, int, str]]:
+        out = []
+        for file, (numbers, codes) in added(diff).items():
+            starts = [0] + [
+                i for i, code in enumerate(codes) if i and ("def " in code or "class " in code) and defines(code)
+            ]
+            ends = starts[1:] + [len(codes)]
+            for j, (lo, hi) in enumerate(zip(starts, ends)):
+                # a span whose predecessor was closed by the size cap follows on from the line before
+                glued = j > 0 and (lo - starts[j - 1]) % cap == 0
+                for at in range(lo, hi, cap):
+                    code = "\n".join(codes[at : min(at + cap, hi)])
+                    if code.strip(space):
+                        start = numbers[at - 1] + 1 if glued or at > lo else numbers[at]
+                        out.append((file, start, code))
+        return out
+
+    return chunks
+
+
 def parse_diffs(diffs: DataFrame) -> DataFrame:
-    """chunks(pr_id, chunk_index, file, start_line, code)."""
-    chunks = F.flatten(F.transform(_files(F.col("diff")), _file_chunks))
-    with_code = F.filter(chunks, lambda c: ~is_blank(c["code"]))
-    return diffs.select("pr_id", F.posexplode(with_code).alias("chunk_index", "c")).select(
-        "pr_id", "chunk_index", "c.file", "c.start_line", "c.code"
-    )
+    """chunks(pr_id, chunk_index, file, start_line, code). Diffs are read where they
+    lie, in Arrow batches; an output batch is closed by its size."""
+    key = diffs.schema["pr_id"].dataType
+    schema = T.StructType([T.StructField("pr_id", key), *CHUNKS.fields[1:]])
+    chunks_of, rows_read, most = _chunk_reader(), _ROWS_READ, _BATCH_CHARS
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, texts = batch.column(0), batch.column(1)
+            rows, places, files, lines, codes, size = [], [], [], [], [], 0
+
+            def closed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [
+                        own.take(pa.array(rows, pa.int64())),
+                        pa.array(places, pa.int32()),
+                        pa.array(files, pa.string()),
+                        pa.array(lines, pa.int64()),
+                        pa.array(codes, pa.string()),
+                    ],
+                    names=["pr_id", "chunk_index", "file", "start_line", "code"],
+                )
+
+            for begin in range(0, len(texts), rows_read):
+                for row, text in enumerate(texts.slice(begin, rows_read).to_pylist(), begin):
+                    if text is None:
+                        continue
+                    for place, (file, line, code) in enumerate(chunks_of(text.decode("utf-8", "replace"))):
+                        rows.append(row)
+                        places.append(place)
+                        files.append(file)
+                        lines.append(line)
+                        codes.append(code)
+                        size += len(file) + len(code)
+                        if size > most:
+                            yield closed()
+                            rows, places, files, lines, codes, size = [], [], [], [], [], 0
+            if rows:
+                yield closed()
+
+    # as bytes: a text that is no sound UTF-8 must not end the job
+    return diffs.select("pr_id", F.col("diff").cast("binary").alias("diff")).mapInArrow(parse, schema)
 
 
 def within_size_limit(chunks: DataFrame) -> DataFrame:

@@ -144,6 +144,35 @@ def test_parsing_has_no_shuffle(spark):
     assert "Exchange" not in plan and "Sort" not in plan and "Python" not in plan
 
 
+def test_parsing_interprets_no_lambdas(spark):
+    """Array lambdas run in Spark's interpreter, line by line."""
+    df = spark.createDataFrame([(1, "+x")], "pr_id long, diff string")
+    assert "lambda" not in parse_diffs(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parsing_of_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr("diffmill.operators.diffs._BATCH_CHARS", 5)
+    monkeypatch.setattr("diffmill.operators.diffs._ROWS_READ", 2)
+    rows = [
+        (None, "+a\n+\u3000def f\n+def \u24b6\n+def \u0301\n+def (\n+\x1fdef no"),  # 1f is no space, ( no name
+        (4, None),
+        (4, "@@ -1 +00000000000000000000007 @@\n+b\n@@ -1 +99999999999999999999 @@\n+c"),  # no number
+        (5, "+++ b/x\r\n@@ -1 +3 @@\x1e+d\u2028 e\x85+f"),
+    ]
+    df = spark.createDataFrame(rows, "pr_id long, diff string")
+    broken = spark.sql("SELECT 6L AS pr_id, CAST(X'2B61FF' AS STRING) AS diff")
+    found = parse_diffs(df.unionByName(broken)).collect()
+    assert sorted([tuple(r) for r in found], key=lambda r: (r[0] or 0, r[1])) == [
+        (None, 0, "unknown", 0, "a"),
+        (None, 1, "unknown", 1, "\u3000def f"),
+        (None, 2, "unknown", 2, "def \u24b6"),
+        (None, 3, "unknown", 3, "def \u0301\ndef (\n\x1fdef no"),
+        (4, 0, "unknown", 7, "b\nc"),
+        (5, 0, "x", 3, "d\nf"),
+        (6, 0, "unknown", 0, "a\ufffd"),
+    ]
+
+
 # Known answers for the diffs derived from lineitem: one block of the diff per row, in order.
 _ITEM_DIFFS = """
 WITH item AS (
