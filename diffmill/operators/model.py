@@ -137,13 +137,14 @@ def score_with_function(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
         for batch in batches:
-            scores = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            failures = scores.copy()
-            waiting = [list(batch.index[batch["needs_score"]])]
+            # plain lists: a failing code is found by many small calls
+            codes = batch["code"].tolist()
+            scores, failures = [None] * len(batch), [None] * len(batch)
+            waiting = [np.flatnonzero(batch["needs_score"]).tolist()]
             while waiting:
                 wanted = waiting.pop()
                 try:
-                    found = list(predict(batch.loc[wanted, "code"].tolist())) if wanted else []
+                    found = list(predict([codes[at] for at in wanted])) if wanted else []
                     rows = [[float(p) for p in row] for row in found]
                     if len(rows) != len(wanted):
                         raise ValueError("not one row of probabilities per code")
@@ -152,11 +153,14 @@ def score_with_function(
                         middle = len(wanted) // 2
                         waiting += [wanted[:middle], wanted[middle:]]
                     else:
-                        failures.at[wanted[0]] = f"{type(failure).__name__}: {failure}"[:1000]
+                        failures[wanted[0]] = f"{type(failure).__name__}: {failure}"[:1000]
                     continue
                 for at, row in zip(wanted, rows):
-                    scores.at[at] = row
-            yield batch.assign(probabilities=scores, _failure=failures)
+                    scores[at] = row
+            yield batch.assign(
+                probabilities=pd.Series(scores, index=batch.index, dtype=object),
+                _failure=pd.Series(failures, index=batch.index, dtype=object),
+            )
 
     scored = raw.mapInPandas(score, schema)
     predicted = F.when(
