@@ -19,6 +19,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,36 +92,40 @@ def admitted(
         + [T.StructField(name, T.ArrayType(T.LongType())) for name in ("until", "start", "count")]
     )
 
-    def outcomes(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def outcomes(name: tuple, part: pa.Table) -> pa.Table:
         at = np.sort(part["at"].to_numpy())
-        found = _outcomes(at, int(name[1]) * wide, length)
-        return pd.DataFrame({key: [name[0]], "segment": [name[1]], "n": [len(at)], **dict(zip(("until", "start", "count"), map(lambda x: [x], found)))})
+        found = _outcomes(at, name[1].as_py() * wide, length)
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in found]
+        return pa.Table.from_arrays([pa.array([name[0].as_py()], name[0].type), pa.array([name[1].as_py()], pa.int64()), pa.array([len(at)], pa.int64()), *lists], step.names)
 
     carry = T.StructType([T.StructField(key, kind)] + [T.StructField(name, T.LongType()) for name in ("segment", "open", "used")])
 
-    def followed(name: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("segment")
-        start, count, out = NEVER, 0, []
-        for segment, n, until, starts, counts in zip(part["segment"], part["n"], part["until"], part["start"], part["count"]):
-            out.append((name[0], segment, start, count))
+    def followed(name: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("segment")
+        start, count, opened, used = NEVER, 0, [], []
+        for n, until, starts, counts in zip(*[part[c].to_pylist() for c in ("n", "until", "start", "count")]):
+            opened.append(start)
+            used.append(count)
             at = int(np.searchsorted(np.asarray(until), start + length, "left"))
             if at < len(until):
-                start, count = int(starts[at]), int(counts[at])
+                start, count = starts[at], counts[at]
             else:  # the open window takes them all
-                count += int(n)
-        return pd.DataFrame(out, columns=carry.names)
+                count += n
+        segments = part["segment"].combine_chunks()
+        return pa.Table.from_arrays([pa.array([name[0].as_py()] * len(opened), name[0].type), segments, pa.array(opened, pa.int64()), pa.array(used, pa.int64())], carry.names)
 
-    steps = timed.select(*own, "at").groupBy(*own).applyInPandas(outcomes, step)
-    carries = steps.groupBy(key).applyInPandas(followed, carry)
+    # Arrow tables: the groups are many and small, and a pandas frame of each costs more than its work
+    steps = timed.select(*own, "at").groupBy(*own).applyInArrow(outcomes, step)
+    carries = steps.groupBy(key).applyInArrow(followed, carry)
     schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
 
-    def decide(name: tuple, part: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", request], kind="stable")
-        start, count = (int(begin["open"].iloc[0]), int(begin["used"].iloc[0])) if len(begin) else (NEVER, 0)
+    def decide(name: tuple, part: pa.Table, begin: pa.Table) -> pa.Table:
+        part = part.sort_by([("at", "ascending"), (request, "ascending")])
+        start, count = (begin["open"][0].as_py(), begin["used"][0].as_py()) if len(begin) else (NEVER, 0)
         found, _, _ = _decided(part["at"].to_numpy(), start, count, limit, length)
-        return part.assign(admitted=found)[schema.names]
+        return part.append_column("admitted", pa.array(found)).select(schema.names)
 
-    decided = timed.groupBy(*own).cogroup(carries.groupBy(*own)).applyInPandas(decide, schema)
+    decided = timed.groupBy(*own).cogroup(carries.groupBy(*own)).applyInArrow(decide, schema)
     return decided.unionByName(rows.filter(~usable).withColumn("admitted", F.lit(False)))
 
 

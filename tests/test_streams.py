@@ -226,6 +226,13 @@ def test_segments_hand_on_few_outcomes():
         assert (starts[k], counts[k]) == (s, c)
 
 
+def test_admission_makes_no_pandas_frames(spark):
+    """Groups are many and small; a frame of each costs more than its work."""
+    frame = spark.createDataFrame([(1, "a", None)], "request_id long, client string, ts timestamp")
+    plan = admitted(frame, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" in plan and "InPandas" not in plan
+
+
 def test_admission_on_a_stream(spark, tmp_path):
     """Requests in any order, over several batches, and a state that the watermark bounds."""
     rows = random_requests(9, 600)
