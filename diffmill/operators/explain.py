@@ -128,7 +128,8 @@ def explain(issues: DataFrame, responses: DataFrame) -> DataFrame:
         )
     )
     answers = responses.select("pr_id", by_number.alias("answers"))
-    joined = issues.join(answers, "pr_id", "left").withColumn("answers", F.try_element_at("answers", F.col("issue_idx")))
+    # one row per pull request: never to be sent to every task, however small the files seem
+    joined = issues.join(answers.hint("merge"), "pr_id", "left").withColumn("answers", F.try_element_at("answers", F.col("issue_idx")))
 
     def field(name: str, default: str) -> Column:
         return F.coalesce(F.nullif(F.col(f"answers.{name}"), F.lit("")), F.lit(default))

@@ -109,7 +109,7 @@ def planned_comments(
     top = with_defaults(explained.filter(F.col("issue_idx") <= limit))
     placed = top.withColumn("line", comment_line(F.col("start_line"), suspicious_line_offset(F.col("code"))))
     places = existing.select("pr_id", "file", "line").distinct()
-    return placed.join(places, ["pr_id", "file", "line"], "left_anti").select(
+    return placed.join(places.hint("merge"), ["pr_id", "file", "line"], "left_anti").select(
         "pr_id", "issue_idx", "file", "line", "label", "confidence", comment_body().alias("body")
     )
 
@@ -125,7 +125,7 @@ def comments_to_post(
     """
     planned = comments.filter(F.col("issue_idx") <= limit)
     places = existing.select("pr_id", "file", "line").distinct()
-    return planned.join(places, ["pr_id", "file", "line"], "left_anti")
+    return planned.join(places.hint("merge"), ["pr_id", "file", "line"], "left_anti")
 
 
 def _issue_section() -> Column:
@@ -208,7 +208,7 @@ def reviews(explained: DataFrame, languages: DataFrame) -> DataFrame:
         F.size("items").cast("bigint").alias("total"),
         _bullets(F.col("items")).alias("bullets"),
     )
-    joined = languages.select("pr_id", "language").join(texts, "pr_id", "left")
+    joined = languages.select("pr_id", "language").join(texts.hint("merge"), "pr_id", "left")
     header = language_header(F.col("language"))
     title = F.lit(C.REVIEW_TITLE)
     clean = F.concat(title, F.lit("\n"), header, F.lit("\n" + C.CLEAN_REVIEW))
@@ -253,7 +253,7 @@ def status_body(review: DataFrame, posted: DataFrame) -> DataFrame:
     has_summary = (F.coalesce("review_summary", F.lit("")) != "") & (
         F.coalesce("posted", F.lit(0)) > 0
     )
-    return review.join(with_comments, "pr_id", "left").select(
+    return review.join(with_comments.hint("merge"), "pr_id", "left").select(
         "pr_id",
         F.when(has_summary, F.col("review_summary"))
         .otherwise(F.col("final_review"))

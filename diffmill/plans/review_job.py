@@ -50,7 +50,7 @@ def pr_languages(diffs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Primary language of every pull request, those without chunks included."""
     return (
         diffs.select("pr_id")
-        .join(language_info(chunks), "pr_id", "left")
+        .join(language_info(chunks).hint("merge"), "pr_id", "left")
         .select("pr_id", F.coalesce("language", F.lit("Unknown")).alias("language"), "languages")
     )
 

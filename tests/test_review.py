@@ -369,3 +369,22 @@ def test_bodies_of_posted_comments_alone(spark):
     other = comments_to_post(inline_comments(explained), places).select("pr_id", "issue_idx", "file", "line", "label", "confidence", "body")
     assert sorted(one) == sorted(other.collect()) and len(one) == 9
     assert sorted(comment_places(issues).collect()) == sorted(inline_comments(explained).select("pr_id", "issue_idx", "file", "line").collect())
+
+
+def test_no_texts_of_a_review_are_broadcast(spark, tmp_path):
+    """Compressed files hide the size of texts: the planner would send all through the driver."""
+    from diffmill.plans.review_job import find_issues, write_reviews
+    from diffmill.operators.classify import score_without_model
+
+    def table(rows, schema, name):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        return spark.read.parquet(path)
+
+    diffs = table([(1, "+x = 1\n+y = x / 0"), (2, "")], "pr_id long, diff string", "diffs")
+    answers = table([(1, "[]")], "pr_id long, response string", "answers")
+    places = table([(1, "unknown", 0)], "pr_id long, file string, line long", "places")
+    done = write_reviews(find_issues(diffs, score_without_model), answers, places)
+    for product in (done.status, done.reviews, done.to_post, done.explained):
+        assert "Broadcast" not in product._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pr_id for r in done.status.collect()) == [1, 2]
