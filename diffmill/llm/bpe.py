@@ -135,7 +135,8 @@ class BytePairs:
 
 class TextEncoder:
     """Ids of whole texts. Pre-tokens and the parts between spaces are remembered as the bytes of their ids;
-    each memory holds ``kept`` of them at most and begins anew when it is full."""
+    each memory holds ``kept`` of them at most and begins anew when it is full. A word with one mark behind
+    it is two pre-tokens, so the word alone is remembered; parts with a line end hardly come back."""
 
     def __init__(self, pairs: BytePairs, pattern: str, kept: int):
         import regex
@@ -146,6 +147,7 @@ class TextEncoder:
         self.pairs, self.kept = pairs, kept
         self.parts: dict[str, bytes] = {}  # by what follows a space
         self.pieces: dict[str, bytes] = {}  # pre-tokens without a space in front
+        self.marks = {mark: self.plain(mark) for mark in ".,;:!?"}
 
     def keep(self, known: dict[str, bytes], key: str, ids: bytes) -> None:
         if len(known) >= self.kept:
@@ -170,15 +172,18 @@ class TextEncoder:
         # a space outside a longer run of white space always starts a pre-token, so the
         # parts between such spaces are independent and repeat often
         first, *parts = text.split(" ")
-        known, out = self.parts, [self.plain(first)]
+        known, marks, out = self.parts, self.marks, [self.plain(first)]
         for part in parts:
             ids = known.get(part)
             if ids is None:
                 if part.isalpha():  # a pre-token as it stands
                     ids = self.piece(" " + part)
+                elif part[-1:] in marks and part[:-1].isalpha():  # two of them
+                    ids = self.piece(" " + part[:-1]) + marks[part[-1]]
                 else:
                     ids = self.plain(" " + part)
-                    self.keep(known, part, ids)
+                    if "\n" not in part:
+                        self.keep(known, part, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -290,10 +295,10 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "
     return plain.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, pattern: str, kept: int = 800_000) -> DataFrame:
     """Round trip of every document: number of ids, digest of the ids, digest of the
     decoded bytes."""
-    coded = encode(docs.select("doc_id", "text"), vocabulary, pattern, decoded="decoded").drop("text")
+    coded = encode(docs.select("doc_id", "text"), vocabulary, pattern, kept=kept, decoded="decoded").drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

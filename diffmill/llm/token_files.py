@@ -10,6 +10,7 @@ Defined results: a null text is empty and has only the end id; null document ids
 first; repeated rows are written each; an empty table gives an empty file.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,10 @@ BLOCK = (
 )
 
 
+#: A word of Latin letters, with or without one mark behind it.
+_WORD = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+([.,;:!?]?)").fullmatch
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, as the bytes of little-endian integers.
 
@@ -76,14 +81,15 @@ class WordEncoder:
         encoded once, with and without the mark."""
         words, marked, alone, known = set(), [], [], self.known
         for p in parts:
-            if p.isalpha() and max(p) < "\u0100":
+            word = _WORD(p)
+            if not word:
+                alone.append(p)
+            elif not word[1]:
                 words.add(p)
-            elif p[-1:] in self.marks and p[:-1].isalpha() and max(p) < "\u0100":
+            else:
                 marked.append(p)
                 if p[:-1] not in known:
                     words.add(p[:-1])
-            else:
-                alone.append(p)
         found = self._words(list(words))
         for p in marked:
             word = found.get(p[:-1])
@@ -96,10 +102,10 @@ class WordEncoder:
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text with the end id behind them."""
         parts = [x.replace("\n", " ").split(" ") for x in rows]
-        new = {p for one in parts for p in one if p not in self.known}
+        new = set().union(*parts).difference(self.known)
         if len(self.known) + len(new) > self.kept:
             self.known = {}
-            new = {p for one in parts for p in one}
+            new = set().union(*parts)
         self.known.update(self.encode_parts(list(new)))
         known = self.known
         out = [b"".join(map(known.__getitem__, one)) + self.end for one in parts]

@@ -40,6 +40,21 @@ def test_encoder_equals_library(library):
     assert encoder.encode([])[0].tolist() == [] and encoder.encode([""])[1].tolist() == [0]
 
 
+def test_words_are_remembered_without_marks(library):
+    encoder = bpe.TextEncoder(bpe.BytePairs(bpe.read_ranks(RANKS)), P.PATTERN, kept=50)
+    text = "a zqxwvu, zqxwvu. zqxwvu; zqxwvu zqxwvu?! zqxwvu.\nzqxwvu é. ² ². .. ."
+    assert encoder.encode([text])[0].tolist() == library.encode_ordinary(text)
+    assert {"zqxwvu", "é"} < set(encoder.parts)
+    assert not {"zqxwvu,", "zqxwvu.", "zqxwvu;", "zqxwvu.\nzqxwvu", "é."} & set(encoder.parts)
+
+
+def test_words_of_latin_letters():
+    letters = [chr(i) for i in range(1, 0x180)]
+    assert [x for x in letters if token_files._WORD(x)] == [x for x in letters if x.isalpha() and x < "\u0100"]
+    assert [token_files._WORD(x)[1] for x in ("ab", "ab.", "é?")] == ["", ".", "?"]
+    assert not any(map(token_files._WORD, ["", ".", "a..", "a b", "a\n", "a.\n", "a-", "1", "aĀ"]))
+
+
 def test_queue_is_empty_between_calls():
     pairs = bpe.BytePairs(bpe.read_ranks(RANKS))
     pairs.encode(b"qwertyuiopasdfghjkl")
