@@ -112,6 +112,9 @@ _STRUCTURAL = pattern(
     r"""|pass|\"{3}|'{3}|#)"""
 )
 _SELF_ASSIGNMENT = pattern(r"^self\.\w+\s*=")
+# A line that is surely neither blank nor structural, nor sets an attribute of self: behind its
+# blanks it begins with a letter, and with no word that such lines begin with.
+_PLAIN_LOGIC = r"(?:^|\n) *+(?!import|from|class|def|async|pass|self)[A-Za-z]"
 
 
 def logic_lines(code: Column) -> Column:
@@ -121,9 +124,10 @@ def logic_lines(code: Column) -> Column:
 
 
 def is_trivial(code: Column) -> Column:
-    """No logic line at all, or a single one that only sets an attribute of self."""
+    """No logic line at all, or a single one that only sets an attribute of self. Lines are cut
+    and stripped only where no line is logic at first sight."""
     lines = logic_lines(code)
-    return F.coalesce(
+    by_line = F.coalesce(
         F.aggregate(
             F.slice(lines, 1, 2),
             F.struct(F.lit(0).alias("n"), F.lit(True).alias("plain")),
@@ -135,6 +139,34 @@ def is_trivial(code: Column) -> Column:
         ),
         F.lit(True),
     )
+    return F.when(code.rlike(_PLAIN_LOGIC), False).otherwise(by_line)
+
+
+def _first_target(code: Column, rules: list[tuple], hints: list[tuple]) -> Column:
+    found = F.lit(None).cast("string")
+    for (rule, target), hint in reversed(list(zip(rules, hints, strict=True))):
+        found = F.when(_matches(code, rule, hint), F.lit(target)).otherwise(found)
+    return found
+
+
+def high_signal_type(code: Column) -> Column:
+    """Issue type of the first high-signal rule that hits, null if none does."""
+    return _first_target(code, C.HIGH_SIGNAL_RULES, _HIGH_SIGNAL_HINTS)
+
+
+def borderline_type(code: Column) -> Column:
+    """Issue type of the first rule for unsure issues that hits, null if none does."""
+    return _first_target(code, C.BORDERLINE_RULES, _BORDERLINE_HINTS)
+
+
+def refined_by(issue_type: Column, confidence: Column, high_signal: Column, borderline: Column) -> Column:
+    """``refined_issue_type`` from what the rules say, where they are asked once for several labels."""
+    return (
+        F.when(confidence >= C.CONFIDENCE_LOCK, issue_type)
+        .when(high_signal.isNotNull(), high_signal)
+        .when((confidence < C.BORDERLINE_CEILING) & borderline.isNotNull(), borderline)
+        .otherwise(issue_type)
+    )
 
 
 def refined_issue_type(issue_type: Column, confidence: Column, code: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffmill import constants as C
-from diffmill.functions.rules import blank_code, is_trivial, refined_issue_type
+from diffmill.functions.rules import blank_code, borderline_type, high_signal_type, is_trivial, refined_by
 from diffmill.functions.text import lookup
 from diffmill.operators.diffs import within_size_limit
 from diffmill.schemas import PREDICTION
@@ -134,22 +134,28 @@ def classify(
     threshold: float = C.CONFIDENCE_THRESHOLD,
     multi_label_threshold: float = C.MULTI_LABEL_THRESHOLD,
 ) -> DataFrame:
-    """One row per chunk and label. No shuffle."""
-    labels = _labels(F.col("prediction"), threshold, multi_label_threshold)
-    exploded = scored.select(
-        "pr_id",
-        "chunk_index",
-        "code",
-        "file",
-        "start_line",
-        F.posexplode(labels).alias("label_ord", "l"),
+    """One row per chunk and label. No shuffle.
+
+    The rules read the code below the generator. Above it the optimizer would copy them into
+    every filter on the label, and they would run two or three times for each label.
+    """
+    chunk = ["pr_id", "chunk_index", "code", "file", "start_line"]
+    asked = scored.select(
+        *chunk,
+        _labels(F.col("prediction"), threshold, multi_label_threshold).alias("labels"),
+        high_signal_type(F.col("code")).alias("high_signal"),
+        borderline_type(F.col("code")).alias("borderline"),
+    )
+    exploded = asked.select(
+        *chunk, "high_signal", "borderline", F.posexplode("labels").alias("label_ord", "l")
     )
     gated = exploded.withColumn(
         "gated",
         gated_issue_type(issue_type_of(F.col("l.label")), F.col("l.confidence"), threshold),
     )
     refined = gated.withColumn(
-        "refined", refined_issue_type(F.col("gated"), F.col("l.confidence"), F.col("code"))
+        "refined",
+        refined_by(F.col("gated"), F.col("l.confidence"), F.col("high_signal"), F.col("borderline")),
     )
     return refined.select(
         "pr_id",

@@ -39,6 +39,49 @@ def test_trivial_edges(values):
     assert dict(zip(codes, values(lambda T: rules.is_trivial(T), list(codes)))) == codes
 
 
+def test_plain_logic_is_what_the_lines_say(values):
+    """The search for a line of plain logic settles codes before their lines are cut."""
+    codes = {
+        "import a\n   y": False,
+        "self.a = 1\n  pass\r\n# x": True,
+        "self.a = 1\n  imports": False,
+        "selfish = 1": False,
+        "classify(x)": False,
+        "self.a = 1\rx = 1": False,
+        "#\rx = 1": False,
+        "#\r\n  x = 1": False,
+        "\u3000x = 1": False,
+        "_x = 1": False,
+        "é = 1": False,
+        "async def f():\n\tpass": True,
+    }
+    assert dict(zip(codes, values(lambda T: rules.is_trivial(T), list(codes)))) == codes
+    assert values(lambda T: T.rlike(rules._PLAIN_LOGIC) & rules.is_trivial(T), SNIPPETS + list(codes)) == [False] * (len(SNIPPETS) + len(codes))
+    assert values(lambda T: rules.is_trivial(T), [None]) == [True]
+
+
+@pytest.mark.parametrize("confidence", [None, 0.5, 0.75, 0.95])
+def test_rules_asked_once_refine_alike(values, confidence):
+    sure = F.lit(confidence).cast("double")
+    one = values(lambda T: rules.refined_issue_type(F.lit("Clean"), sure, T), [*SNIPPETS, None])
+    other = values(
+        lambda T: rules.refined_by(F.lit("Clean"), sure, rules.high_signal_type(T), rules.borderline_type(T)), [*SNIPPETS, None]
+    )
+    assert one == other
+
+
+def test_filters_on_labels_do_not_repeat_the_rules(spark):
+    from diffmill import constants as C
+    from diffmill.operators.classify import classify, score_without_model
+    from diffmill.schemas import CHUNKS
+
+    chunks = spark.createDataFrame([(1, 0, "a.py", 1, "os.system('x')"), (1, 1, "a.py", 5, "x = 1")], CHUNKS)
+    found = classify(score_without_model(chunks)).filter("label_id <> 0")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") <= len(C.HIGH_SIGNAL_RULES) + len(C.BORDERLINE_RULES)
+    assert [r.label for r in found.collect()] == ["Security Vulnerability"]
+
+
 @pytest.mark.parametrize(
     ("confidence", "expected"),
     [
