@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, normalizers
 
 from diffmill.llm import bpe, token_counts, token_files
 from diffmill.llm.simple8b import pack, unpack
@@ -147,6 +148,58 @@ def test_token_files_of_special_tokens(spark, tmp_path):
     assert rows[0] == [320, 1134, 49407, 1131, 2]
 
 
+def test_spellings_share_a_remembered_word():
+    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"), 2, kept=1000)
+    sent, words = [], encoder._words
+
+    def seen(some):
+        sent.extend(some)
+        return words(some)
+
+    encoder._words = seen
+    for text in ("Zqxwvu zqxwvu, ZQXWVU!! (a)", "zqxwvu.$$$\tzQxwvu É é. É, " + "b" * 64):
+        encoder.encode(pa.array([text]))
+    assert sorted(sent) == ["b" * 64, "zqxwvu", "é"]
+    assert set(encoder.known) == {"zqxwvu", "é", "", ",", ".", "!!", ".$$$", "(a)"}
+
+
+def test_ids_equal_library_around_every_character():
+    characters = [*map(chr, range(0x180)), "\u0301", "\u0345", "\u200d", "\u2028", "\u212a", "\u3000", "中", "\ufb01"]
+    texts = [
+        None, "", " ", "\r\n\x0b\x0c", "<|endoftext|> <|ENDOFTEXT|>. x<|endoftext|>", "don't DON'T dogs' 'tis",
+        *(f"a{c}b A{c}, {c} {c}.É{c}\u0301 <|{c}|>" for c in characters),
+    ]
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"), 2, kept=50)
+    for some in (texts[i : i + 100] for i in range(0, len(texts), 100)):
+        ids, lengths = encoder.encode(pa.array(some, pa.string()))
+        for text, one in zip(some, np.split(ids, np.cumsum(lengths)[:-1])):
+            assert one.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    assert [x.tolist() for x in encoder.encode(pa.array([None, None], pa.string()))] == [[2, 2], [1, 1]]
+
+
+def test_tokenizers_that_keep_capitals_are_refused(tmp_path):
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.normalizer = normalizers.NFC()
+    library.save(str(tmp_path / "capitals.json"))
+    with pytest.raises(ValueError, match="lower-cases"):
+        token_files.WordEncoder(str(tmp_path / "capitals.json"), 2, 100)
+
+
+def test_blocks_close_at_the_first_document_end(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "a " * (i * 7 % 40)) for i in range(1300)], "doc_id bigint, text string")
+    path = str(tmp_path / "files")
+    token_files.write_tokens(frame.coalesce(1), path, P.path("word_bpe_49k.json"), end_id=2, block_ids=60)
+    parts = {}
+    for r in spark.read.parquet(path).orderBy("part", "ids_before").collect():
+        parts.setdefault(r.part, []).append(r)
+    for blocks in parts.values():
+        assert all(sum(b.lengths[:-1]) < 60 <= sum(b.lengths) for b in blocks[:-1])
+        assert [b.ids_before for b in blocks] == [sum(sum(x.lengths) for x in blocks[:k]) for k in range(len(blocks))]
+    pairs = [p for k in sorted(parts) for b in parts[k] for p in zip(b.doc_ids, b.lengths)]
+    assert pairs == [(i, i * 7 % 40 + 1) for i in range(1300)]
+
+
 def test_piece_counts_equal_library(odd, none, docs):
     starts, others = token_counts.read_pieces(P.path("piece_bpe_32k.model"))
     vocabulary = {"[UNK]": 0}
