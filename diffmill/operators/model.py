@@ -1,13 +1,16 @@
 """Classifier: training, candidate choice and scoring (ids M1 to M3)."""
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, OneVsRest
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,9 @@ from diffmill.schemas import PREDICTION
 from diffmill.sources.staging import staged
 
 DEFAULT_CANDIDATES = (0.001, 0.01, 0.1)
+_TOKEN = r"\w+|[^\w\s]"
+#: Codes read at once, and tokens whose place among the features a task remembers.
+_CODES_READ, _TOKENS_KEPT = 1000, 1 << 18
 
 
 def token_features(features: int = 1 << 16) -> Pipeline:
@@ -30,7 +36,7 @@ def token_features(features: int = 1 << 16) -> Pipeline:
             RegexTokenizer(
                 inputCol="code",
                 outputCol="tokens",
-                pattern=r"\w+|[^\w\s]",
+                pattern=_TOKEN,
                 gaps=False,
                 toLowercase=False,
             ),
@@ -107,9 +113,132 @@ def softmax(logits: Column) -> Column:
     return F.transform(shifted, lambda x: x / total)
 
 
+def _token_weights(model: PipelineModel) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights (class, feature) and intercepts of a model that ``train`` made, whose classes weigh
+    hashed tokens of the column ``code``. None for any other model."""
+    stages = model.stages
+    if [type(s) for s in stages] != [RegexTokenizer, HashingTF, IDFModel, LogisticRegressionModel]:
+        return None
+    words, hashed, idf, last = stages
+    columns = [(words.getInputCol(), "code")] + [
+        (b.getFeaturesCol() if b is last else b.getInputCol(), a.getOutputCol()) for a, b in zip(stages, stages[1:])
+    ]
+    plain = words.getPattern() == _TOKEN and words.getMinTokenLength() <= 1 and not (words.getGaps() or words.getToLowercase())
+    weights = last.coefficientMatrix.toArray()
+    if any(a != b for a, b in columns) or not plain or hashed.getBinary() or len(weights) < 2:
+        return None
+    return weights * idf.idf.toArray(), last.interceptVector.toArray()
+
+
+def _token_scorer(size: int) -> Callable[[np.ndarray, np.ndarray], Callable[[list[str]], np.ndarray]]:
+    """From weights and intercepts to a function that gives the class probabilities of codes, one
+    row for each. Made of local names alone, so that it goes to the workers by value."""
+    tokens_of, most = re.compile(_TOKEN, re.ASCII).findall, _TOKENS_KEPT
+
+    def place(token: str) -> int:
+        """Where ``HashingTF`` counts a token: MurmurHash3 of its bytes, as a signed number."""
+        data = token.encode()
+        whole, h, low = len(data) & ~3, 42, 0xFFFFFFFF
+
+        def mixed(k: int) -> int:
+            k = k * 0xCC9E2D51 & low
+            return (k << 15 | k >> 17) * 0x1B873593 & low
+
+        for i in range(0, whole, 4):
+            h ^= mixed(int.from_bytes(data[i : i + 4], "little"))
+            h = (h << 13 | h >> 19) * 5 + 0xE6546B64 & low
+        if whole < len(data):
+            h ^= mixed(int.from_bytes(data[whole:], "little"))
+        h ^= len(data)
+        h = (h ^ h >> 16) * 0x85EBCA6B & low
+        h = (h ^ h >> 13) * 0xC2B2AE35 & low
+        h ^= h >> 16
+        return (h - (1 << 32) if h >> 31 else h) % size
+
+    def load(weights: np.ndarray, intercepts: np.ndarray) -> Callable[[list[str]], np.ndarray]:
+        class Places(dict):
+            def __missing__(self, token: str) -> int:
+                if len(self) >= most:
+                    self.clear()
+                found = self[token] = place(token)
+                return found
+
+        places = Places()
+
+        def scores(codes: list[str]) -> np.ndarray:
+            tokens, counts = [], []
+            for code in codes:
+                found = tokens_of(code)
+                counts.append(len(found))
+                tokens += found
+            at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
+            rows = np.repeat(np.arange(len(codes)), counts)
+            sums = [np.bincount(rows, own[at], len(codes)) + base for own, base in zip(weights, intercepts)]
+            margins = np.stack(sums, axis=1)
+            highest = margins.max(axis=1, keepdims=True)
+            certain = np.isposinf(highest)  # all samples had this class
+            shares = np.exp(np.where(certain, 0.0, margins - np.where(certain, 0.0, highest)))
+            shares /= shares.sum(axis=1, keepdims=True)
+            return np.where(certain, np.arange(len(intercepts)) == margins.argmax(axis=1)[:, None], shares)
+
+        return scores
+
+    return load
+
+
+def _rounder() -> Callable[[np.ndarray], np.ndarray]:
+    """Four decimals as Spark's ``round`` gives them: half up, by the decimal digits of a number."""
+
+    def rounded(shares: np.ndarray) -> np.ndarray:
+        scaled = shares * 1e4
+        out = np.floor(scaled + 0.5) / 1e4
+        for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)):
+            out[at] = float(Decimal(repr(float(shares[at]))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        return out
+
+    return rounded
+
+
+def _score_tokens(chunks: DataFrame, weights: np.ndarray, intercepts: np.ndarray) -> DataFrame:
+    """``score_with_model`` for models of ``train``: tokens are read, hashed and weighed in Arrow
+    batches, where the model's own stages pass a vector on from one to the next for each row."""
+    names = [f"_share_{k}" for k in range(len(intercepts))]
+    extra = [T.StructField("_top", T.IntegerType()), T.StructField("_confidence", T.DoubleType())]
+    extra += [T.StructField(name, T.DoubleType()) for name in names]
+    at, read = chunks.columns.index("code"), _CODES_READ
+    shared = chunks.sparkSession.sparkContext.broadcast((weights, intercepts))
+    load, rounded, added = _token_scorer(weights.shape[1]), _rounder(), [f.name for f in extra]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = load(*shared.value)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, read):
+                part = batch.slice(begin, read)
+                # as bytes: a text that is no sound UTF-8 must not end the job
+                codes = [(c or b"").decode("utf-8", "replace") for c in part.column(at).cast(pa.large_binary()).to_pylist()]
+                found = scores(codes)
+                top, found = found.argmax(axis=1), rounded(found)
+                own = [pa.array(top.astype(np.int32)), pa.array(found[np.arange(len(top)), top])]
+                own += [pa.array(np.ascontiguousarray(found[:, k])) for k in range(found.shape[1])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*part.schema.names, *added])
+
+    scored = chunks.mapInArrow(score, T.StructType([*chunks.schema, *extra]))
+    predicted = F.struct(
+        lookup_class(F.col("_top")).alias("label"),
+        F.col("_confidence").alias("confidence"),
+        F.col("_top").alias("label_id"),
+        F.create_map(*[x for k, name in enumerate(names) for x in (F.lit(k), F.col(name))]).alias("all_probs"),
+    ).cast(PREDICTION)
+    return scored.select(*chunks.columns, guarded_prediction(F.col("code"), predicted).alias("prediction"))
+
+
 def score_with_model(chunks: DataFrame, model: PipelineModel) -> DataFrame:
     """M1 and M2: chunks or samples with a ``prediction``. The whole code is read."""
     columns = chunks.columns
+    parts = _token_weights(model)
+    # Arrow has no types of users, such as vectors
+    if parts is not None and not any(isinstance(f.dataType, T.UserDefinedType) for f in chunks.schema):
+        return _score_tokens(chunks, *parts)
     scored = model.transform(chunks)
     probabilities = vector_to_array(F.col("probability"))
     return scored.select(

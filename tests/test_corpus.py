@@ -216,6 +216,57 @@ def test_model_reaches_the_floor(spark):
     assert row.prediction.confidence == max(probs.values())
 
 
+def test_models_score_in_batches_as_their_stages_do(spark):
+    codes = ["def f(x):\n    return x / 0", "", " \n", "é = ünï['日本'] \U0001f600\x0b\x1c_x", "eval(word)", "a" * 50 + " 1 12 123"]
+    # weight, two classes and class 4 have no samples
+    train = spark.createDataFrame([(c, k % 3, 1.0 + k) for k, c in enumerate(codes)], "code string, label int, weight double")
+    tokens = mo.token_features(32).fit(train)
+    model = mo.PipelineModel(stages=[*tokens.stages, mo.classifier(0.01).fit(tokens.transform(train))])
+    asked = spark.createDataFrame([(k, c) for k, c in enumerate([*codes, None])], "id int, code string")
+    scored = mo.score_with_model(asked, model)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDF" not in plan
+    found = {r.id: r.prediction.asDict(recursive=True) for r in scored.collect()}
+    by_stages = model.transform(asked.na.drop())
+    expected = by_stages.select(
+        "id", mo.guarded_prediction(F.col("code"), mo.prediction_struct(mo.vector_to_array(F.col("probability")))).alias("p")
+    )
+    assert scored.schema["prediction"].dataType == expected.schema["p"].dataType
+    assert found.pop(len(codes))["label"] == "Clean"
+    assert found == {r.id: r.p.asDict(recursive=True) for r in expected.collect()}
+
+
+def test_other_models_score_by_their_stages(spark):
+    train = spark.createDataFrame([("a b", 0, 1.0), ("c", 1, 1.0), ("c d", 2, 1.0)], "code string, label int, weight double")
+    tokens = mo.token_features(32)
+    lowered = mo.Pipeline(stages=[tokens.getStages()[0].copy().setToLowercase(True), *tokens.getStages()[1:]]).fit(train)
+    model = mo.PipelineModel(stages=[*lowered.stages, mo.classifier(0.01).fit(lowered.transform(train))])
+    scored = mo.score_with_model(spark.createDataFrame([("A B",), ("C D",)], "code string"), model)
+    assert [r.prediction.label_id for r in scored.collect()] == [0, 2]
+
+
+def test_a_model_of_one_class_is_certain(spark):
+    scores = mo._token_scorer(8)(mo.np.zeros((3, 8)), mo.np.array([0.0, 0.0, float("inf")]))
+    assert scores(["x = 1", ""]).tolist() == [[0.0, 0.0, 1.0]] * 2
+
+
+def test_shares_are_rounded_as_spark_does(spark):
+    shares = [0.00005, 0.12345, 0.99995, 0.00015, 1 / 3, 0.49995, 1.0, 0.0, 0.00025, 0.10005]
+    row = spark.createDataFrame([(shares,)], "p array<double>").select(F.transform("p", lambda x: F.round(x, 4)).alias("p")).first()
+    assert mo._rounder()(mo.np.array([shares]))[0].tolist() == row.p
+
+
+def test_rules_run_once_to_label_and_drop_nulls(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    codes = spark.createDataFrame([("x = 1",), ("os.system('a' + b)",), (None,)], "code string")
+    labelled = co.label_code(codes)
+    kept = co.without_nulls(labelled)
+    assert plan(kept).count("RLIKE") == plan(labelled).count("RLIKE")
+    assert sorted((r.code, r.label) for r in kept.collect()) == [("os.system('a' + b)", 3), ("x = 1", 0)]
+    numbers = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "`n.m` double, t string")
+    assert [tuple(r) for r in co.without_nulls(numbers).collect()] == [(1.0, "a")]
+
+
 def test_user_scorer(spark):
     def load():
         def predict(codes):
