@@ -40,8 +40,9 @@ def normalize_breaks(text: Column) -> Column:
 
 
 def raw_lines(text: Column) -> Column:
-    """Lines, with an empty last element if the text ends in a line break."""
-    return F.split(text, LINE_BREAK)
+    """Lines, with an empty last element if the text ends in a line break. A text without other
+    kinds is cut at newlines alone, which takes no pattern."""
+    return F.when(text.rlike(OTHER_LINE_BREAK), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
 
 
 def split_lines(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from diffmill import constants
 from diffmill.functions import rules, text
 from diffmill.functions.languages import language_info, language_of
 from diffmill.operators.review import plural_of
@@ -137,6 +138,13 @@ def test_split_lines(values):
     assert values(lambda T: text.split_lines(T), texts) == [t.splitlines() for t in texts]
 
 
+def test_texts_without_other_breaks_are_cut_at_newlines(values):
+    texts = ["", "\n", "a\nb", "a\r\nb\n", "a\rb", "a\x0b\x0c\x1cb\x85c\u2028d\n\n", "a\r\n\r\n", "é\n日\n", None]
+    by_pattern = values(lambda T: F.split(T, constants.LINE_BREAK), texts)
+    assert values(text.raw_lines, texts) == by_pattern
+    assert by_pattern[3] == ["a", "b", ""] and by_pattern[5] == ["a", "", "", "b", "c", "d", "", ""]
+
+
 def test_strip_and_blank(values):
     texts = [" a ", "\x1f\u3000a b\x85", "\u2003", "", "\xa0\n"]
     assert values(lambda T: text.strip(T), texts) == [t.strip() for t in texts]

@@ -18,7 +18,7 @@ from diffmill.sources.buckets import PlaceIndex, read_bucketed, write_bucketed
 from diffmill.sources.events import commented_places, pr_key, reviewed_events, sound_payloads, webhook_events
 from diffmill.sources.products import read_product, write_part
 from diffmill.streaming.admission import _decided, _outcomes, admitted
-from diffmill.streaming.streams import first_comments, request_counts, review_events
+from diffmill.streaming.streams import LARGE_STATE, first_comments, large_state, request_counts, review_events
 from diffmill.operators.classify import score_without_model
 
 
@@ -97,6 +97,41 @@ def test_first_comments_stream_equals_batch(spark, tmp_path):
     assert sorted(streamed.collect()) == sorted(comments.distinct().collect())
 
 
+def test_large_state_is_kept_in_files(spark, tmp_path):
+    """The store goes with the checkpoint, so a stream that goes on outside knows the places, too."""
+    schema, source = "pr_id long, file string, line long", str(tmp_path / "in")
+    before = {key: spark.conf.get(key, None) for key in LARGE_STATE}
+
+    def more(number):
+        rows = [(i % 3, f"f{i % 4}", i % 5 + number) for i in range(100)] + [(None, None, number)]
+        spark.createDataFrame(rows, schema).write.parquet(f"{source}/b{number}")
+        found = first_comments(spark.readStream.schema(schema).parquet(f"{source}/b*"))
+        writer = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint"))
+        return writer.trigger(availableNow=True).start(str(tmp_path / "out"))
+
+    with large_state(spark):
+        query = more(0)
+    assert {key: spark.conf.get(key, None) for key in LARGE_STATE} == before
+    query.awaitTermination()
+    later = more(1)
+    later.awaitTermination()
+    for done in (query, later):
+        assert "rocksdbGetCount" in {m for p in done.recentProgress for m in p["stateOperators"][0]["customMetrics"]}
+    known = spark.read.schema(schema).parquet(f"{source}/b*").distinct()
+    found = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    assert found.count() == known.count() and found.exceptAll(known).count() == 0
+
+
+def test_first_comments_query_keeps_its_state_in_files(spark, sf_dir):
+    from workload.queries import QUERIES
+
+    pattern = f"{staging.shared_dir(spark)}/diffmill/first-comments-*-checkpoint/offsets/0"
+    earlier = staging.found(spark, pattern)
+    QUERIES["x3_first_comments"](spark, sf_dir)
+    (began,) = set(staging.found(spark, pattern)) - set(earlier)
+    assert "RocksDBStateStoreProvider" in "".join(r.value for r in spark.read.text(began).collect())
+
+
 def test_review_stream_posts_no_second_comment(spark, tmp_path):
     diff = "+++ b/a.py\n@@ -0,0 +1,2 @@\n+def f(x):\n+    return x / len(x)"
     names = [("o/r", 1), ("o/r", 2), ("o/r", 3), ("other/r", 2)]

@@ -991,7 +991,9 @@ def x3(spark, sf):
     writer = streams.first_comments(stream).writeStream.format("parquet").option(
         "checkpointLocation", sink + "-checkpoint"
     )
-    writer.trigger(availableNow=True).start(sink).awaitTermination()
+    with streams.large_state(spark):
+        query = writer.trigger(availableNow=True).start(sink)
+    query.awaitTermination()
     return spark.read.schema(planned.schema).parquet(sink)
 
 
