@@ -29,7 +29,7 @@ LARGE_STATE = {
 @contextmanager
 def large_state(spark: SparkSession) -> Iterator[None]:
     """Streams that are started inside keep their state in files. Spark's default keeps all of it on the heap
-    of the executors, twice while a batch is written. A checkpoint keeps the store that it began with."""
+    of the executors, with the version before. A checkpoint keeps the store that it began with."""
     before = {key: spark.conf.get(key, None) for key in LARGE_STATE}
     try:
         for key, value in LARGE_STATE.items():
